@@ -1 +1,149 @@
-def text_quality(*a): raise NotImplementedError
+"""Per-document text quality statistics, and how much of a text is running prose."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Frequent articles, auxiliaries, pronouns and conjunctions of English, German, French and Spanish, without
+# accents. Prepositions that also join the nouns of list entries are left out.
+COMMON = frozenset(
+    """the a an of to is are be been being was were has have had that this these those it its they them their he she we you i not no but if
+    when while which who whose what how because so such than then there can could may might must shall should will would do does did and as by at
+    for from in on with into all any each already unless otherwise neither
+    der die das den dem des ein eine einen einem einer eines und nicht ist sind war wird werden wurde hat haben dass wenn sich es er sie wir ich kann
+    darf muss soll sollte zu im von fur auf als auch noch nur bei mit wie so aber weder
+    le la les un une du de et ne pas est sont etre qui que ce cette ces il elle ils se sa son ses peut doit a au aux dans par pour plus si
+    el los las uno una y es son ser del al que se su sus lo no debe puede ha en con para como esta este hay ni""".split()
+)
+_is_common = COMMON.__contains__
+_WORD = re.compile(r"[^\W\d_]+")
+_QUOTE = re.compile(r"^\s*(?:[>|]\s?)*\s*>\s?")
+_MARK = re.compile(r"^\s*(?:[-*+•·◦‣–—o]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+(?=\S)")
+_GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
+_BLANK = re.compile(r"\n\s*\n")
+_NOT_DIGITS = bytes(i for i in range(256) if not 48 <= i <= 57)
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+#: Letters that come from reading UTF-8 as another encoding, and replacement characters.
+_BROKEN = re.compile("[\u00c3\u00c2](?![A-Za-z])|\u00e2\u20ac|\ufffd")
+
+SCHEMA = (
+    "doc_id long, n_words long, n_lines long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, "
+    "list_line_share double, table_line_share double, dup_line_share double, dup_paragraph_share double, top_ngram_share double, prose_share double"
+)
+
+
+def plain(text: str) -> str:
+    """Compatibility forms as plain ones, lower case, without accents and invisible characters."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower()
+    return text if text.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+
+
+def _is_table(line: str, n_words: int) -> bool:
+    if line.count("|") >= 2 or line.count("\t") >= 2:
+        return True
+    cells = max(line.count(";"), line.count(",") - line.count(", "))
+    return cells >= 2 and cells + 1 >= n_words / 2 or n_words <= 12 and "  " in line and len(_GAPS.findall(line)) >= 2
+
+
+def top_ngram_share(words: list[str], n: int = 3) -> float:
+    """Share of the characters that lie in the most frequent n-gram, if it occurs more than once."""
+    if len(words) <= n:
+        return 0.0
+    gram, times = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
+    return times * sum(map(len, gram)) / max(1, sum(map(len, words))) if times > 1 else 0.0
+
+
+def measures(text: str | None) -> dict[str, float]:
+    """Statistics of one text; every share is 0 for a blank or null text."""
+    raw = text or ""
+    text = plain(raw).replace("\r", "\n").replace("\f", "\n\n").replace("\u2028", "\n")
+    digits = len(text.encode("ascii", "ignore").translate(None, _NOT_DIGITS))
+    seen: set[str] = set()
+    total = prose = letters_all = 0
+    n_lines = punct = marked = tabled = repeated = 0
+    all_words: list[str] = []
+    common_all = 0
+    before = False  # whether the line before in the same paragraph is prose
+    for line in text.split("\n"):
+        body = line.strip()
+        if not body:
+            before = False
+            continue
+        if body[0] in ">|" and body[-1] != "|":
+            body = _QUOTE.sub("", body).strip() or body
+        n_lines += 1
+        solid = len(body) - body.count(" ")
+        words = _WORD.findall(body)
+        n = len(words)
+        letters = sum(map(len, words))
+        common = sum(map(_is_common, words))
+        all_words += words
+        common_all += common
+        letters_all += letters
+        total += solid
+        punct += body[-1] in ".!?:;\"')。»"
+        again = body in seen
+        seen.add(body)
+        repeated += again
+        mark = _MARK.match(body)
+        table = _is_table(body, n)
+        marked += bool(mark)
+        tabled += table
+        if again or table or letters < 0.6 * solid:
+            before = False
+        elif n >= 5:
+            before = common >= (0.3 if mark else 0.2) * n and letters >= 2.5 * n and not (mark and n < 8)
+        elif mark:
+            before = False
+        if before:
+            prose += solid
+    broken = len(_BROKEN.findall(raw)) if any(c in raw for c in "\u00c3\u00c2\u00e2\ufffd") else 0
+    if broken >= max(5, 0.15 * len(all_words)):  # unreadable, whatever it says
+        prose = 0
+    paragraphs = [p.strip() for p in _BLANK.split(text) if p.strip()]
+    dup = sum(len(p) * (c - 1) for p, c in Counter(paragraphs).items()) / max(1, sum(map(len, paragraphs)))
+    return {
+        "n_words": len(all_words),
+        "n_lines": n_lines,
+        "mean_word_length": letters_all / len(all_words) if all_words else 0.0,
+        "symbol_ratio": max(0.0, 1 - (letters_all + digits) / total) if total else 0.0,
+        "punct_line_share": punct / n_lines if n_lines else 0.0,
+        "common_word_share": common_all / len(all_words) if all_words else 0.0,
+        "list_line_share": marked / n_lines if n_lines else 0.0,
+        "table_line_share": tabled / n_lines if n_lines else 0.0,
+        "dup_line_share": repeated / n_lines if n_lines else 0.0,
+        "dup_paragraph_share": dup,
+        "top_ngram_share": top_ngram_share(all_words),
+        "prose_share": prose / total if total else 0.0,
+    }
+
+
+def text_quality(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of measures per distinct ``doc_id`` (null ids are dropped, the least text counts if an id has several).
+
+    ``prose_share`` is the share of a text's characters, white space aside, that stand in lines of running prose. A line is
+    prose if it is mostly letters, holds enough common words, isn't a table row or a list entry, and isn't a repetition of
+    an earlier line; a short line goes with the line before it in its paragraph. Repetition, boilerplate, lists and tables
+    also have shares of their own. A null or blank text has 0 in every measure. Other columns are ignored.
+    """
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    types = [pa.int64() if c.endswith("long") else pa.float64() for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [measures(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[c] for r in rows], t) for c, t in zip(names[1:], types[1:]))], names)
+
+    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    measured = docs.mapInArrow(run, SCHEMA)
+    return measured.groupBy("doc_id").agg(F.max(F.struct(*names[1:])).alias("x")).select("doc_id", "x.*")
