@@ -53,14 +53,15 @@ def _quantised(df: DataFrame, dim: int) -> DataFrame:
     return df.mapInArrow(run, "item string, class binary, q binary, scale double, err double")
 
 
-def _units(df: DataFrame, dim: int) -> DataFrame:
+def _floats(df: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, u = _unit(b, dim)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(_class_hash(u), pa.binary()), pa.array([r.astype(np.float32).tobytes() for r in u], pa.binary())], ["item", "class", "unit"])
+                given = b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(_class_hash(u), pa.binary()), pa.array([r.tobytes() for r in given], pa.binary())], ["item", "class", "floats"])
 
-    return df.mapInArrow(run, "item string, class binary, unit binary")
+    return df.mapInArrow(run, "item string, class binary, floats binary")
 
 
 def _tile_heaps(dot: np.ndarray, slack: float, k: int, floor: float, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +129,7 @@ def _cosines(pairs: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float32).reshape(b.num_rows, -1).astype(np.float64) for c in (2, 3))
+                x, y = (z / np.abs(z).max(axis=1, keepdims=True) for z in (x, y))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)))], ["a", "b", "cosine"])
 
     return pairs.mapInArrow(run, "a binary, b binary, cosine double")
@@ -161,10 +163,10 @@ def nearest_vectors(df: DataFrame, item: str, vector: str, k: int = 10, dim: int
         near = near.withColumn("kth", kth).withColumn("kth", F.coalesce(F.max("kth").over(Window.partitionBy("a")), F.lit(-2.0))).where("high >= kth")
     near = stage(near.select("a", "b"), "survivors")
     need = near.select(F.col("a").alias("class")).distinct().join(heads.select("class", F.col("items")[0].alias("item")), "class")
-    units = _units(source.join(maybe_broadcast(need.select("item")), "item", "left_semi"), dim)
-    units = units.join(need, ["class", "item"], "left_semi").dropDuplicates(["class"]).select("class", "unit")
+    units = _floats(source.join(maybe_broadcast(need.select("item")), "item", "left_semi"), dim)
+    units = units.join(need, ["class", "item"], "left_semi").dropDuplicates(["class"]).select("class", "floats")
     units = stage(units, "units")
-    pairs = near.join(units.select(F.col("class").alias("a"), F.col("unit").alias("ua")), "a").join(units.select(F.col("class").alias("b"), F.col("unit").alias("ub")), "b")
+    pairs = near.join(units.select(F.col("class").alias("a"), F.col("floats").alias("ua")), "a").join(units.select(F.col("class").alias("b"), F.col("floats").alias("ub")), "b")
     exact = _cosines(pairs.select("a", "b", "ua", "ub")).where(F.col("cosine") >= min_cosine)
     ranked = exact.join(heads.select(F.col("class").alias("b"), "items"), "b")
     best = ranked.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), F.col("items")[0]))).where(F.col("n") <= k)
