@@ -42,7 +42,7 @@ ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_VECTORS} SELECT DISTINCT least(chunk_id, neighbor_id) AS chunk_id_a, greatest(chunk_id, neighbor_id) AS chunk_id_b FROM ranked WHERE r <= 10 AND cosine >= 0.8",
     "p1_neighbors": f"WITH {_VECTORS} SELECT chunk_id, neighbor_id, round(cosine, 4) AS cosine, CAST(r AS INTEGER) AS rank FROM ranked WHERE r <= 10",
     "p3_found": f"""WITH {_PIECES} SELECT field, record_id, CAST(list_max(list_transform(regexp_split_to_array(body, '\\s+'), lambda x: length(x))) > most AS INTEGER) AS unbreakable
-FROM items WHERE length(body) > most AND regexp_matches(body, '[^\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]')""",
+FROM items WHERE length(body) > most AND regexp_matches(body, '[^\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]')""",
     "p4_ranking": f"WITH {_RANKS} SELECT query_id, chunk_id, median_rank, position FROM ordered",
     "p4_found": f"WITH {_RANKS} SELECT query_id, chunk_id FROM ordered WHERE position <= 3",
     "p5_found": """
