@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.kernels import mix64
 from quillspan.operators.components import connected_components
-from quillspan.runtime import maybe_broadcast, small_enough, stage
+from quillspan.runtime import maybe_broadcast, stage
 
 #: Minima per band and bands. A pair of similarity 0.8 by the longer text has a Jaccard similarity of 2/3 or more: found with 0.95 at 2/3, 0.99 at 0.72, 0.9999 at 0.8.
 ROWS, BANDS = 6, 32
-#: Bits of the sketch that checks a candidate, and how many must agree. At a Jaccard similarity of 2/3, 90 +- 4 do.
-SKETCH_BITS, SKETCH_AGREE = 108, 74
+#: One bit of each minimum makes a sketch. Bits that a bucket's rows carry and how many must agree; then of all bits. At a Jaccard similarity of 2/3, 90 +- 4 of 108 and 160 +- 5 of 192 do.
+BUCKET_BITS, BUCKET_AGREE, ALL_AGREE = 108, 80, 145
+_MASK = (1 << (BUCKET_BITS - 64)) - 1
 #: Classes in one bucket that are joined directly, and per block beyond that.
 BUCKET, BLOCK = 256, 2048
 #: Copies of one text of which every pair is listed; of a larger class its least member stands for all.
@@ -79,22 +80,21 @@ def signatures(texts: list[list[str]], rows: int = ROWS, bands: int = BANDS) ->
             "c2": mix64(np.add.reduceat(mix64(f ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)),
         }
         keys = np.empty((len(texts), bands), np.uint64)
-        bits = np.zeros((2, len(texts)), np.uint64)
+        bits = np.zeros((-(-rows * bands // 64), len(texts)), np.uint64)
         for band in range(bands):
             acc = np.full(len(texts), band + 1, np.uint64)
             for row in range(rows):
                 i = band * rows + row
                 least = np.minimum.reduceat(f * a[i] + b[i], starts)
                 acc = mix64(acc * np.uint64(0x9FB21C651E98DF25) + least)
-                if i < SKETCH_BITS:
-                    half, place = divmod(i, 64)
-                    bits[half] |= (mix64(least) & np.uint64(1)) << np.uint64(place)
+                part, place = divmod(i, 64)
+                bits[part] |= (mix64(least) & np.uint64(1)) << np.uint64(place)
             keys[:, band] = acc
-    return out | {"keys": keys, "s1": bits[0], "s2": bits[1]}
+    return out | {"keys": keys, "bits": bits}
 
 
 def _signed(df: DataFrame, item: str, text: str, min_words: int) -> DataFrame:
-    schema = "item string, c1 long, c2 long, n int, s1 long, s2 long, keys array<long>"
+    schema = "item string, c1 long, c2 long, n int, w1 long, w2 long, w3 long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -112,45 +112,47 @@ def _signed(df: DataFrame, item: str, text: str, min_words: int) -> DataFrame:
                 long = lambda x: pa.array(x.view(np.int64))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * BANDS + 1, BANDS, dtype=np.int32)), long(s["keys"].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(kept)), long(s["c1"]), long(s["c2"]), pa.array([len(t) for t in texts], pa.int32()), long(s["s1"]), long(s["s2"]), keys],
-                    ["item", "c1", "c2", "n", "s1", "s2", "keys"],
+                    [b.column(0).take(pa.array(kept)), long(s["c1"]), long(s["c2"]), pa.array([len(t) for t in texts], pa.int32()), *(long(x) for x in s["bits"]), keys],
+                    ["item", "c1", "c2", "n", "w1", "w2", "w3", "keys"],
                 )
 
     return df.mapInArrow(run, schema)
 
 
-def _alike(x: str, y: str, threshold: float):
-    agree = SKETCH_BITS - F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1"))) - F.bit_count(F.col(f"{x}.s2").bitwiseXOR(F.col(f"{y}.s2")))
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (agree >= SKETCH_AGREE)
+def _near(n, m, threshold: float):
+    return F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9
+
+
+def _alike(threshold: float):
+    """Whether rows x and y of a bucket may be linked, by their lengths and the bits they carry (the length stands above the bits of s2)."""
+    agree = BUCKET_BITS - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")).bitwiseAND(F.lit(_MASK)))
+    n, m = F.shiftright("x.s2", BUCKET_BITS - 64), F.shiftright("y.s2", BUCKET_BITS - 64)
+    return _near(n, m, threshold) & (agree >= BUCKET_AGREE)
 
 
 def _block_pairs(hot: DataFrame, threshold: float) -> DataFrame:
     """Candidates of buckets too large for a direct join, block against block; every pair of a bucket is tried, few are emitted."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = hot.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "s1", "s2")
+    rows = hot.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "s1", "s2")
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
-        n, s1, s2 = (table.column(c).to_numpy() for c in ("n", "s1", "s2"))
-        a, b = [], []
+        cid, s1, s2 = (table.column(c).to_numpy() for c in ("cid", "s1", "s2"))
+        n, low = s2 >> (BUCKET_BITS - 64), s2 & _MASK
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x in left:
-            apart = np.bitwise_count(s1[right] ^ s1[x]).astype(np.int16) + np.bitwise_count(s2[right] ^ s2[x])
-            ok = (apart <= SKETCH_BITS - SKETCH_AGREE) & (np.minimum(n[right], n[x]) >= np.maximum(n[right], n[x]) * threshold - 1e-9)
-            hit = right[ok]
+            apart = np.bitwise_count((s1[right] ^ s1[x]).view(np.uint64)).astype(np.int16) + np.bitwise_count((low[right] ^ low[x]).view(np.uint64))
+            hit = right[(apart <= BUCKET_BITS - BUCKET_AGREE) & (np.minimum(n[right], n[x]) >= np.maximum(n[right], n[x]) * threshold - 1e-9)]
             hit = hit[hit > x] if i == j else hit
-            a.append(np.full(len(hit), x))
-            b.append(hit)
-        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
-        rep = table.column("rep")
-        x, y = rep.take(pa.array(a)).to_pylist(), rep.take(pa.array(b)).to_pylist()
-        return pa.table({"a": pa.array([min(p, q) for p, q in zip(x, y)], pa.string()), "b": pa.array([max(p, q) for p, q in zip(x, y)], pa.string())})
+            a.append(np.minimum(cid[hit], cid[x]))
+            b.append(np.maximum(cid[hit], cid[x]))
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a string, b string")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _overlap(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -190,31 +192,41 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, item: str, text: str, threshold: float = 0.8, min_words: int = 20):
         self.source = df.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
         self.threshold = threshold
-        signed = _signed(self.source, "item", "text", min_words)
-        one = signed.groupBy("item").agg(F.min(F.struct("c1", "c2", "n", "s1", "s2", "keys")).alias("x")).select("item", "x.*")
-        by_class = one.groupBy("c1", "c2").agg(F.min("item").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
-        self._one, self._classes = one, by_class
-        self._members = self._links = None
+        self._signed = stage(_signed(self.source, "item", "text", min_words), "signed")
+        self._members = self._links = self._classes_ = None
+
+    @property
+    def _classes(self) -> DataFrame:
+        """One row per class: ``cid``, a 64-bit hash of its words and their counts, with its least item and sketches."""
+        if self._classes_ is None:
+            first = [F.first(c).alias(c) for c in ("n", "w1", "w2", "w3", "keys")]
+            self._classes_ = self._signed.groupBy("c1", "c2").agg(F.min("item").alias("rep"), *first).withColumn("cid", F.xxhash64("c1", "c2"))
+        return self._classes_
 
     @property
     def members(self) -> DataFrame:
         if self._members is None:
-            ids = self._one.select("item", "c1", "c2")
-            self._members = stage(ids.join(self._classes.select("c1", "c2", "rep", "copies"), ["c1", "c2"]).select("item", "rep", "copies"), "members")
+            own = self._signed.groupBy("item").agg(F.min(F.struct("c1", "c2")).alias("c")).select("item", "c.*")
+            size = own.groupBy("c1", "c2").agg(F.min("item").alias("rep"), F.count(F.lit(1)).alias("copies"))
+            self._members = stage(own.join(size, ["c1", "c2"]).select("item", "rep", "copies"), "members")
         return self._members
 
     def _candidates(self) -> DataFrame:
-        rows = self._classes.select("rep", "n", "s1", "s2", F.explode("keys").alias("key"))
-        # keys carry their band; a bucket holds the classes of one key
+        c = self._classes
+        packed = F.col("w2").bitwiseAND(F.lit(_MASK)).bitwiseOR(F.shiftleft(F.least("n", F.lit((1 << 19) - 1)).cast("long"), BUCKET_BITS - 64))
+        rows = c.select("cid", F.col("w1").alias("s1"), packed.alias("s2"), F.explode("keys").alias("key"))
+        # a key carries its band; a bucket holds the classes of one key. All branches below read one and the same exchange.
         met = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
-        met = stage(met, "buckets")
-        direct = met.where(F.col("m") <= BUCKET).drop("m")
+        direct = met.where(F.col("m") <= BUCKET).select("key", "cid", "s1", "s2")
         x, y = direct.alias("x"), direct.alias("y")
-        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & _alike("x", "y", self.threshold)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        hot = met.where(F.col("m") > BUCKET)
-        if not small_enough(hot, 0):
-            found = found.unionByName(_block_pairs(hot, self.threshold))
-        return stage(found.distinct(), "candidates")
+        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & _alike(self.threshold)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        found = stage(found.unionByName(_block_pairs(met.where(F.col("m") > BUCKET), self.threshold)).distinct(), "candidates")
+        sketch = self._signed.groupBy(F.xxhash64("c1", "c2").alias("cid")).agg(F.min("item").alias("rep"), *[F.first(w).alias(w) for w in ("n", "w1", "w2", "w3")])
+        side = lambda p: sketch.select(F.col("cid").alias(p), *[F.col(w).alias(f"{p}_{w}") for w in ("rep", "n", "w1", "w2", "w3")])
+        both = found.join(side("a"), "a").join(side("b"), "b")
+        apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in ("w1", "w2", "w3")), F.lit(0))
+        both = both.where((ROWS * BANDS - apart >= ALL_AGREE) & _near(F.col("a_n"), F.col("b_n"), self.threshold))
+        return stage(both.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")), "checked")
 
     @property
     def links(self) -> DataFrame:
