@@ -80,22 +80,37 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.limit(0).select("kind", F.col("child").alias("node"), F.col("parent").alias("cycle"))
 
 
+def pointer_cycles(pointers: DataFrame) -> DataFrame:
+    """``kind, node`` of the nodes on cycles of ``kind, node, parent`` with one parent per node, by pointer doubling.
+
+    A round doubles the distance that every node looks up. Nodes that look past a top drop out; when nobody drops out any
+    more, only cycles and what hangs below them is left, and when the ancestors seen no longer become fewer, they are the cycles.
+    """
+    now, mark = stage(pointers.select(*_KEY, F.col("parent").alias("jump"), F.col("node").alias("low")), "pointers"), None
+    while True:
+        seen = now.agg(F.count(F.lit(1)), F.count_distinct("kind", "jump"), F.sum(F.col("low").cast("decimal(38,0)"))).first()
+        if seen[0] == 0 or seen == mark:
+            return now.select("kind", F.col("jump").alias("node")).distinct()
+        mark = seen
+        up = now.select("kind", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
+        now = _swap(now, now.join(up, ["kind", "jump"]).select(*_KEY, F.col("_jump").alias("jump"), F.least("low", "_low").alias("low")), "pointers")
+
+
 class Hierarchy:
     """Ancestors and descendants of nodes under links ``kind, child, parent``; each kind is a hierarchy of its own.
 
-    Null ends are dropped and repeated links count once. Every node that is not on a cycle hangs on the least of its
-    parents; these links form a forest, whose tops are nodes without any parent or nodes on cycles. Over the forest,
-    subtree sizes are summed upward and sibling ranges are allocated downward by prefix sums, both by doubling, so the
-    number of rounds grows with the logarithm of the depth. Links beside the forest (further parents, links of cycles)
-    are followed between the few nodes that have them.
+    Null ends are dropped and repeated links count once. Every node hangs on the least of its parents, unless it would
+    hang on itself that way; these links form a forest. Over the forest, subtree sizes are summed upward and sibling
+    ranges are allocated downward by prefix sums, both by doubling, so the number of rounds grows with the logarithm of
+    the depth. Links beside the forest are followed between the nodes that have them: a cycle leads through such nodes,
+    which trimming leaves unprocessed, and through the nodes of the forest between them, which their ranges tell.
     """
 
     def __init__(self, links: DataFrame, window_rows: int = WINDOW_ROWS):
         clean = links.select("kind", F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent")).where("kind is not null and child is not null and parent is not null").distinct()
         self.edges = stage(clean, "links")
         self.window_rows = window_rows
-        self.cycles = cycles(self.edges)
-        self._forest = None
+        self._forest = self._arcs = self._cycles = None
 
     def _doubled(self, start: DataFrame, more: dict[str, object], counted: bool = False) -> DataFrame:
         """Pointer doubling over ``kind, node, jump, dist, top`` plus columns ``more``, each combined by its function of (own, next).
@@ -120,9 +135,9 @@ class Hierarchy:
         if self._forest is None:
             e = self.edges
             nodes = e.select("kind", F.col("child").alias("node")).unionByName(e.select("kind", F.col("parent").alias("node"))).distinct()
-            first = e.join(self.cycles.select("kind", F.col("node").alias("child")), ["kind", "child"], "left_anti").groupBy("kind", F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
-            ups = e.groupBy("kind", F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("ups"))
-            base = nodes.join(first, _KEY, "left").join(ups, _KEY, "left")
+            least = stage(e.groupBy("kind", F.col("child").alias("node")).agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("ups")), "least")
+            loops = pointer_cycles(least).withColumn("_loop", F.lit(True))
+            base = nodes.join(least, _KEY, "left").join(loops, _KEY, "left").withColumn("parent", F.when(F.col("_loop").isNull(), F.col("parent")))
             base = base.select(*_KEY, "parent", F.coalesce("ups", F.lit(0)).alias("ups"), (F.coalesce("ups", F.lit(0)) > F.col("parent").isNotNull().cast("int")).alias("has_links"))
             base = stage(base, "base")
             start = base.select(
@@ -160,25 +175,41 @@ class Hierarchy:
 
         return self._doubled(s, {"both": join}, counted=True).withColumn("near", F.col("both.near")).drop("both")
 
+    @property
+    def arcs(self) -> DataFrame:
+        """``kind, node, via, to, cost, root, root_cost``: the ways up from a node with links, by ``via`` (the end of a link beside the forest, or its parent) to the next node with links (``to``, null if there is none) and, by a link, to the root of a tree."""
+        if self._arcs is None:
+            f = self.forest
+            src = f.where("has_links").select("kind", F.col("node").alias("child"), F.col("parent").alias("_own"))
+            beside = self.edges.join(src, ["kind", "child"]).where("_own is null or parent <> _own").select("kind", F.col("child").alias("node"), F.col("parent").alias("via"), F.lit(True).alias("_link"))
+            above = src.where("_own is not null").select("kind", F.col("child").alias("node"), F.col("_own").alias("via"), F.lit(False).alias("_link"))
+            at = f.select("kind", F.col("node").alias("via"), "top", "depth", "is_root", "near", "near_dist", "pre")
+            ways = beside.unionByName(above).join(at, ["kind", "via"]).where("near is not null or (_link and is_root)")
+            self._arcs = stage(ways.select("kind", "node", "via", F.col("near").alias("to"), (F.col("near_dist") + 1).alias("cost"), F.when(F.col("_link") & F.col("is_root"), F.col("top")).alias("root"), (F.col("depth") + 1).alias("root_cost"), "pre", "top"), "arcs")
+        return self._arcs
+
+    @property
+    def cycles(self) -> DataFrame:
+        """``kind, node, cycle``: every node that can reach itself, with the least node among those it reaches that reach it."""
+        if self._cycles is None:
+            arcs = self.arcs.where("to is not null")
+            found = cycles(stage(arcs.select("kind", F.col("node").alias("child"), F.col("to").alias("parent")).distinct(), "between"))
+            a, b = found.select("kind", "node", F.col("cycle").alias("_a")), found.select("kind", F.col("node").alias("to"), F.col("cycle").alias("_b"))
+            inner = arcs.join(a, _KEY).join(b, ["kind", "to"]).where("_a = _b").select("kind", F.col("to").alias("near"), F.col("pre").alias("_at"), F.col("top").alias("_top"), F.col("_a").alias("part"))
+            # nodes of the forest on the way: ancestors of "via" below the next node with links
+            way = self.forest.join(inner, ["kind", "near"]).where("top = _top and pre <= _at and _at < pre + size").select(*_KEY, "part")
+            every = stage(way.unionByName(found.select(*_KEY, F.col("cycle").alias("part"))).distinct(), "cyclic")
+            self._cycles = stage(every.join(every.groupBy("kind", "part").agg(F.min("node").alias("cycle")), ["kind", "part"]).select(*_KEY, "cycle"), "cycles")
+        return self._cycles
+
     def _through_links(self) -> DataFrame:
         """``kind, node, root, far``: roots that nodes with links reach through them, with the fewest steps."""
-        f = self.forest
-        src = f.where("has_links")
-        beside = self.edges.join(src.select("kind", F.col("node").alias("child"), F.col("parent").alias("_own")), ["kind", "child"]).where("_own is null or parent <> _own").drop("_own")
-        at = f.select("kind", F.col("node").alias("parent"), "top", "depth", "is_root", "near", "near_dist")
-        goes = stage(beside.join(at, ["kind", "parent"]), "beside")
-        now = goes.where("is_root").select("kind", F.col("child").alias("node"), F.col("top").alias("root"), (F.col("depth") + 1).alias("far"))
-        arcs = goes.where("near is not null").select("kind", F.col("child").alias("node"), F.col("near").alias("to"), (F.col("near_dist") + 1).alias("cost"))
-        higher = src.where("parent is not null").select("kind", "node", "parent").join(at.select("kind", "parent", "near", "near_dist"), ["kind", "parent"]).where("near is not null")
-        arcs = arcs.unionByName(higher.select("kind", "node", F.col("near").alias("to"), (F.col("near_dist") + 1).alias("cost")))
-        arcs = stage(arcs.groupBy("kind", "node", "to").agg(F.min("cost").alias("cost")), "arcs")
-        now, mark = stage(now.groupBy("kind", "node", "root").agg(F.min("far").alias("far")), "through"), None
+        direct = self.arcs.where("root is not null").groupBy("kind", "node", "root").agg(F.min("root_cost").alias("far"))
+        arcs = stage(self.arcs.where("to is not null").groupBy("kind", "node", "to").agg(F.min("cost").alias("cost")), "hops")
+        now, mark = stage(direct, "through"), None
         while True:
-            new = now
-            for _ in range(CHAIN):
-                sent = arcs.join(new.withColumnRenamed("node", "to"), ["kind", "to"]).select("kind", "node", "root", (F.col("far") + F.col("cost")).alias("far"))
-                new = new.unionByName(sent).groupBy("kind", "node", "root").agg(F.min("far").alias("far"))
-            now = _swap(now, new, "through")
+            sent = arcs.join(now.withColumnRenamed("node", "to"), ["kind", "to"]).select("kind", "node", "root", (F.col("far") + F.col("cost")).alias("far"))
+            now = _swap(now, now.unionByName(sent).groupBy("kind", "node", "root").agg(F.min("far").alias("far")), "through")
             seen = now.agg(F.count(F.lit(1)), F.sum("far")).first()
             if seen == mark:
                 return now
