@@ -80,7 +80,7 @@ def fuse_scores(df: DataFrame, group: list[str], item: str, scores: list[str], w
         item,
         *[F.col(f"_r_{s}").cast("double").alias(f"rank_{s}") for s in scores],
         _weighted_median(F.col("_pairs")).alias("median_rank"),
-        (F.aggregate("_pairs", F.lit(0.0), lambda a, x: a + x["r"] * x["w"]) / F.aggregate("_pairs", F.lit(0.0), lambda a, x: a + x["w"])).alias("mean_rank"),
+        F.try_divide(F.aggregate("_pairs", F.lit(0.0), lambda a, x: a + x["r"] * x["w"]), F.aggregate("_pairs", F.lit(0.0), lambda a, x: a + x["w"])).alias("mean_rank"),
     )
     order = [F.col("median_rank").asc_nulls_last(), F.col("mean_rank").asc_nulls_last(), F.col(item).asc()]
     if small_enough(hot, 0):
