@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +38,9 @@ def project_index(raw: DataFrame) -> DataFrame:
     return out.groupBy("rfc_number").agg(F.max_by(F.struct(*cols), "_ord").alias("e")).select("rfc_number", "e.*")
 
 
-def _decoded(content: str) -> str:
+def _decoded(content: str) -> Column:
     """UTF-8, or Latin-1 where the bytes aren't UTF-8."""
-    return F.when(F.is_valid_utf8(F.col(content).cast("string")), F.col(content).cast("string")).otherwise(F.decode(F.col(content), F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(F.col(content).cast("string")), F.col(content).cast("string")).otherwise(F.decode(F.col(content), "ISO-8859-1"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
