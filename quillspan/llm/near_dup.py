@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.kernels import mix64
 from quillspan.operators.components import connected_components
-from quillspan.runtime import maybe_broadcast, stage
+from quillspan.runtime import maybe_broadcast, small_enough, stage
 
 #: Minima per band and bands. A pair of similarity 0.8 by the longer text has a Jaccard similarity of 2/3 or more: found with 0.95 at 2/3, 0.99 at 0.72, 0.9999 at 0.8.
 ROWS, BANDS = 6, 32
@@ -25,8 +25,10 @@ _SKETCH = ("w1", "w2", "w3", "w4", "w5", "w6")
 _MASK = (1 << (BUCKET_BITS - 64)) - 1
 #: Classes in one bucket that are joined directly, and per block beyond that.
 BUCKET, BLOCK = 256, 2048
-#: Copies of one text of which every pair is listed; of a larger class its least member stands for all.
+#: Byte-identical copies of one text of which every pair is listed; beyond that the least copy stands for the others.
 EXPAND = 32
+#: Members of a class per block when its pairs are listed.
+LIST_BLOCK = 256
 _WORD = re.compile(r"[^\W_]+")
 _TO_WORDS = bytes((i + 32 if 65 <= i <= 90 else i) if chr(i).isalnum() and i < 128 else 32 for i in range(256))
 
@@ -188,7 +190,8 @@ class NearDuplicates:
     common to both, repeated words counting as often as both have them. Null ids and texts take no part; shorter and
     blank texts neither; an id with several texts keeps the class of least hash; other columns are ignored.
 
-    ``members`` has ``item, rep, copies``: texts of the same words form a class, named by its least item. ``links`` has
+    ``members`` has ``item, rep, copies``: texts of the same words form a class of ``copies`` items, named by its least
+    item; they need not be the same text. ``links`` has
     ``a, b, overlap`` between class names. Candidates come from banded minima, so a link at the very threshold is found with
     probability 0.95 or more (see ``ROWS``); every candidate is verified on the texts. No bucket is cut: those over
     ``BUCKET`` classes are compared block by block.
@@ -245,17 +248,35 @@ class NearDuplicates:
         return self._links
 
     def pairs(self, expand: int = EXPAND) -> DataFrame:
-        """``a, b`` item pairs, a < b. Members of classes of up to ``expand`` copies are all paired, among themselves and with linked classes; a larger class takes part through its least member, to which its copies are paired."""
-        m = self.members
-        copies = m.where("copies > 1")
-        small = copies.where(F.col("copies") <= expand)
-        x, y = small.alias("x"), small.alias("y")
-        own = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))
-        star = copies.where((F.col("copies") > expand) & (F.col("item") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("item").alias("b"))
-        stand = m.where((F.col("copies") <= expand) | (F.col("item") == F.col("rep"))).select("item", "rep")
-        far = self.links.select("a", "b").join(stand.select(F.col("rep").alias("a"), F.col("item").alias("p")), "a").join(stand.select(F.col("rep").alias("b"), F.col("item").alias("q")), "b")
-        far = far.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        return own.unionByName(star).unionByName(far)
+        """``a, b`` item pairs, a < b: every pair within a class and between linked classes. Only of a text that more than ``expand`` items have byte by byte the least item stands for the others, to which each of them is paired.
+
+        Classes are cut into blocks of about ``LIST_BLOCK`` members, and pairs are listed block against block, so no task holds a large class.
+        """
+        m, links = self.members, self.links.select("a", "b")
+        linked = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).distinct().withColumn("_linked", F.lit(True))
+        stand, star = m.where((F.col("copies") > 1) & (F.col("copies") <= expand)).select("item", "rep"), None
+        large = m.where((F.col("copies") > 1) & (F.col("copies") > expand)).select("item", "rep")
+        if not small_enough(large, 0):
+            # only these have their texts compared
+            same = self.source.join(maybe_broadcast(large.select("item")), "item", "left_semi").groupBy("item").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("same"))
+            same = stage(large.join(same, "item"), "same")
+            twins = same.groupBy("rep", "same").agg(F.min("item").alias("twin"), F.count(F.lit(1)).alias("twins"))
+            same = same.join(twins, ["rep", "same"])
+            behind = (F.col("twins") > expand) & (F.col("item") != F.col("twin"))
+            stand = stand.unionByName(same.where(~behind).select("item", "rep"))
+            star = same.where(behind).select(F.col("twin").alias("a"), F.col("item").alias("b"))
+        single = m.where("copies = 1").join(maybe_broadcast(linked), "rep", "left_semi").select("item", "rep")
+        units = stage(stand.unionByName(single), "units")
+        sizes = units.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+        blocks = units.join(sizes, "rep").groupBy("rep", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list("item").alias("items"))
+        size = lambda c: sizes.select(F.col("rep").alias(c), F.sequence(F.lit(0), F.col("blocks") - 1).alias(f"{c}_blocks"))
+        own = sizes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        met = links.unionByName(own).join(size("a"), "a").join(size("b"), "b").withColumn("i", F.explode("a_blocks")).withColumn("j", F.explode("b_blocks")).where("a <> b or i <= j")
+        side = lambda c, at, out: blocks.select(F.col("rep").alias(c), F.col("block").alias(at), F.col("items").alias(out))
+        met = met.join(side("a", "i", "ps"), ["a", "i"]).join(side("b", "j", "qs"), ["b", "j"])
+        every = met.select((F.col("a") == F.col("b")).alias("_own"), (F.col("i") == F.col("j")).alias("_block"), F.explode("ps").alias("p"), "qs").select("_own", "_block", "p", F.explode("qs").alias("q"))
+        every = every.where("not _own or not _block or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        return every if star is None else every.unionByName(star)
 
     def groups(self) -> DataFrame:
         """``item, group_id, links``: one row per item that has a near-duplicate; the group is a connected component, named by its least item, and ``links`` counts the classes linked directly plus the other copies of the own text."""

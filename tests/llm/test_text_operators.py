@@ -209,6 +209,23 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_large_classes_of_different_texts_are_paired_in_full(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LIST_BLOCK", 16)
+    r = random.Random(21)
+    base = prose(r, 40).split()
+    near = ["other", *base[1:]]
+    rows = [(f"s{i:02d}", " ".join(r.sample(base, 40)) + "!" * (i % 2)) for i in range(40)] + [(f"t{i}", " ".join(r.sample(near, 40))) for i in range(10)]
+    texts = list(rows)
+    rows += [(f"x{i:02d}", rows[0][1]) for i in range(40)] + [(f"y{i}", rows[1][1]) for i in range(3)] + [("y0", rows[1][1])]
+    df = spark.createDataFrame(rows, "id string, body string")
+    n = near_dup.NearDuplicates(df, "id", "body")
+    got = [(x.a, x.b) for x in n.pairs().collect()]
+    # the 41 byte-identical texts are paired with the least of them only; everything else is listed
+    behind = {f"x{i:02d}" for i in range(40)}
+    want = {(a, b) for a, b in brute_pairs(rows) if not {a, b} & behind} | {("s00", x) for x in behind}
+    assert len(got) == len(set(got)) and set(got) == want and brute_pairs(texts) <= set(got)
+
+
 def test_words():
     assert near_dup.words("It's A_b 3.5x") == ["it", "s", "a", "b", "3", "5x"] and near_dup.words("Ünïc öde_x") == ["ünïc", "öde", "x"]
 
