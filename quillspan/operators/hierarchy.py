@@ -104,6 +104,7 @@ class Hierarchy:
     ranges are allocated downward by prefix sums, both by doubling, so the number of rounds grows with the logarithm of
     the depth. Links beside the forest are followed between the nodes that have them: a cycle leads through such nodes,
     which trimming leaves unprocessed, and through the nodes of the forest between them, which their ranges tell.
+    ``descendants`` follows all links; ``size``, ranges and ``paths`` are those of the forest.
     """
 
     def __init__(self, links: DataFrame, window_rows: int = WINDOW_ROWS):
@@ -229,6 +230,16 @@ class Hierarchy:
         return self._doubled(start, {"path": lambda a, b: F.concat(a, b)}).select(*_KEY, "path")
 
     def descendants(self) -> DataFrame:
-        """``kind, node, descendant, depth``: all pairs of the forest, as many rows as the sum of depths."""
-        p = self.paths().select("kind", F.col("node").alias("descendant"), F.posexplode("path").alias("depth", "node"))
-        return p.select("kind", "node", "descendant", (F.col("depth") + 1).alias("depth"))
+        """``kind, node, descendant, depth``: every node that reaches ``node`` over the links, forest or not, with the fewest steps, at least 1; a node on a cycle is its own descendant.
+
+        A round doubles the distance: a pair further apart than the pairs at hand has on a shortest way a node at exactly
+        the greatest distance so far, and goes on from there within it. Rows are the result, rounds its logarithm.
+        """
+        now, far = stage(self.edges.select("kind", F.col("child").alias("down"), F.col("parent").alias("up"), F.lit(1).cast("long").alias("dist")), "reach"), 1
+        while not small_enough(now.where(F.col("dist") == far), 0):
+            rim = now.where(F.col("dist") == far).select("kind", "down", F.col("up").alias("mid"))
+            on = now.select("kind", F.col("down").alias("mid"), "up", (F.col("dist") + far).alias("dist"))
+            more = rim.join(on, ["kind", "mid"]).select("kind", "down", "up", "dist")
+            now = _swap(now, now.unionByName(more).groupBy("kind", "down", "up").agg(F.min("dist").alias("dist")), "reach")
+            far *= 2
+        return now.select("kind", F.col("up").alias("node"), F.col("down").alias("descendant"), F.col("dist").alias("depth"))

@@ -29,16 +29,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("kind", F.col("node").cast("int").alias("rfc_number"), F.col("root").cast("int").alias("root_number"), F.col("depth").cast("int").alias("depth"))
 
 
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All documents that each document has replaced or updated, over any of several successors and over cycles."""
+    out = Hierarchy(succession(spark, d)).descendants()
+    return out.select("kind", F.col("node").cast("int").alias("rfc_number"), F.col("descendant").cast("int").alias("descendant_number"), F.col("depth").cast("int").alias("depth"))
+
+
 def p2_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The forest: path, depth and nested-set range of each document. ``n_descendants`` counts over all links, so it can exceed what the range holds."""
     h = Hierarchy(succession(spark, d))
-    out = h.forest.join(h.paths(), ["kind", "node"]).join(h.cycles, ["kind", "node"], "left")
+    below = h.descendants().groupBy("kind", "node").agg(F.count(F.lit(1)).alias("below"))
+    out = h.forest.join(h.paths(), ["kind", "node"]).join(h.cycles, ["kind", "node"], "left").join(below, ["kind", "node"], "left")
     return out.select(
-        "kind", F.col("node").cast("int").alias("rfc_number"), F.col("top").cast("int").alias("top_number"), F.col("depth").cast("int").alias("depth"), (F.col("size") - 1).cast("long").alias("n_descendants"),
+        "kind", F.col("node").cast("int").alias("rfc_number"), F.col("top").cast("int").alias("top_number"), F.col("depth").cast("int").alias("depth"), F.coalesce("below", F.lit(0)).cast("long").alias("n_descendants"),
         F.col("pre").cast("long").alias("range_start"), (F.col("pre") + F.col("size") - 1).cast("long").alias("range_end"), F.array_join(F.col("path").cast("array<string>"), " > ").alias("path"), F.col("cycle").cast("int").alias("cycle"),
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tree)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_tree)}
 
 _EDGES = """
 valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rfc_number ORDER BY entry_ord DESC) AS rn FROM rfc_index) WHERE rn = 1),
@@ -50,6 +58,13 @@ edge AS (
   WHERE child > 0 AND parent > 0)"""
 
 ORACLE = {
+    "p2_descendants": f"""
+WITH RECURSIVE {_EDGES},
+reach(kind, node, up, depth) AS (
+  SELECT kind, child, parent, 1 FROM edge
+  UNION
+  SELECT r.kind, r.node, e.parent, r.depth + 1 FROM reach r JOIN edge e ON e.kind = r.kind AND e.child = r.up WHERE r.depth < 80)
+SELECT kind, up AS rfc_number, node AS descendant_number, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY ALL""",
     "p2_found": f"""
 WITH RECURSIVE {_EDGES},
 reach(kind, node, up, depth) AS (

@@ -42,6 +42,26 @@ def test_random_graphs(spark, seed):
     assert {(x.node, x.cycle) for x in h.cycles.collect()} == cycles
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_descendants_over_several_parents_and_cycles(spark, seed):
+    r = random.Random(seed)
+    edges = {(r.randrange(40), r.randrange(40)) for _ in range(50)} | {(101, 100), (101, 102), (103, 101), (200, 201), (201, 202), (202, 200), (300, 300)} | {(400 + i, 401 + i) for i in range(11)}
+    up = defaultdict(set)
+    for c, p in edges:
+        up[c].add(p)
+    want = set()
+    for n in list(up):
+        seen, todo = {}, deque((p, 1) for p in up[n])
+        while todo:
+            x, d = todo.popleft()
+            if x not in seen:
+                seen[x] = d
+                todo.extend((p, d + 1) for p in up.get(x, ()))
+        want |= {(x, n, d) for x, d in seen.items()}
+    got = [(x.node, x.descendant, x.depth) for x in build(spark, sorted(edges)).descendants().collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (102, 103, 2) in want
+
+
 def test_tree_ranges_and_paths(spark):
     #       1
     #     2   3
