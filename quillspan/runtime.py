@@ -58,7 +58,8 @@ def shared_root(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
         elif "://" not in base:
             base = "file://" + os.path.abspath(base) if spark.sparkContext.master.startswith("local") else base
-        _roots[app] = f"{base.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quillspan-{uuid.uuid4().hex}")
+        _roots[app] = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm).toString()
         atexit.register(_forget, spark, _roots[app])
     return _roots[app]
 
@@ -88,6 +89,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_file_rows(folder: str, columns: list[str]):
+    """The rows of the Parquet files below ``folder`` as an Arrow table, read by the Python worker that calls this; a missing folder has none."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs as arrow_fs
+
+    scheme, _, rest = folder.partition(":") if ":" in folder.split("/", 1)[0] else ("file", "", folder)
+    if scheme == "file":
+        fs, path = arrow_fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        fs, path = arrow_fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+    found = fs.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True))
+    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+    tables = [pq.ParquetFile(fs.open_input_file(f)).read(columns=columns) for f in files]
+    return pa.concat_tables(tables) if tables else pa.table({c: [] for c in columns})
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a table made by :func:`stage` when no later plan reads it."""
     root = shared_root(df.sparkSession)
