@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,26 +10,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.runtime import maybe_broadcast, stage
+from quillspan.runtime import maybe_broadcast, read_file_rows, shared_root, small_enough, stage
 
-#: Vectors of one block at most, and blocks at least (for parallel tiles).
-BLOCK_ROWS, MIN_BLOCKS = 32_768, 6
+#: Vectors of one block on average at most. A tile task holds two blocks and one product in memory, about 100 MB.
+BLOCK_ROWS = 16_384
 #: Rows and columns of one product held in memory.
 _ROWS, _COLS = 1024, 8192
+#: What float32 products may add to a bound.
+_EPS = 2e-6
+#: Decimals to which cosines are ordered; beyond them lies the rounding of the sums.
+DECIMALS = 7
+#: Items of one class from which its members are joined to its list by broadcast.
+HOT_CLASS = 100_000
 
 
-def _unit(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and float64 unit vectors of the usable rows: ``dim`` finite numbers, not all zero."""
+def _unit(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices, given float32 and float64 unit vectors of the usable rows: ``dim`` finite numbers, none null, not all zero."""
     col = batch.column(1)
     lengths = col.value_lengths().to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(np.nan_to_num(lengths, nan=-1) == dim)
     if not len(rows):
-        return rows, np.empty((0, dim))
-    v = col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    ok = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
-    rows, v = rows[ok], v[ok]
-    v = v / np.abs(v).max(axis=1, keepdims=True) if len(v) else v
-    return rows, v / np.linalg.norm(v, axis=1, keepdims=True)
+        return rows, np.empty((0, dim), np.float32), np.empty((0, dim))
+    parts = col.take(pa.array(rows)).flatten()
+    given = parts.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)  # a null part comes out as NaN
+    ok = np.isfinite(given).all(axis=1) & (given != 0).any(axis=1)
+    return rows[ok], given[ok], _scaled(given[ok])
+
+
+def _scaled(given: np.ndarray) -> np.ndarray:
+    v = given.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True, initial=0)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _class_hash(u: np.ndarray) -> list[bytes]:
@@ -39,140 +51,207 @@ def _class_hash(u: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(r.tobytes()) for r in rounded]
 
 
-def _quantised(df: DataFrame, dim: int) -> DataFrame:
+def _classed(df: DataFrame, dim: int, floats: bool) -> DataFrame:
+    """``item, class`` of the usable rows, with their vectors as float32 bytes if wanted."""
+    schema = "item string, class binary" + (", floats binary" if floats else "")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, u = _unit(b, dim)
-            if not len(rows):
-                continue
-            scale = np.abs(u).max(axis=1) / 127
-            q = np.round(u / scale[:, None]).astype(np.int8)
-            err = np.linalg.norm(u - q * scale[:, None], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(_class_hash(u), pa.binary()), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(err)], ["item", "class", "q", "scale", "err"])
+            rows, given, u = _unit(b, dim)
+            if len(rows):
+                cols = [b.column(0).take(pa.array(rows)), pa.array(_class_hash(u), pa.binary())]
+                cols += [pa.array([r.tobytes() for r in given], pa.binary())] if floats else []
+                yield pa.RecordBatch.from_arrays(cols, ["item", "class", "floats"][: len(cols)])
 
-    return df.mapInArrow(run, "item string, class binary, q binary, scale double, err double")
+    return df.mapInArrow(run, schema)
 
 
-def _floats(df: DataFrame, dim: int) -> DataFrame:
+def _once_a_task(df: DataFrame) -> DataFrame:
+    """``item, class, floats`` with the vector of a class once per task, and its item again only where it is the least so far."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, str] = {}
         for b in batches:
-            rows, u = _unit(b, dim)
-            if len(rows):
-                given = b.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(_class_hash(u), pa.binary()), pa.array([r.tobytes() for r in given], pa.binary())], ["item", "class", "floats"])
+            kept, bare = [], []
+            for n, (item, cls) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if cls not in least or item < least[cls]:
+                    kept.append(n)
+                    bare.append(cls in least)
+                    least[cls] = item
+            out = b.take(pa.array(kept, pa.int64()))
+            vectors = pa.array([None if x else v for x, v in zip(bare, out.column(2).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), vectors], ["item", "class", "floats"])
 
     return df.mapInArrow(run, "item string, class binary, floats binary")
 
 
-def _tile_heaps(dot: np.ndarray, slack: float, k: int, floor: float, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers that may be among a row's k best, by bounds dot +- slack. ``lows`` keeps each row's k-th lower bound so far."""
-    if floor > -1:
-        r, c = np.nonzero(dot >= floor - slack)
-        return r, c
-    if dot.shape[1] > k:
-        kth = np.partition(dot, dot.shape[1] - k, axis=1)[:, dot.shape[1] - k]
-        np.maximum(lows, kth - slack, out=lows)
-    return np.nonzero(dot >= (lows - slack)[:, None])
-
-
-def _tile(table: pa.Table, dim: int, k: int, floor: float) -> pa.Table:
-    own = table.column("own").to_numpy()
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    left = np.flatnonzero(own == i)
-    right = left if i == j else np.flatnonzero(own == j)
-    scale, err = table.column("scale").to_numpy(), table.column("err").to_numpy()
-    codes = table.column("q").combine_chunks()
-    at = lambda rows: np.frombuffer(b"".join(codes.take(pa.array(rows)).to_pylist()), np.int8).reshape(-1, dim)
-    slack = float(err.max() * 2 + err.max() ** 2) + 1e-6
-    lists: dict[bool, list] = {True: [], False: []}
-    low = {True: np.full(len(left), -2.0, np.float32), False: np.full(len(right), -2.0, np.float32)}
-    rhs = [(s, at(right[s : s + _COLS]).astype(np.float32) * scale[right[s : s + _COLS], None].astype(np.float32)) for s in range(0, len(right), _COLS)]
-    for a in range(0, len(left), _ROWS):
-        part = left[a : a + _ROWS]
-        lhs = at(part).astype(np.float32)
-        for s, block in rhs:
-            if i == j and s + len(block) <= a:
-                continue
-            dot = (lhs @ block.T) * scale[part, None].astype(np.float32)
-            if i == j:  # above the diagonal only
-                inside = np.arange(s, s + len(block))[None, :] <= np.arange(a, a + len(part))[:, None]
-                if inside.any():
-                    dot[inside] = -2
-            r, c = _tile_heaps(dot, slack, k, floor, low[True][a : a + len(part)])
-            keep = dot[r, c] > -2
-            lists[True].append((r[keep] + a, c[keep] + s, dot[r, c][keep]))
-            if floor <= -1:
-                c, r = _tile_heaps(dot.T, slack, k, floor, low[False][s : s + len(block)])
-                keep = dot[r, c] > -2
-                lists[False].append((r[keep] + a, c[keep] + s, dot[r, c][keep]))
-    out_a, out_b, out_dot = [], [], []
-    for way, found in lists.items():
-        if not found:
-            continue
-        r, c, d = (np.concatenate(z) for z in zip(*found))
-        if floor <= -1:  # once more with the final bounds
-            ok = d >= low[way][r if way else c] - slack
-            r, c, d = r[ok], c[ok], d[ok]
-        out_a += [left[r] if way else right[c]]
-        out_b += [right[c] if way else left[r]]
-        out_dot += [d]
-        if floor > -1:  # both directions at once
-            out_a, out_b, out_dot = [*out_a, right[c]], [*out_b, left[r]], [*out_dot, d]
-    cls = table.column("class").combine_chunks()
-    a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (out_a, out_b))
-    d = np.concatenate(out_dot).astype(np.float64) if out_dot else np.empty(0)
-    return pa.table({"a": cls.take(pa.array(a)), "b": cls.take(pa.array(b)), "low": pa.array(d - slack), "high": pa.array(d + slack)})
-
-
-def _cosines(pairs: DataFrame) -> DataFrame:
+class _Block:
+    """One block as a tile needs it: items, unit vectors, int8 codes with scales, and the norms of what rounding took away."""
+
+    def __init__(self, place: str, number: int, dim: int):
+        table = read_file_rows(f"{place}/block={number}", ["item", "floats"])
+        self.items = np.asarray(table.column("item").to_pylist(), dtype=str) if table.num_rows else np.empty(0, "U1")
+        self.unit = _scaled(np.frombuffer(b"".join(table.column("floats").to_pylist()), np.float32).reshape(-1, dim)).astype(np.float64)
+        self.scale = np.abs(self.unit).max(axis=1, initial=0) / 127
+        self.codes = np.round(self.unit / self.scale[:, None]).astype(np.int8)
+        self.err = np.linalg.norm(self.unit - self.codes * self.scale[:, None], axis=1)
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def left(self, rows: slice, sign: int = 1) -> np.ndarray:
+        """Factors whose product with :meth:`right` is a bound of the cosine: code product + sign * (e + f + e * f)."""
+        e = self.err[rows]
+        ends = np.stack([sign * e, sign * (1 + e)], axis=1)
+        return np.concatenate([self.codes[rows] * self.scale[rows, None], ends], axis=1, dtype=np.float32, casting="unsafe")
+
+    def right(self, rows: slice) -> np.ndarray:
+        f = self.err[rows]
+        ends = np.stack([np.ones(len(f)), f], axis=1)
+        return np.concatenate([self.codes[rows] * self.scale[rows, None], ends], axis=1, dtype=np.float32, casting="unsafe").T
+
+
+class _Heaps:
+    """The ``k`` best of each row so far, by cosine and then by item; cosines are those of the given vectors in float64."""
+
+    def __init__(self, n: int, k: int, floor: float):
+        self.k, self.floor = k, floor
+        self.cosine = np.full((n, k), -np.inf)
+        self.item = np.full((n, k), None, dtype=object)
+
+    def bar(self, rows: slice) -> np.ndarray:
+        """What a cosine must reach to matter."""
+        return np.maximum(self.cosine[rows, -1], self.floor)
+
+    def push(self, rows: np.ndarray, cosine: np.ndarray, item: np.ndarray) -> None:
+        ok = (np.round(cosine, DECIMALS) >= np.round(self.cosine[rows, -1], DECIMALS)) & (cosine >= self.floor)
+        rows, cosine, item = rows[ok], cosine[ok], item[ok]
+        if not len(rows):
+            return
+        touched = np.unique(rows)
+        old = self.cosine[touched].ravel()
+        held = np.isfinite(old)
+        r = np.concatenate([rows, np.repeat(touched, self.k)[held]])
+        c = np.concatenate([cosine, old[held]])
+        names = np.concatenate([item, self.item[touched].ravel()[held].astype(str)]) if held.any() else item
+        order = np.lexsort((names, -np.round(c, DECIMALS), r))
+        r, c, names = r[order], c[order], names[order]
+        first = np.concatenate(([True], r[1:] != r[:-1]))
+        place = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+        top = place < self.k
+        self.cosine[touched], self.item[touched] = -np.inf, None
+        self.cosine[r[top], place[top]], self.item[r[top], place[top]] = c[top], names[top].astype(object)
+
+
+def _tile(a: _Block, b: _Block, same: bool, heaps: _Heaps) -> None:
+    """Puts what block ``b`` has for the rows of block ``a`` on their heaps: products of codes bound every cosine; only pairs that may still be among a row's best are recomputed."""
+    k = heaps.k
+    for s in range(0, len(b), _COLS):
+        cols = slice(s, min(s + _COLS, len(b)))
+        rhs = b.right(cols)
+        for t in range(0, len(a), _ROWS):
+            rows = slice(t, min(t + _ROWS, len(a)))
+            high = a.left(rows) @ rhs
+            own = np.arange(max(t, s), min(rows.stop, cols.stop)) if same else ()
+            if len(own):
+                high[own - t, own - s] = -9
+            bar = heaps.bar(rows)
+            fresh = np.isneginf(heaps.cosine[rows, -1])
+            if fresh.any() and high.shape[1] > k:  # lists that aren't full: at least the k-th lower bound will be reached
+                low = a.left(rows, -1)[fresh] @ rhs
+                if len(own):
+                    low[(high == -9)[fresh]] = -9
+                bar[fresh] = np.maximum(bar[fresh], np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] - _EPS)
+            r, c = np.nonzero(high >= (bar - _EPS)[:, None].astype(np.float32))
+            for at in range(0, len(r), 1 << 14):
+                x, y = r[at : at + (1 << 14)] + t, c[at : at + (1 << 14)] + s
+                ok = (x != y) if same else np.ones(len(x), bool)
+                x, y = x[ok], y[ok]
+                heaps.push(x, np.einsum("ij,ij->i", a.unit[x], b.unit[y]), b.items[y])
+
+
+def _tiles(source: DataFrame, place: str, blocks: int, runs: int, k: int, dim: int, floor: float) -> DataFrame:
+    """``a, b, cosine``: the k best of every row in each run of blocks. A task holds one block and reads the blocks of its run one after the other."""
+    step = -(-blocks // runs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float32).reshape(b.num_rows, -1).astype(np.float64) for c in (2, 3))
-                x, y = (z / np.abs(z).max(axis=1, keepdims=True) for z in (x, y))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)))], ["a", "b", "cosine"])
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                i, first = number % blocks, number // blocks * step
+                a = _Block(place, i, dim)
+                heaps = _Heaps(len(a), k, floor)
+                for j in range(first, min(first + step, blocks)):
+                    _tile(a, a if i == j else _Block(place, j, dim), i == j, heaps)
+                held = np.isfinite(heaps.cosine)
+                row, _ = np.nonzero(held)
+                for s in range(0, len(row), 100_000):
+                    part = slice(s, s + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a.items[row[part]], pa.string()), pa.array(heaps.item[held][part], pa.string()), pa.array(heaps.cosine[held][part])], ["a", "b", "cosine"]
+                    )
+
+    work = source.sparkSession.range(0, blocks * -(-blocks // step), 1, blocks * -(-blocks // step))
+    return work.mapInArrow(run, "a string, b string, cosine double")
 
-    return pairs.mapInArrow(run, "a binary, b binary, cosine double")
 
+def _blocks_of(source: DataFrame, chosen: DataFrame, dim: int, blocks: int, mixed: bool) -> str:
+    """Writes the vectors, one per class under its least item, to a folder ``block=<n>`` per block in the shared folder."""
+    rows = _classed(source, dim, True)
+    if mixed:  # ids with several vectors: only the chosen one of each counts
+        other = rows.select("item", "class").distinct().join(chosen, ["item", "class"], "left_anti")
+        rows = rows.join(maybe_broadcast(stage(other, "other")), ["item", "class"], "left_anti")
+    rows = _once_a_task(rows).withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
+    rows = rows.repartition(2 * blocks, "block").groupBy("block", "class").agg(F.min("item").alias("item"), F.max("floats").alias("floats"))
+    place = f"{shared_root(source.sparkSession)}/vectors-{uuid.uuid4().hex[:12]}"
+    rows.select("block", "item", "floats").write.option("compression", "zstd").partitionBy("block").parquet(place)
+    return place
 
-def nearest_vectors(df: DataFrame, item: str, vector: str, k: int = 10, dim: int = 256, min_cosine: float = -1.0, block_rows: int = BLOCK_ROWS, min_blocks: int = MIN_BLOCKS) -> DataFrame:
+
+def nearest_vectors(
+    df: DataFrame, item: str, vector: str, k: int = 10, dim: int = 256, min_cosine: float = -1.0, block_rows: int = BLOCK_ROWS, min_blocks: int | None = None
+) -> DataFrame:
     """``item, neighbor, cosine, rank``: for every item the ``k`` others of greatest cosine, at least ``min_cosine``.
 
-    Vectors are quantised to int8 with their rounding errors; blocks meet pairwise in tiles, whose products bound each
-    cosine from below and above. Pairs that can still be among the k best are recomputed in float and merged, so the
-    result equals brute force up to rounding. ``min_cosine`` prunes in the tiles. Equal cosines are ordered by item.
+    Vectors are cut into blocks by hash and written once to the shared folder. A tile task reads two blocks, quantises
+    them to int8 with the norms of the rounding errors, and its products bound every cosine from above, pair by pair.
+    Pairs whose bound reaches the k-th best cosine of their row so far (and ``min_cosine``) are recomputed in float64
+    from the given values and put on the row's heap of k, so a task emits at most k rows per vector whatever the data,
+    and the result equals brute force up to rounding. Cosines that agree to seven decimals count as equal and are ordered by item.
+
+    Every pair of blocks is a tile, so time grows with the square of the vectors; what is shuffled are the vectors once
+    and k rows per vector and run of blocks. Executors read the block files through pyarrow (file, hdfs, s3, gs).
 
-    Vectors of other length than ``dim``, with null, NaN or infinite parts, or all zero take no part; null ids neither. A repeated id counts
-    once. Items of one direction form a class that is compared once, whatever its size, and stands with its first k + 1
-    items, all that any list can need; so copies never multiply. Other columns are ignored; an empty table gives no rows.
+    Vectors of other length than ``dim``, with null, NaN or infinite parts, or all zero take no part; null ids neither. A
+    repeated id counts once (of several vectors the one of least class hash). Items of one direction form a class that is
+    compared once, whatever its size, and stands with its first k + 1 items, all that any list can need; so copies never
+    multiply. Other columns are ignored; an empty table gives no rows.
     """
-    source = df.where(F.col(item).isNotNull() & F.col(vector).isNotNull()).select(F.col(item).cast("string").alias("item"), F.filter(F.col(vector).cast("array<float>"), lambda x: x.isNotNull()).alias("vector"))
-    once = _quantised(source, dim).groupBy("item").agg(F.min(F.struct("class", "q", "scale", "err")).alias("x")).select("item", "x.*")
-    once = stage(once, "quantised")
+    spark = df.sparkSession
+    source = df.where(F.col(item).isNotNull() & F.col(vector).isNotNull())
+    source = source.select(F.col(item).cast("string").alias("item"), F.col(vector).cast("array<float>").alias("vector"))
+    once = _classed(source, dim, False).groupBy("item").agg(F.min("class").alias("class"), F.max("class").alias("_most"))
+    once = stage(once, "classed")
+    mixed = not small_enough(once.where(F.col("class") != F.col("_most")), 0)
     members = once.select("item", "class")
-    first = members.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("item"))).where(F.col("n") <= k + 1)
-    heads = stage(first.groupBy("class").agg(F.array_sort(F.collect_list("item")).alias("items")), "classes")
-    total = heads.count()
-    blocks = max(min_blocks if total > 2000 else 1, -(-total // block_rows))
-    classes = once.join(heads.select("class", F.col("items")[0].alias("item")), ["class", "item"]).select("class", "q", "scale", "err")
-    placed = classes.withColumn("own", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    near = placed.groupBy("i", "j").applyInArrow(lambda t: _tile(t, dim, k, min_cosine), "a binary, b binary, low double, high double")
-    if min_cosine <= -1:
-        kth = F.when(F.row_number().over(Window.partitionBy("a").orderBy(F.desc("low"))) == k, F.col("low"))
-        near = near.withColumn("kth", kth).withColumn("kth", F.coalesce(F.max("kth").over(Window.partitionBy("a")), F.lit(-2.0))).where("high >= kth")
-    near = stage(near.select("a", "b"), "survivors")
-    need = near.select(F.col("a").alias("class")).distinct().join(heads.select("class", F.col("items")[0].alias("item")), "class")
-    units = _floats(source.join(maybe_broadcast(need.select("item")), "item", "left_semi"), dim)
-    units = units.join(need, ["class", "item"], "left_semi").dropDuplicates(["class"]).select("class", "floats")
-    units = stage(units, "units")
-    pairs = near.join(units.select(F.col("class").alias("a"), F.col("floats").alias("ua")), "a").join(units.select(F.col("class").alias("b"), F.col("floats").alias("ub")), "b")
-    exact = _cosines(pairs.select("a", "b", "ua", "ub")).where(F.col("cosine") >= min_cosine)
-    ranked = exact.join(heads.select(F.col("class").alias("b"), "items"), "b")
-    best = ranked.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), F.col("items")[0]))).where(F.col("n") <= k)
-    far = best.select(F.col("a").alias("class"), "cosine", F.explode("items").alias("neighbor"))
-    own = heads.where(F.size("items") > 1).select("class", F.lit(1.0).alias("cosine"), F.explode("items").alias("neighbor"))
-    lists = far.unionByName(own).withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("cosine"), "neighbor"))).where(F.col("n") <= k + 1)
-    lists = lists.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "neighbor", "cosine"))).alias("list"))
-    out = members.join(lists, "class").select("item", F.slice(F.filter("list", lambda x: x["neighbor"] != F.col("item")), 1, k).alias("list"))
-    return out.select("item", F.posexplode("list").alias("at", "x")).select("item", F.col("x.neighbor").alias("neighbor"), F.col("x.cosine").alias("cosine"), (F.col("at") + 1).alias("rank"))
+    sizes = members.groupBy("class").agg(F.min("item").alias("head"), F.count(F.lit(1)).alias("n"))
+    sizes = stage(sizes, "classes")
+    total, cores = sizes.count(), spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-total // block_rows), min_blocks or (cores if total > 2000 else 1))
+    runs = min(blocks, max(1, -(-2 * cores // blocks)))
+    near = _tiles(source, _blocks_of(source, members, dim, blocks, mixed), blocks, runs, k, dim, min_cosine)
+
+    copies = stage(members.join(maybe_broadcast(sizes.where("n > 1")), "class").select("item", "head", "n"), "copies")
+    first = copies.withColumn("_n", F.row_number().over(Window.partitionBy("head").orderBy("item"))).where(F.col("_n") <= k + 1)
+    first = stage(first.groupBy("head").agg(F.array_sort(F.collect_list("item")).alias("items")), "first")
+    far = near.join(maybe_broadcast(first.select(F.col("head").alias("b"), "items")), "b", "left")
+    far = far.select("a", "cosine", F.explode(F.coalesce("items", F.array("b"))).alias("neighbor"))
+    own = first.select(F.col("head").alias("a"), F.lit(1.0).alias("cosine"), F.explode("items").alias("neighbor"))
+    lists = far.unionByName(own).withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("cosine", DECIMALS)), "neighbor"))).where(F.col("n") <= k + 1)
+    lists = stage(lists.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "neighbor", "cosine"))).alias("list")), "lists")
+    more = copies.where("item <> head").select("item", F.col("head").alias("a"), "n")
+    hot = lists.join(more.where(F.col("n") > HOT_CLASS).select("a").distinct(), "a", "left_semi")
+    rest = more.where(F.col("n") <= HOT_CLASS).join(lists, "a").unionByName(more.where(F.col("n") > HOT_CLASS).join(maybe_broadcast(hot), "a"))
+    every = lists.select(F.col("a").alias("item"), "list").unionByName(rest.select("item", "list"))
+    every = every.select("item", F.slice(F.filter("list", lambda x: x["neighbor"] != F.col("item")), 1, k).alias("list"))
+    every = every.select("item", F.posexplode("list").alias("at", "x"))
+    return every.select("item", F.col("x.neighbor").alias("neighbor"), F.col("x.cosine").alias("cosine"), (F.col("at") + 1).alias("rank"))

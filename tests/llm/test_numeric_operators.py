@@ -39,6 +39,43 @@ def test_neighbours_equal_brute_force(spark, floor, blocks):
     assert set(got) <= set(want)
 
 
+def test_dense_vectors_give_no_more_than_k_rows_a_tile(spark):
+    from quillspan.llm.knn import _Block, _Heaps, _scaled, _tile
+
+    r = np.random.default_rng(5)
+    given = (r.normal(size=(5000, 64)) * 0.25 + 1).astype(np.float32)  # cosines over 0.9 throughout
+
+    class Made(_Block):
+        def __init__(self, rows):
+            self.items, self.unit = np.asarray([f"v{i:05d}" for i in rows]), _scaled(given[rows])
+            self.scale = np.abs(self.unit).max(axis=1) / 127
+            self.codes = np.round(self.unit / self.scale[:, None]).astype(np.int8)
+            self.err = np.linalg.norm(self.unit - self.codes * self.scale[:, None], axis=1)
+
+    a, b = Made(np.arange(2500)), Made(np.arange(2500, 5000))
+    heaps = _Heaps(len(a), 10, 0.8)
+    for other, same in ((a, True), (b, False)):
+        _tile(a, other, same, heaps)
+    cos = _scaled(given) @ _scaled(given).T
+    np.fill_diagonal(cos, -9)
+    assert cos[0, 1:].min() > 0.8 and heaps.item.shape == (2500, 10)
+    for i in range(0, 2500, 97):
+        assert sorted(heaps.cosine[i]) == pytest.approx(sorted(cos[i])[-10:], abs=1e-9)
+
+
+def test_a_vector_with_a_null_part_takes_no_part(spark):
+    rows = [("a", [1.0, 0.0, 1.0, 0.0]), ("b", [1.0, 0.1, 1.0, 0.0]), ("c", [1.0, None, 0.0, 1.0, 0.0]), ("d", [1.0, None, 1.0, 0.0])]
+    got = knn.nearest_vectors(spark.createDataFrame(rows, "id string, vec array<float>"), "id", "vec", k=3, dim=4).collect()
+    assert {(x.item, x.neighbor) for x in got} == {("a", "b"), ("b", "a")}
+
+
+def test_an_id_of_several_vectors_counts_once(spark):
+    r = np.random.default_rng(9)
+    rows = [(f"v{i % 40:02d}", [float(x) for x in r.normal(size=8)]) for i in range(60)]
+    got = knn.nearest_vectors(spark.createDataFrame(rows, "id string, vec array<float>"), "id", "vec", k=5, dim=8, min_blocks=3).collect()
+    assert len(got) == 40 * 5 and all(x.item != x.neighbor for x in got) and len({(x.item, x.neighbor) for x in got}) == 200
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([("a", [0.0, 0.0])], "id string, vec array<float>")
     assert knn.nearest_vectors(df, "id", "vec", dim=2).count() == 0 and knn.nearest_vectors(df.limit(0), "id", "vec", dim=2).count() == 0
