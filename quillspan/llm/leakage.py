@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.kernels import common_run, minimizers
-from quillspan.runtime import stage
+from quillspan.operators.skew import heavy_keys
+from quillspan.runtime import maybe_broadcast, small_enough, stage
 
 #: Characters of evaluation text that may be sent to every executor; a larger test set goes through shuffle joins.
 INLINE_CHARS = 4_000_000
+#: Rows of one fingerprint, and hits of one item, from which they are joined apart.
+HEAVY = 10_000
 _OTHER = re.compile(r"[\W_]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _DROP = bytes(i for i in range(128) if not chr(i).isalnum())
@@ -41,7 +44,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
 
     Returns ``doc_id, item_id, doc_start, item_start, length``, the longest common run of each pair, in characters of
     the reduced texts. Of every window of ``shared - k + 1`` k-grams the least hash is kept on both sides, so every run of
-    ``shared`` characters is found; each hit is extended on the texts, so nothing shorter comes out. Null ids and texts
+    ``shared`` characters is found; each hit is extended on the texts, so nothing shorter comes out: an item of fewer than
+    ``shared`` letters and digits can't leak by this measure (lower ``shared`` for such items). Null ids and texts
     take no part, repeated rows count once per id (runs over several texts of one id are merged), other columns are ignored.
     A test set of at most ``inline_chars`` characters, counted first, is sent to the executors and the corpus is read in one
     pass without a shuffle; a larger one is joined by fingerprint.
@@ -101,12 +105,24 @@ def _prints(df: DataFrame, key: str, text: str, k: int, w: int) -> DataFrame:
     return df.select(key, text).mapInArrow(run, "id long, at long, print long")
 
 
-def _joined(docs: DataFrame, items: DataFrame, k: int, w: int, shared: int) -> DataFrame:
+def _split_join(rows: DataFrame, side: DataFrame, key: str, heavy: int) -> DataFrame:
+    """Inner join in which keys of very many ``rows`` are found beforehand and joined by broadcast of their few rows of ``side``."""
+    hot = heavy_keys(rows, key, heavy)
+    if small_enough(hot, 0):
+        return rows.join(side, key)
+    names = stage(hot.select(F.col("key").alias(key)), "hot")
+    hot_side = side.join(maybe_broadcast(names), key, "left_semi")
+    return rows.join(maybe_broadcast(names), key, "left_anti").join(side, key).unionByName(rows.join(maybe_broadcast(hot_side), key))
+
+
+def _joined(docs: DataFrame, items: DataFrame, k: int, w: int, shared: int, heavy: int = HEAVY) -> DataFrame:
     """The way for a test set of any size: fingerprints meet in a shuffle join, then the texts of the pairs that met."""
     left = _prints(docs, "doc_id", "doc_text", k, w).select(F.col("id").alias("doc_id"), F.col("at").alias("p"), "print")
     right = _prints(items, "item_id", "item_text", k, w).select(F.col("id").alias("item_id"), F.col("at").alias("q"), "print")
-    hits = stage(left.join(right, "print").groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set("p").alias("ps")), "hits")
-    pairs = hits.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", "shift", "ps", "doc_text", "item_text")
+    left, right = stage(left, "prints"), stage(right, "item-prints")
+    met = _split_join(left, right, "print", heavy).groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set("p").alias("ps"))
+    hits = stage(met, "hits")
+    pairs = _split_join(hits, items, "item_id", heavy).join(docs, "doc_id").select("doc_id", "item_id", "shift", "ps", "doc_text", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

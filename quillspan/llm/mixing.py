@@ -72,8 +72,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
 
     ``total`` is the size of the mix in tokens, by default that of all rows of ``sizes``, each once. Returns ``source,
     target_share, max_repeat, have_tokens, target_tokens, mix_tokens, repeats, below_target``: ``repeats`` is how often the
-    source's documents are used (whole and fractional), ``below_target`` whether the source can't reach its share even at
-    max_repeat. Sources without a target are left out of the mix but count in ``total``; a target without documents gets
+    source's documents are used (whole and fractional), ``below_target`` whether the filled mix leaves the source under its
+    share, which is so where it can't reach it even at max_repeat. Sources without a target are left out of the mix but count in ``total``; a target without documents gets
     nothing and is below. Null or negative shares and repeats count as 0; a repeated target counts once (greatest share).
     """
     spark = targets.sparkSession
@@ -89,7 +89,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     have = {r["source"]: int(r["n"] or 0) for r in rows}
     share, cap = {r["source"]: float(r["s"]) for r in rows}, {r["source"]: int(r["m"]) for r in rows}
     mix = water_fill(have, share, cap, total)
-    out = [(s, share[s], cap[s], have[s], share[s] * total, mix[s], mix[s] / have[s] if have[s] else 0.0, have[s] * cap[s] < share[s] * total) for s in sorted(have)]
+    out = [(s, share[s], cap[s], have[s], share[s] * total, mix[s], mix[s] / have[s] if have[s] else 0.0, mix[s] < share[s] * total * (1 - 1e-12)) for s in sorted(have)]
     return spark.createDataFrame(out, "source string, target_share double, max_repeat int, have_tokens long, target_tokens double, mix_tokens double, repeats double, below_target boolean")
 
 

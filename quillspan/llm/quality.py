@@ -11,41 +11,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Frequent articles, auxiliaries, pronouns and conjunctions of English, German, French and Spanish, without
-# accents. Prepositions that also join the nouns of list entries are left out.
-COMMON = frozenset(
-    """the a an of to is are be been being was were has have had that this these those it its they them their he she we you i not no but if
-    when while which who whose what how because so such than then there can could may might must shall should will would do does did and as by at
-    for from in on with into all any each already unless otherwise neither
-    der die das den dem des ein eine einen einem einer eines und nicht ist sind war wird werden wurde hat haben dass wenn sich es er sie wir ich kann
-    darf muss soll sollte zu im von fur auf als auch noch nur bei mit wie so aber weder
-    le la les un une du de et ne pas est sont etre qui que ce cette ces il elle ils se sa son ses peut doit a au aux dans par pour plus si
-    el los las uno una y es son ser del al que se su sus lo no debe puede ha en con para como esta este hay ni""".split()
-)
-_is_common = COMMON.__contains__
+# Thresholds of the rules for prose. They were set on rated documents (see the README); none of them knows a language.
+#: Letters that make a word short, and the share of short words that running text has: articles, prepositions and the like, in most languages.
+SHORT_WORD, FEW_SHORT, MANY_SHORT = 3, 0.15, 0.75
+#: Words from which a passage can be told by its short words, and from which its words must recur as well.
+LEAST_WORDS, LONG_PASSAGE = 5, 60
+#: Share of tokens that are words as written, with nothing but letters inside, and the mean length of words.
+CLEAN_TOKENS, MEAN_LENGTH = 0.7, (2.5, 13.0)
+#: Words of a sentence at most, for passages that show sentences by capital and full stop alone.
+LONGEST_SENTENCE = 60
+#: Share of a long passage's short words that may occur once only; random letters hardly repeat a word.
+FRESH_SHORT = 0.75
+#: Words of the grams whose repetition is measured, and of the dominant gram.
+REPEAT_GRAM, TOP_GRAM = 8, 3
+#: Letters of scripts without spaces that stand for one word.
+LETTERS_A_WORD = 2
+
 _WORD = re.compile(r"[^\W\d_]+")
+_CLEAN = re.compile(r"[(\"'«»„“”‘’¿¡\[]*[^\W\d_]+(?:[-'’][^\W\d_]+)*[)\"'«»“”’\].,;:!?]*")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
+_SENTENCE_END = re.compile("(?<=[.!?])[\"'”»)\\]]*\\s+|(?<=[。！？])")
+_DIGITS = re.compile(r"\d+")
 _QUOTE = re.compile(r"^\s*(?:[>|]\s?)*\s*>\s?")
 _MARK = re.compile(r"^\s*(?:[-*+•·◦‣–—o]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+(?=\S)")
 _GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _BLANK = re.compile(r"\n\s*\n")
 _NOT_DIGITS = bytes(i for i in range(256) if not 48 <= i <= 57)
-_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
-_ACCENTS = re.compile("[\u0300-\u036f]+")
+_INVISIBLE = re.compile("[\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 #: Letters that come from reading UTF-8 as another encoding, and replacement characters.
-_BROKEN = re.compile("[\u00c3\u00c2](?![A-Za-z])|\u00e2\u20ac|\ufffd")
+_BROKEN = re.compile("[\xc3\xc2](?![A-Za-z])|\xe2\u20ac|\ufffd")
 
 SCHEMA = (
-    "doc_id long, n_words long, n_lines long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, "
-    "list_line_share double, table_line_share double, dup_line_share double, dup_paragraph_share double, top_ngram_share double, prose_share double"
+    "doc_id long, n_words long, n_lines long, mean_word_length double, symbol_ratio double, punct_line_share double, short_word_share double, "
+    "list_line_share double, table_line_share double, dup_line_share double, dup_paragraph_share double, repeated_ngram_share double, top_ngram_share double, prose_share double"
 )
 
 
 def plain(text: str) -> str:
-    """Compatibility forms as plain ones, lower case, without accents and invisible characters."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).lower()
-    return text if text.isascii() else _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+    """Compatibility forms as plain ones, without invisible characters."""
+    return text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
 
 
 def _is_table(line: str, n_words: int) -> bool:
@@ -55,12 +59,73 @@ def _is_table(line: str, n_words: int) -> bool:
     return cells >= 2 and cells + 1 >= n_words / 2 or n_words <= 12 and "  " in line and len(_GAPS.findall(line)) >= 2
 
 
-def top_ngram_share(words: list[str], n: int = 3) -> float:
-    """Share of the characters that lie in the most frequent n-gram, if it occurs more than once."""
+def top_ngram_share(words: list[str], n: int = TOP_GRAM) -> float:
+    """Share of the characters that the most frequent n-gram covers, each character counted once; 0 if no n-gram occurs twice."""
     if len(words) <= n:
         return 0.0
     gram, times = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
-    return times * sum(map(len, gram)) / max(1, sum(map(len, words))) if times > 1 else 0.0
+    if times < 2:
+        return 0.0
+    covered, until = 0, 0
+    for i in range(len(words) - n + 1):
+        if words[i] == gram[0] and tuple(words[i : i + n]) == gram:
+            covered += sum(map(len, words[max(i, until) : i + n]))
+            until = i + n
+    return covered / max(1, sum(map(len, words)))
+
+
+def repeated_ngram_share(words: list[str], n: int = REPEAT_GRAM) -> float:
+    """Share of the characters that stand in n-grams which the text has had before."""
+    if len(words) <= n:
+        return 0.0
+    seen: set[tuple[str, ...]] = set()
+    again, until = 0, 0
+    for i, gram in enumerate(zip(*(words[j:] for j in range(n)))):
+        if gram in seen:
+            again += sum(map(len, words[max(i, until) : i + n]))
+            until = i + n
+        else:
+            seen.add(gram)
+    return again / max(1, sum(map(len, words)))
+
+
+def _lengths(passage: str, words: list[str]) -> list[int]:
+    """Word lengths; in scripts without spaces a word stands for every few letters."""
+    if passage.isascii() or not _UNSPACED.search(passage):
+        return [len(w) for w in words]
+    out = []
+    for w in words:
+        out += [LETTERS_A_WORD] * -(-len(w) // LETTERS_A_WORD) if _UNSPACED.search(w) else [len(w)]
+    return out
+
+
+def is_prose(passage: str, words: list[str], listed: bool = False) -> bool:
+    """Whether a passage is running text, by its form alone.
+
+    Its tokens must be words as written, of usual length. Then it shows either a share of short words as sentences have
+    it (which recur, if the passage is long), or the form of sentences: a capital or a letter without case first,
+    a full stop at the end, and not more words between than a sentence has. An entry of a list must show the former.
+    """
+    n = _lengths(passage, words)
+    unspaced = len(n) > len(words)
+    if len(n) < LEAST_WORDS or not unspaced and not MEAN_LENGTH[0] <= sum(n) / len(n) <= MEAN_LENGTH[1]:
+        return False
+    tokens = passage.split()
+    if not unspaced and sum(1 for t in tokens if _CLEAN.fullmatch(t)) < CLEAN_TOKENS * len(tokens):
+        return False
+    short = [w.lower() for w in words if len(w) <= SHORT_WORD]
+    share = len(short) / len(n)
+    if len(n) >= LONG_PASSAGE and not unspaced:
+        times = Counter(short)
+        if sum(1 for w in short if times[w] == 1) > FRESH_SHORT * len(short):
+            return False
+    if not unspaced and (2 if listed else 1) * FEW_SHORT <= share <= MANY_SHORT:
+        return True
+    first = words[0][0]
+    ended = passage.rstrip("\"'”»)]’")[-1:] in (".", "!", "?", "。", "！", "？")
+    small = sum(1 for w in words if not w[0].isupper())
+    sentences = max(1, sum(passage.count(c) for c in ".!?。！？"))
+    return not listed and ended and (first.isupper() or not first.islower()) and 2 * small >= len(words) and len(n) <= LONGEST_SENTENCE * sentences
 
 
 def measures(text: str | None) -> dict[str, float]:
@@ -69,15 +134,32 @@ def measures(text: str | None) -> dict[str, float]:
     text = plain(raw).replace("\r", "\n").replace("\f", "\n\n").replace("\u2028", "\n")
     digits = len(text.encode("ascii", "ignore").translate(None, _NOT_DIGITS))
     seen: set[str] = set()
+    said: set[str] = set()
     total = prose = letters_all = 0
     n_lines = punct = marked = tabled = repeated = 0
     all_words: list[str] = []
-    common_all = 0
-    before = False  # whether the line before in the same paragraph is prose
+    unit: list[str] = []
+    unit_words: list[str] = []
+    listed = False
+
+    def close() -> None:
+        """Counts the passage at hand; sentences that the text has had before don't count again, whatever their numbers."""
+        nonlocal prose
+        if unit:
+            passage = " ".join(unit)
+            if is_prose(passage, unit_words, listed):
+                for s in _SENTENCE_END.split(passage):
+                    key = _DIGITS.sub("0", s)
+                    if key not in said:
+                        said.add(key)
+                        prose += len(s) - s.count(" ")
+            unit.clear()
+            unit_words.clear()
+
     for line in text.split("\n"):
         body = line.strip()
         if not body:
-            before = False
+            close()
             continue
         if body[0] in ">|" and body[-1] != "|":
             body = _QUOTE.sub("", body).strip() or body
@@ -86,55 +168,62 @@ def measures(text: str | None) -> dict[str, float]:
         words = _WORD.findall(body)
         n = len(words)
         letters = sum(map(len, words))
-        common = sum(map(_is_common, words))
         all_words += words
-        common_all += common
         letters_all += letters
         total += solid
         punct += body[-1] in ".!?:;\"')。»"
-        again = body in seen
-        seen.add(body)
+        key = body.lower()
+        again = key in seen
+        seen.add(key)
         repeated += again
-        mark = _MARK.match(body)
+        mark = bool(_MARK.match(body))
         table = _is_table(body, n)
-        marked += bool(mark)
+        marked += mark
         tabled += table
-        if again or table or letters < 0.6 * solid:
-            before = False
-        elif n >= 5:
-            before = common >= (0.3 if mark else 0.2) * n and letters >= 2.5 * n and not (mark and n < 8)
-        elif mark:
-            before = False
-        if before:
-            prose += solid
-    broken = len(_BROKEN.findall(raw)) if any(c in raw for c in "\u00c3\u00c2\u00e2\ufffd") else 0
+        if again or table or letters < 0.6 * solid or mark and n < 8 or not unit and n < LEAST_WORDS and not _UNSPACED.search(body):
+            close()
+            continue
+        if mark:
+            close()
+        if not unit:
+            listed = mark
+        unit.append(body)
+        unit_words += words
+    close()
+    broken = len(_BROKEN.findall(raw)) if any(c in raw for c in "\xc3\xc2\xe2\ufffd") else 0
     if broken >= max(5, 0.15 * len(all_words)):  # unreadable, whatever it says
         prose = 0
     paragraphs = [p.strip() for p in _BLANK.split(text) if p.strip()]
     dup = sum(len(p) * (c - 1) for p, c in Counter(paragraphs).items()) / max(1, sum(map(len, paragraphs)))
+    lower = [w.lower() for w in all_words]
+    again_share, top = repeated_ngram_share(lower), top_ngram_share(lower)
+    share = prose / total if total else 0.0
     return {
         "n_words": len(all_words),
         "n_lines": n_lines,
         "mean_word_length": letters_all / len(all_words) if all_words else 0.0,
         "symbol_ratio": max(0.0, 1 - (letters_all + digits) / total) if total else 0.0,
         "punct_line_share": punct / n_lines if n_lines else 0.0,
-        "common_word_share": common_all / len(all_words) if all_words else 0.0,
+        "short_word_share": sum(1 for w in all_words if len(w) <= SHORT_WORD) / len(all_words) if all_words else 0.0,
         "list_line_share": marked / n_lines if n_lines else 0.0,
         "table_line_share": tabled / n_lines if n_lines else 0.0,
         "dup_line_share": repeated / n_lines if n_lines else 0.0,
         "dup_paragraph_share": dup,
-        "top_ngram_share": top_ngram_share(all_words),
-        "prose_share": prose / total if total else 0.0,
+        "repeated_ngram_share": again_share,
+        "top_ngram_share": top,
+        "prose_share": min(share, 1 - dup, 1 - again_share, 1 - top),
     }
 
 
 def text_quality(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row of measures per distinct ``doc_id`` (null ids are dropped, the least text counts if an id has several).
 
-    ``prose_share`` is the share of a text's characters, white space aside, that stand in lines of running prose. A line is
-    prose if it is mostly letters, holds enough common words, isn't a table row or a list entry, and isn't a repetition of
-    an earlier line; a short line goes with the line before it in its paragraph. Repetition, boilerplate, lists and tables
-    also have shares of their own. A null or blank text has 0 in every measure. Other columns are ignored.
+    ``prose_share`` is the share of a text's characters, white space aside, that stand in running prose. Lines of mostly
+    letters that are neither table rows nor short list entries nor repetitions are joined to passages within their
+    paragraph; a passage is prose by the form of its words and sentences (:func:`is_prose`), in any language, and a sentence
+    that the text has had before, numbers aside, doesn't count again. Repetition bounds it once more: the share never
+    exceeds what duplicate paragraphs, repeated n-grams and the dominant n-gram leave. Every share lies between 0 and 1. A
+    null or blank text has 0 in every measure. Other columns are ignored.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     types = [pa.int64() if c.endswith("long") else pa.float64() for c in SCHEMA.split(", ")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import knn, leakage, mixing, near_dup, quality, rank_fusion, shared_spans, split
@@ -33,6 +33,22 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each item say together: their text without overlaps, whether each is within the limit, and whether overlaps are."""
+    p = _pieces(spark, d)
+    w = Window.partitionBy("field", "record_id").orderBy("piece_no")
+    p = p.withColumn("_before", F.coalesce(F.lag("stop").over(w), F.lit(0)))
+    most = F.when(F.col("field").endswith("path"), PATH_LIMIT).otherwise(TEXT_LIMIT)
+    lap = F.when(F.col("field").endswith("path"), 0).otherwise(TEXT_OVERLAP)
+    fresh = F.substr("piece", (F.col("_before") - F.col("start") + 1).cast("int"))
+    ok = (F.length("piece") <= most) & (F.col("stop") > F.col("_before")) & (F.col("start") <= F.col("_before")) & (F.col("_before") - F.col("start") <= lap)
+    ok = ok & (F.length("piece") == F.col("stop") - F.col("start"))
+    out = p.select("field", "record_id", "n_pieces", ok.alias("ok"), F.struct("piece_no", fresh.alias("t")).alias("x"))
+    out = out.groupBy("field", "record_id").agg(F.min("ok").alias("ok"), (F.count(F.lit(1)) == F.max("n_pieces")).alias("all"), F.array_sort(F.collect_list("x")).alias("x"))
+    text = F.array_join(F.transform("x", lambda z: z["t"]), "")
+    return out.select("field", "record_id", F.md5(text.cast("binary")).alias("digest"), (F.col("ok") & F.col("all")).alias("in_bounds"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).where("piece_no = 0").select("field", "record_id", "unbreakable")
 
@@ -41,6 +57,14 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.fuse_scores(load(spark, d, "retrieval_hits"), ["query_id"], "chunk_id", ["score", "hybrid_score"])
 
 
+def p4_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Three scores of unequal weight: the two search scores, and the flags of a hit as a third."""
+    flags = sum((F.when(F.col(c), -1).otherwise(0) for c in ("has_errata", "is_obsolete", "is_updated")), F.lit(0))
+    hits = load(spark, d, "retrieval_hits").withColumn("standing", flags)
+    fused = rank_fusion.fuse_scores(hits, ["query_id"], "chunk_id", ["score", "hybrid_score", "standing"], {"score": 3, "hybrid_score": 2, "standing": 1})
+    return fused.select("query_id", "chunk_id", "median_rank", F.round("mean_rank", 6).alias("mean_rank"), "position")
+
+
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query_id", "chunk_id", "median_rank", "position")
 
@@ -71,6 +95,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).coverage().select(F.col("kind").alias("record_kind"), "record_id")
 
 
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where in each record the shared passages are."""
+    return _spans(spark, d).spans().select(F.col("kind").alias("record_kind"), "record_id", "start", "stop")
+
+
+def p6_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Fuzzy passages of two records, by chains."""
+    return _spans(spark, d).passages().withColumnRenamed("kind", "record_kind").withColumn("identity", F.round("identity", 4))
+
+
 def p6_shared(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).coverage().select(F.col("kind").alias("record_kind"), "record_id", "n_chars", "shared_chars", F.round("shared_share", 6).alias("shared_share"))
 
@@ -90,6 +124,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return plan.where("below_target").select("source")
 
 
+def p8_plan_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with sizes in characters instead of tokens."""
+    docs = mixing.known_sources(load(spark, d, "documents").select("doc_id", "source", F.coalesce("n_chars", F.lit(0)).alias("n_tokens")))
+    plan = mixing.mix_plan(docs, load(spark, d, "mix_targets"))
+    return plan.select("source", "have_tokens", F.round("mix_tokens", 3).alias("mix_tokens"), F.round("repeats", 6).alias("repeats"), "below_target")
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     tokens = stage(_tokens(spark, d), "tokens")
     plan = mixing.mix_plan(tokens, load(spark, d, "mix_targets"))
@@ -105,8 +146,18 @@ def p9_measures(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(load(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p9_measures(spark, d).select("doc_id", "n_lines")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_measures(spark, d).where("prose_share < 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbors, p3_found, p3_pieces, p4_found, p4_ranking, p5_found, p5_groups, p6_found, p6_shared, p7_found, p8_found, p8_shares, p8_selection, p9_found, p9_measures)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_neighbors, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_ranking, p4_weighted, p5_found, p5_groups, p6_found, p6_shared, p6_spans, p6_passages,
+        p7_found, p8_found, p8_plan_chars, p8_shares, p8_selection, p9_found, p9_measures, p9_counts,
+    )
+}

@@ -183,9 +183,19 @@ def brute_pairs(rows, threshold=0.8, least=20):
     return {(a, b) for a in bags for b in bags if a < b and (bags[a] & bags[b]).total() >= threshold * max(bags[a].total(), bags[b].total()) - 1e-9}
 
 
-@pytest.mark.parametrize("bucket", [256, 1])
+def listed(rows, near=32):
+    """The pairs that are listed of all pairs: of the copies of one text the next ones by id, of different texts the first copies."""
+    body = {i: t for i, t in rows if i is not None and t is not None}
+    nth = {i: sum(body[j] == body[i] and j <= i for j in body) for i in body}
+    ok = lambda a, b: nth[b] - nth[a] <= near if body[a] == body[b] else max(nth[a], nth[b]) <= near + 1
+    return {(a, b) for a, b in brute_pairs(rows) if ok(a, b)}
+
+
+@pytest.mark.parametrize("bucket", [512, 1])
 def test_near_duplicates(spark, monkeypatch, bucket):
-    monkeypatch.setattr(near_dup, "BUCKET", bucket)
+    from quillspan.operators import skew
+
+    monkeypatch.setattr(skew, "LOCAL", 1)
     r = random.Random(9)
     rows = []
     for g in range(25):
@@ -199,10 +209,10 @@ def test_near_duplicates(spark, monkeypatch, bucket):
             rows.append((f"g{g}-{v}", ", ".join(w).upper()))
     rows += [("copy", rows[0][1]), ("copy", rows[0][1]), ("short", "one two"), ("none", None), (None, rows[0][1]), ("blank", "  ")]
     df = spark.createDataFrame(rows, "id string, body string").withColumn("item", F.lit("clash"))
-    n = near_dup.NearDuplicates(df, "id", "body")
+    n = near_dup.NearDuplicates(df, "id", "body", bucket=bucket)
     want, got = brute_pairs(rows), {(x.a, x.b) for x in n.pairs().collect()}
     assert got <= want and len(got) >= 0.97 * len(want)
-    assert {(x.a, x.b) for x in n.pairs(expand=1).collect()} <= want
+    assert {(x.a, x.b) for x in n.pairs(next_copies=1).collect()} == listed(rows, 1) & got
     groups = {x.item: x.group_id for x in n.groups().collect()}
     assert all(groups[a] == groups[b] for a, b in got)
     empty = near_dup.NearDuplicates(df.limit(0), "id", "body")
@@ -220,10 +230,17 @@ def test_large_classes_of_different_texts_are_paired_in_full(spark, monkeypatch)
     df = spark.createDataFrame(rows, "id string, body string")
     n = near_dup.NearDuplicates(df, "id", "body")
     got = [(x.a, x.b) for x in n.pairs().collect()]
-    # the 41 byte-identical texts are paired with the least of them only; everything else is listed
-    behind = {f"x{i:02d}" for i in range(40)}
-    want = {(a, b) for a, b in brute_pairs(rows) if not {a, b} & behind} | {("s00", x) for x in behind}
-    assert len(got) == len(set(got)) and set(got) == want and brute_pairs(texts) <= set(got)
+    want = listed(rows)
+    assert len(got) == len(set(got)) and set(got) == want and brute_pairs(texts) <= set(got) and len(want) < len(brute_pairs(rows))
+
+
+def test_a_band_key_of_half_of_all_rows_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    r = random.Random(4)
+    base = prose(r, 60).split()
+    rows = [(f"h{i:03d}", " ".join(base + [f"own{i}"])) for i in range(300)] + [(f"o{i:03d}", prose(r, 60)) for i in range(300)]
+    n = near_dup.NearDuplicates(spark.createDataFrame(rows, "id string, body string"), "id", "body", bucket=100)
+    assert {(x.a, x.b) for x in n.links.collect()} == {(f"h{i:03d}", f"h{j:03d}") for i in range(300) for j in range(i + 1, 300)}
 
 
 def test_words():
@@ -277,16 +294,45 @@ def test_token_counts(spark):
 def test_quality_kinds():
     sentence = "This document defines how the client is expected to store a value that has been sent by the server before it is used. "
     share = lambda t: quality.measures(t)["prose_share"]
-    assert share(sentence * 1) > 0.9 and share(sentence.upper()) > 0.9
+    assert share(sentence) > 0.9 and share(sentence.upper()) > 0.9
     assert share("Wenn die Richtlinie nicht mehr gültig ist, darf der Puffer sie nicht senden und muss es sagen.") > 0.9
     assert share("- quota renewal\n- server key\n- token shard state\n" + "1) alphabet\n2) bitmap field\n") == 0
     assert share("| a | b | c |\n| 1 | 2 | 3 |\n") == 0 and share("") == share("   \n") == share(None) == 0
     assert share("DÃ©r BÃ©rÃ©ich muss dÃ©n PuffÃ©r vor dÃ©r VÃ©rbindung prÃ¼fÃ©n und es ist nicht so.") == 0
     assert share("Skip to the content of the page that is here now\n" * 30) < 0.1
+    assert share("renewal tertiary authenticated segment canonical keepalive bounded rewrite stream octet recommended scheduler cookie") == 0
     m = quality.measures("A b.\n\nA b.\n\nC")
     assert m["n_lines"] == 3 and abs(m["dup_line_share"] - 1 / 3) < 1e-9 and m["dup_paragraph_share"] > 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Il server deve verificare la sessione prima di rinnovare il nodo nella finestra indicata.",
+        "Serwer musi sprawdzić sesję przed odnowieniem węzła we wskazanym oknie czasu.",
+        "Сервер должен проверить сессию перед обновлением узла в указанном окне.",
+        "服务器必须在更新节点之前验证会话，否则请求将被拒绝。",
+        "Sunucu, düğümü yenilemeden önce oturumu doğrulamak zorundadır ve isteği reddeder.",
+    ],
+)
+def test_prose_in_languages_that_no_rule_names(text):
+    assert quality.measures(text)["prose_share"] > 0.9
+
+
+def test_repetition_lowers_the_prose_share():
+    one = "The server must check the session before it renews the node that was named"
+    assert quality.measures(one + ".")["prose_share"] > 0.9
+    for text in ((one + ". ") * 40, (one + " ") * 40, "\n".join(f"{one} as number {i} says." for i in range(40)), (one + ".\n\n") * 20):
+        assert quality.measures(text)["prose_share"] < 0.3
+
+
+@given(st.text(max_size=400) | st.lists(st.sampled_from(["a", "bb", "the", "x", ".", "\n", "\n\n", "1"]), max_size=200).map(" ".join))
+@settings(max_examples=200, deadline=None)
+def test_shares_lie_between_0_and_1(text):
+    m = quality.measures(text)
+    assert all(0 <= v <= 1 for k, v in m.items() if k.endswith(("share", "ratio"))), m
+
+
 def test_quality_table(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (None, "y")], "doc_id long, text string").withColumn("prose_share", F.lit("clash"))
     got = quality.text_quality(df, "doc_id", "text").collect()
