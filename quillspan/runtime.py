@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes a small side may have before it is broadcast by this library.
@@ -89,6 +89,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """:func:`stage`, with aggregates of the rows taken while they are written, so no second job reads them."""
+    seen = Observation()
+    out = stage(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), label)
+    return out, seen.get
+
+
 def read_file_rows(folder: str, columns: list[str]):
     """The rows of the Parquet files below ``folder`` as an Arrow table, read by the Python worker that calls this; a missing folder has none."""
     import pyarrow as pa
