@@ -28,14 +28,15 @@ def pointer_cycles(pointers: DataFrame) -> DataFrame:
     no longer become fewer, they are the cycles.
     """
     marks = {"n": F.count(F.lit(1)), "ends": F.count_distinct("kind", "jump"), "lows": F.sum(F.col("low").cast("decimal(38,0)"))}
-    now = stage(pointers.select(*_KEY, F.col("parent").alias("jump"), F.col("node").alias("low")), "pointers")
-    mark = None
+    now = pointers.select(*_KEY, F.col("parent").alias("jump"), F.col("node").alias("low"))
+    old = mark = None
     while True:
         new = now
         for _ in range(CHAIN):
             up = new.select("kind", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
             new = new.join(up, ["kind", "jump"]).select(*_KEY, F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"))
-        now, seen = _swap(now, new, "pointers", n=marks["n"])
+        now, seen = _swap(old, new, "pointers", n=marks["n"])
+        old = now
         if not seen["n"]:
             return now.select("kind", F.col("jump").alias("node"))
         seen = now.agg(*[c.alias(k) for k, c in marks.items()]).first()
@@ -54,9 +55,12 @@ def closure(hops: DataFrame) -> DataFrame:
     least = lambda d: d.groupBy("kind", "node", "to").agg(F.min("cost").alias("cost"))
     now, mark = _swap(None, least(hops), "closure", **marks)
     while mark["n"]:
-        on = now.select("kind", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("cost").alias("_cost"))
-        more = now.join(on, ["kind", "to"]).select("kind", "node", F.col("_to").alias("to"), (F.col("cost") + F.col("_cost")).alias("cost"))
-        now, seen = _swap(now, least(now.unionByName(more)), "closure", **marks)
+        new = now
+        for _ in range(CHAIN):
+            on = new.select("kind", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("cost").alias("_cost"))
+            more = new.join(on, ["kind", "to"]).select("kind", "node", F.col("_to").alias("to"), (F.col("cost") + F.col("_cost")).alias("cost"))
+            new = least(new.unionByName(more))
+        now, seen = _swap(now, new, "closure", **marks)
         if seen == mark:
             break
         mark = seen
@@ -88,12 +92,13 @@ class Hierarchy:
         adaptive execution, and sizes are combined before they are shuffled.
         """
         live = F.count_if(F.col("jump").isNotNull())
-        now, seen = _swap(None, start, "double", live=live)
+        now, old, seen = start, None, {"live": 1}
         while seen["live"]:
             new = now
             for _ in range(1 if counted else CHAIN):
                 new = self._doubled_once(new, more, counted)
-            now, seen = _swap(now, new, "double", live=live)
+            now, seen = _swap(old, new, "double", live=live)
+            old = now
         return now
 
     @staticmethod
@@ -165,7 +170,8 @@ class Hierarchy:
                 spread = spread_positions(kids.join(hot, ["kind", "parent"], "left_semi"), ["kind", "parent"], [F.col("node").asc()], "_upto", weight="size")
                 upto = kids.join(hot, ["kind", "parent"], "left_anti").withColumn("_upto", F.sum("size").over(w)).unionByName(spread)
             offs = self._start().join(upto.select(*_KEY, (F.col("_upto") - F.col("size") + 1).alias("pre")), _KEY, "left")
-            ranged = self._doubled(offs.withColumn("pre", F.coalesce("pre", F.lit(0)).cast("long")), {"pre": lambda a, b: a + b})
+            offs = stage(offs.withColumn("pre", F.coalesce("pre", F.lit(0)).cast("long")), "offsets")
+            ranged = self._doubled(offs, {"pre": lambda a, b: a + b})
             self._forest = stage(tree.join(ranged.select(*_KEY, "pre"), _KEY), "forest")
         return self._forest
 

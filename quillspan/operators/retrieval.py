@@ -13,7 +13,7 @@ from quillspan.functions import questions as Q
 from quillspan.functions import text as X
 from quillspan.operators import errata as E
 from quillspan.operators import search
-from quillspan.runtime import maybe_broadcast
+from quillspan.runtime import maybe_broadcast, stage
 
 #: Candidates searched per wanted result, the default and the most results of a question.
 OVERFETCH, DEFAULT_K, MOST_K = 5, 10, 50
@@ -30,15 +30,64 @@ def check_request(top_k: int, temperature: float = 0.2, question: str = "?") ->
         raise InvalidRequest(f"top_k 1..{MOST_K}, temperature 0..1 and a question are needed")
 
 
-def candidates(chunks: DataFrame, queries: DataFrame, scored: DataFrame) -> DataFrame:
-    """Hits of ``scored(query_id, item, score)`` whose route and document fit the question, at most OVERFETCH * top_k per route, then over all routes."""
-    asked = queries.select("query_id", "top_k", Q.routes(F.col("query_text")).alias("_routes"), Q.named_document(F.col("query_text")).alias("_doc"))
-    c = chunks.select(F.col("chunk_id").alias("item"), "rfc_number", "table_route", "hierarchy_path", "text_payload")
-    j = scored.join(asked, "query_id").join(c, "item").where(F.array_contains("_routes", F.col("table_route")) & (F.col("_doc").isNull() | (F.col("_doc") == F.col("rfc_number"))))
-    order = [F.desc("score"), F.col("item").asc()]
-    j = j.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "table_route").orderBy(*order))).where(F.col("_r") <= OVERFETCH * F.col("top_k"))
-    j = j.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("_n") <= OVERFETCH * F.col("top_k"))
-    return j.select("query_id", F.col("item").alias("chunk_id"), "rfc_number", "table_route", "hierarchy_path", "text_payload", "score", "top_k")
+def _asked(queries: DataFrame) -> DataFrame:
+    """``query_id, table_route, doc, top_k``: the routes that each question is searched in, and the document it names."""
+    q = queries.select("query_id", "top_k", Q.routes(F.col("query_text")).alias("r"), Q.named_document(F.col("query_text")).alias("doc"))
+    return q.select("query_id", F.explode("r").alias("table_route"), "doc", "top_k")
+
+
+def keyword_list(chunks: DataFrame, queries: DataFrame, deep: Column) -> DataFrame:
+    """``query_id, table_route, item, score``: of each question and route the ``deep`` best chunks by BM25 (to five decimals) that fit the document it names."""
+    c = chunks.select(F.col("chunk_id").alias("item"), "rfc_number", "table_route")
+    j = search.bm25(chunks, queries).join(c, "item").join(maybe_broadcast(_asked(queries)), ["query_id", "table_route"]).where(F.col("doc").isNull() | (F.col("doc") == F.col("rfc_number")))
+    return _cut(j.withColumn("score", F.round("score", 5)), deep)
+
+
+def vector_list(chunks: DataFrame, queries: DataFrame, vectors: DataFrame, asked: DataFrame, deep: Column, dim: int | None = None) -> DataFrame:
+    """The same by cosine: ``vectors(chunk_id, vector)`` of the chunks, ``asked(query_id, vector)`` of the questions.
+
+    A question meets the chunks of its routes only; one that names a document meets the chunks of that document only.
+    """
+    c = chunks.select("chunk_id", "rfc_number", "table_route").join(vectors, "chunk_id")
+    q = _asked(queries).join(asked, "query_id")
+    deepest = OVERFETCH * (queries.agg(F.max("top_k")).first()[0] or DEFAULT_K)
+    of_route, of_doc = F.xxhash64("table_route"), F.xxhash64("table_route", "doc")
+    named = maybe_broadcast(q.where("doc is not null").select("table_route", F.col("doc").alias("rfc_number")).distinct())
+    found = [
+        search.dense_topk(c.withColumn("part", of_route), q.where("doc is null").withColumn("part", of_route), deepest, "chunk_id", dim=dim, part="part"),
+        search.dense_topk(
+            c.join(named, ["table_route", "rfc_number"], "left_semi").withColumn("doc", F.col("rfc_number")).withColumn("part", of_doc),
+            q.where("doc is not null").withColumn("part", of_doc), deepest, "chunk_id", dim=dim, part="part",
+        ),
+    ]
+    keys = q.withColumn("part", F.when(F.col("doc").isNull(), of_route).otherwise(of_doc)).select("query_id", "part", "table_route", "top_k")
+    both = found[0].unionByName(found[1]).select("query_id", "part", F.col("id").alias("item"), F.round("score", 7).alias("score"))
+    return _cut(both.join(maybe_broadcast(keys), ["query_id", "part"]), deep)
+
+
+def _cut(scored: DataFrame, deep: Column) -> DataFrame:
+    w = Window.partitionBy("query_id", "table_route").orderBy(F.desc("score"), "item")
+    return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= deep).select("query_id", "table_route", "item", "score")
+
+
+def candidates(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, asked: DataFrame | None = None, dim: int | None = None) -> DataFrame:
+    """Hits for each question: of each of its routes the OVERFETCH * top_k best, then as many over all routes.
+
+    With vectors of chunks and questions a route is searched by BM25 and by cosine, each cut to OVERFETCH * top_k, and the
+    lists are fused by reciprocal rank; a chunk that only one of them finds is a candidate. Without vectors BM25 decides.
+    Ranks are taken over ids and scores; texts are joined to what is left.
+    """
+    deep = OVERFETCH * F.col("top_k")
+    found = keyword_list(chunks, queries, deep)
+    if vectors is not None:
+        lists = [found, vector_list(chunks, queries, vectors, asked, deep, dim)]
+        found = search.fuse_ranks(lists, OVERFETCH * MOST_K, group=["table_route"]).drop("rank")
+        found = _cut(found.join(maybe_broadcast(queries.select("query_id", "top_k")), "query_id"), deep)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
+    pool = found.join(maybe_broadcast(queries.select("query_id", "top_k")), "query_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= deep)
+    pool = stage(pool.select("query_id", F.col("item").alias("chunk_id"), "score", "top_k"), "pool")
+    texts = chunks.join(maybe_broadcast(pool.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", "rfc_number", "table_route", "hierarchy_path", "text_payload")
+    return pool.join(texts, "chunk_id").select("query_id", "chunk_id", "rfc_number", "table_route", "hierarchy_path", "text_payload", "score", "top_k")
 
 
 def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
@@ -91,6 +140,7 @@ def stitched(hits: DataFrame, chunks: DataFrame, numeric: bool = False) -> DataF
 def enriched(hits: DataFrame, warnings: DataFrame, errata: DataFrame) -> DataFrame:
     """Hits with succession warnings before and corrections after their text, and flags. Marked texts aren't marked again, so enriching twice is enriching once."""
     flag = lambda c: F.coalesce(c, F.lit(False))
+    warnings = stage(warnings, "warnings")
     base = hits.withColumns({c: F.lit(False) for c in ("has_errata", "is_obsolete", "is_updated") if c not in hits.columns})
     w = warnings.select("rfc_number", F.col("is_obsolete").alias("_o"), F.col("is_updated").alias("_u"), F.col("warning").alias("_w"))
     told = F.col("text_payload").contains("[TEMPORAL")
@@ -117,11 +167,18 @@ def contexts(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.concat(F.lit(PREAMBLE), F.array_join(F.transform("x", lambda z: z["b"]), SEPARATOR)).alias("context"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, warnings: DataFrame, errata: DataFrame, scorer=None) -> DataFrame:
-    """Contexts for a table of questions, in the order search, cap, rerank, stitch, enrich, format. Questions without a hit have the empty context."""
+def retrieve(chunks: DataFrame, queries: DataFrame, warnings: DataFrame, errata: DataFrame, scorer=None, encoder: search.Encoder | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Contexts for a table of questions, in the order search, cap, rerank, stitch, enrich, format. Questions without a hit have the empty context.
+
+    Search is hybrid: questions are encoded, and so are the chunks unless ``vectors(chunk_id, vector)`` are given, which
+    must stem from the same encoder. Hits are staged once, since stitching and enriching read them several times.
+    """
     one = chunks.dropDuplicates(["chunk_id"])
-    hits = rerank(candidates(one, queries, search.bm25(one, queries)), queries, scorer)
-    made = contexts(enriched(stitched(hits, one), warnings, errata))
+    known = vectors if vectors is not None else stage(search.embed(one.select("chunk_id", "text_payload"), "text_payload", encoder).select("chunk_id", "vector"), "vectors")
+    asked = stage(search.embed(queries.select("query_id", "query_text"), "query_text", encoder, search.QUERY_PREFIX).select("query_id", "vector"), "asked")
+    hits = rerank(candidates(one, queries, known, asked, encoder.dim if encoder else None), queries, scorer)
+    joined = stage(stitched(stage(hits, "hits"), one), "stitched")
+    made = contexts(enriched(joined, warnings, errata))
     return queries.select("query_id").join(made, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(EMPTY_CONTEXT)))
 
 

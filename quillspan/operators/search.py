@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan import schemas as S
-from quillspan.runtime import maybe_broadcast
+from quillspan.operators.topk import DECIMALS, Heaps
+from quillspan.runtime import maybe_broadcast, read_file_rows, shared_root, stage
 
 #: BM25 saturation and length weight, and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -65,44 +68,79 @@ def unit(v: Column, dim: int) -> Column:
     return F.transform(head, lambda x: x / norm)
 
 
-def dense_topk(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query_id: str = "query_id", dim: int | None = None, block: int = 4096) -> DataFrame:
+def sound(vector: str, dim: int) -> Column:
+    """Whether a vector has ``dim`` numbers, none null or NaN, not all zero."""
+    v = F.col(vector)
+    return (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+
+
+def dense_topk(
+    rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query_id: str = "query_id", dim: int | None = None, block: int = 1024, part: str | None = None,
+    questions_a_pass: int = 100_000,
+) -> DataFrame:
     """``query_id, id, score, rank``: the k rows of greatest cosine per query, exactly; ``rows(id, vector)``, ``queries(query_id, vector)``.
 
-    A stated query set against all rows, in blocks: the queries form blocks of matrices which meet each batch of rows as a
-    matrix product, so no pair is materialised; a batch emits its k best per query, and the final ranks are taken over
-    those. Ties go to the lesser id; vectors of another length, null and zero vectors take no part.
+    A stated query set against all rows, in blocks: the queries are written once in blocks of ``block`` to the shared
+    folder, and each task reads them against its own rows as matrix products, keeping a heap of k per query. So no pair is
+    materialised and the rows aren't shuffled; a task emits k rows per query, and the final ranks are taken over those.
+    Query sets of more than ``questions_a_pass`` are taken in several passes, which bounds the heaps of a task. With
+    ``part`` (a bigint column of both sides) only rows and queries of the same part meet, and ``part`` comes out as well; a
+    query may stand in several. Ties, to seven decimals, go to the lesser id; vectors of another length than ``dim``, with
+    null or NaN parts, and zero vectors take no part; an empty side gives no rows.
     """
     dim = dim or S.VECTOR_DIM
-    q = queries.where(F.size("vector") == dim).select(F.col(query_id).alias("q"), F.col("vector").cast("array<double>").alias("v"))
+    spark = rows.sparkSession
+    own = F.col(part).cast("long") if part else F.lit(0).cast("long")
+    q = queries.where(sound("vector", dim)).select(F.col(query_id).alias("q"), own.alias("part"), F.col("vector").cast("array<double>").alias("v"))
+    q = stage(q, "questions")
     blocks = max(1, -(-q.count() // block))
-    q = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("qb")).agg(F.collect_list("q").alias("qs"), F.collect_list("v").alias("vs"))
-    r = rows.where(F.size("vector") == dim).select(F.col(row_id).alias("id"), F.col("vector").cast("array<double>").alias("v"))
-    cells = max(1, -(-r.count() // block))
-    r = r.groupBy(F.pmod(F.xxhash64("id"), F.lit(cells)).alias("rb")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("rv"))
+    place = f"{shared_root(spark)}/questions-{uuid.uuid4().hex[:12]}"
+    # queries of one part lie together, so a block holds few parts
+    q.repartitionByRange(blocks, "part", "q").withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(place)
+    r = rows.where(sound("vector", dim)).select(F.col(row_id).alias("id"), own.alias("part"), F.col("vector").cast("array<double>").alias("v"))
     id_type, q_type = rows.schema[row_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for ids, rv, qs, vs in zip(f["ids"], f["rv"], f["qs"], f["vs"]):
-                a, c = np.stack(vs), np.stack(rv)
-                na, nc = np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1)
-                cos = (a @ c.T) / np.maximum(na[:, None] * nc[None, :], NORM_FLOOR)
-                ok = nc > 0
-                ids = np.asarray(ids, dtype=object)
-                found = []
-                for i in np.flatnonzero(na > 0):
-                    order = sorted(np.flatnonzero(ok), key=lambda j: (-cos[i, j], ids[j])) if ok.sum() <= 4 * k else None
-                    if order is None:
-                        kth = np.partition(np.where(ok, cos[i], -2), len(ids) - k)[len(ids) - k]
-                        order = sorted(np.flatnonzero(ok & (cos[i] >= kth)), key=lambda j: (-cos[i, j], ids[j]))
-                    found += [(qs[i], ids[j], float(cos[i, j])) for j in order[:k]]
-                yield pd.DataFrame(found, columns=["query_id", "id", "score"])
-
-    met = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "qb")  # one row per two blocks
-    pairs = met.select("ids", "rv", "qs", "vs")
-    near = pairs.mapInPandas(run, f"query_id {q_type}, id {id_type}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near, step = None, max(1, questions_a_pass // block)
+    for first in range(0, blocks, step):
+        found = r.mapInArrow(_dense_pass(place, range(first, min(first + step, blocks)), k, dim), f"query_id {q_type}, part long, id {id_type}, score double")
+        near = found if near is None else near.unionByName(found)
+    keys = ["query_id", "part"] if part else ["query_id"]
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", DECIMALS)), "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "id", "score", "rank")
+
+
+def _dense_pass(place: str, blocks: range, k: int, dim: int):
+    def matrix(column) -> np.ndarray:
+        v = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        u = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return u / np.linalg.norm(u, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = []
+        for n in blocks:
+            t = read_file_rows(f"{place}/block={n}", ["q", "part", "v"])
+            if t.num_rows:
+                asked.append((t.column("q"), t.column("part").to_numpy(), matrix(t.column("v")), Heaps(t.num_rows, k)))
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            ids, parts, u = np.asarray(b.column(0).to_pylist()), b.column(1).to_numpy(), matrix(b.column(2)) if b.num_rows else None
+            for _, own, v, heaps in asked:
+                mine = np.flatnonzero(np.isin(parts, own)) if b.num_rows else ()
+                if not len(mine):
+                    continue
+                cos = v @ u[mine].T
+                cos[own[:, None] != parts[mine][None, :]] = -np.inf
+                bar = heaps.bar(slice(None))
+                if len(mine) > k:
+                    bar = np.maximum(bar, np.partition(cos, len(mine) - k, axis=1)[:, len(mine) - k])
+                i, j = np.nonzero((cos >= (bar - 10.0**-DECIMALS)[:, None]) & np.isfinite(cos))
+                heaps.push(i, cos[i, j], ids[mine][j])
+        for q, own, _, heaps in asked:
+            i, item, score = heaps.rows()
+            if len(i):
+                yield pa.RecordBatch.from_arrays([q.combine_chunks().take(pa.array(i)), pa.array(own[i]), pa.array(item.tolist(), kind), pa.array(score)], ["query_id", "part", "id", "score"])
+
+    return run
 
 
 def tokens(c: Column) -> Column:
@@ -132,14 +170,19 @@ def bm25(chunks: DataFrame, queries: DataFrame, item: str = "chunk_id", text: st
     return asked.join(scored, "term").groupBy("query_id", "item").agg(F.sum("w").alias("score"))
 
 
-def fuse_ranks(lists: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
-    """Reciprocal rank fusion of several ``query_id, item, score`` lists: sum of 1 / (constant + rank), k best per query."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
-    parts = [x.withColumn("r", F.row_number().over(w)).select("query_id", "item", (1 / (F.lit(constant) + F.col("r"))).alias("s")) for x in lists]
+def fuse_ranks(lists: list[DataFrame], k: int, constant: int = RRF, depth: int | None = None, group: list[str] | None = None) -> DataFrame:
+    """Reciprocal rank fusion of several ``query_id, item, score`` lists: sum of 1 / (constant + rank), k best per query (and ``group``).
+
+    Of each list the first ``depth`` items take part; they are cut before anything is fused, so a list may be as long as the table.
+    """
+    keys = ["query_id", *(group or [])]
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "item")
+    cut = lambda x: x.where(F.col("r") <= depth) if depth else x
+    parts = [cut(x.withColumn("r", F.row_number().over(w))).select(*keys, "item", (1 / (F.lit(constant) + F.col("r"))).alias("s")) for x in lists]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    fused = both.groupBy("query_id", "item").agg(F.sum("s").alias("score"))
+    fused = both.groupBy(*keys, "item").agg(F.sum("s").alias("score"))
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -152,3 +195,52 @@ def per_route(hits: DataFrame, limit: int, order: list[Column]) -> DataFrame:
 def ann_partitions(rows: int, threshold: int = 50_000) -> int:
     """Cells of an inverted-file index for a table of ``rows`` vectors; 0 up to ``threshold``, where a scan is exact and fast."""
     return 0 if rows <= threshold else max(16, rows // 4096)
+
+
+def fit_cells(rows: DataFrame, cells: int, row_id: str = "id", dim: int | None = None, sample: int = 65_536, rounds: int = 12) -> np.ndarray:
+    """Unit centres of ``cells`` cells by spherical k-means over at most ``sample`` vectors (those of least hash of their id); fewer centres where there are fewer vectors."""
+    dim = dim or S.VECTOR_DIM
+    picked = rows.where(sound("vector", dim)).select(F.col("vector").cast("array<double>").alias("v"), F.xxhash64(row_id).alias("h")).orderBy("h").limit(sample)
+    v = np.asarray([r["v"] for r in picked.select("v").collect()]).reshape(-1, dim)  # bounded by ``sample``
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), NORM_FLOOR)
+    centres = v[np.random.default_rng(11).permutation(len(v))[:cells]]
+    for _ in range(rounds):
+        own = (v @ centres.T).argmax(axis=1) if len(v) else np.empty(0, int)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, v)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > NORM_FLOOR, sums / np.maximum(norms, NORM_FLOOR), centres)
+    return centres
+
+
+def with_cells(df: DataFrame, centres: np.ndarray, probes: int = 1, out: str = "cell") -> DataFrame:
+    """Rows with their ``probes`` nearest cells, one row per cell."""
+
+    @F.pandas_udf("array<bigint>")
+    def near(vectors: pd.Series) -> pd.Series:
+        v = np.stack(vectors.to_list()) if len(vectors) else np.empty((0, centres.shape[1]))
+        cos = v @ centres.T
+        n = min(probes, cos.shape[1])
+        return pd.Series(list(np.argpartition(-cos, n - 1, axis=1)[:, :n].astype(np.int64))) if n else pd.Series([[]] * len(v), dtype=object)
+
+    return df.withColumn(out, F.explode(near(F.col("vector").cast("array<double>"))))
+
+
+def ann_topk(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query_id: str = "query_id", dim: int | None = None, cells: int | None = None, probes: int | None = None) -> DataFrame:
+    """``query_id, id, score, rank`` by an inverted-file index: every row lies in its nearest cell, a query is compared with the rows of its ``probes`` nearest cells.
+
+    Centres are fitted on a bounded sample (:func:`fit_cells`), all rows are indexed. ``cells`` is by default what
+    :func:`ann_partitions` gives, where 0 means an exact search; ``probes`` is by default 40 % of the cells, at least 8.
+    """
+    dim = dim or S.VECTOR_DIM
+    cells = ann_partitions(rows.count()) if cells is None else cells
+    if not cells:
+        return dense_topk(rows, queries, k, row_id, query_id, dim)
+    usable = rows.where(sound("vector", dim))
+    centres = fit_cells(usable, cells, row_id, dim)
+    if not len(centres):
+        return dense_topk(rows, queries, k, row_id, query_id, dim)
+    probes = probes or max(8, -(-2 * len(centres) // 5))
+    found = dense_topk(with_cells(usable, centres), with_cells(queries.where(sound("vector", dim)), centres, probes), k, row_id, query_id, dim, part="cell")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DECIMALS)), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("cell", "part")

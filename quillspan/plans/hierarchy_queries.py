@@ -25,6 +25,7 @@ def succession(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     h = Hierarchy(succession(spark, d))
+    h.forest  # noqa: B018  with sizes at once, since cycles want ranges
     rows = h.roots().select("kind", "node", "root", "depth").unionByName(h.cycles.select("kind", "node", F.col("cycle").alias("root"), F.lit(-1).cast("long").alias("depth")))
     return rows.select("kind", F.col("node").cast("int").alias("rfc_number"), F.col("root").cast("int").alias("root_number"), F.col("depth").cast("int").alias("depth"))
 

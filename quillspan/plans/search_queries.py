@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.functions import questions as Q
 from quillspan.functions import text as X
 from quillspan.operators import errata, lineage, retrieval, search
+from quillspan.plans import text_queries
 from quillspan.plans.hierarchy_queries import valid_entries
 from quillspan.plans.text_queries import ONE_BLOCK, one_block, sql_collapse, sql_strip
-from quillspan.runtime import load
+from quillspan.runtime import load, stage
 
 
 def _edges(spark, d):
@@ -120,11 +122,35 @@ def per_route_topk(spark, d):
     return search.per_route(s, 5, [F.desc("score"), F.col("chunk_id").asc()]).select("query_id", "table_route", "chunk_id", "score")
 
 
+def _with_vectors(spark, d):
+    """Chunks that have a usable vector, and questions with one: that of the first chunk, by id, among a question's hits that has any."""
+    v = load(spark, d, "lance_chunks").where(search.sound("vector", 256)).groupBy("chunk_id").agg(F.min("vector").alias("vector"))
+    c = _one_chunk(spark, d).join(v, "chunk_id")
+    hits = load(spark, d, "retrieval_hits").select("query_id", "chunk_id").distinct().join(v, "chunk_id")
+    q = load(spark, d, "queries").join(hits.groupBy("query_id").agg(F.min_by("vector", "chunk_id").alias("vector")), "query_id")
+    return stage(c, "chunks"), stage(q, "questions")
+
+
 def hybrid_rrf(spark, d):
-    c, q = _one_chunk(spark, d), load(spark, d, "queries")
-    a = search.bm25(c, q).withColumn("score", F.round("score", 5))
-    b = search.bm25(c, q, text="hierarchy_path").withColumn("score", F.round("score", 5))
-    return search.fuse_ranks([a, b], 10).select("query_id", F.col("item").alias("chunk_id"), F.round("score", 8).alias("score"), "rank")
+    """BM25 over texts and cosine over vectors, fifty of each, fused by reciprocal rank."""
+    c, q = _with_vectors(spark, d)
+    words = search.bm25(c, q).withColumn("score", F.round("score", 5))
+    near = search.dense_topk(c, q, 50, "chunk_id", dim=256).select("query_id", F.col("id").alias("item"), F.round("score", 7).alias("score"))
+    return search.fuse_ranks([words, near], 10, depth=50).select("query_id", F.col("item").alias("chunk_id"), F.round("score", 8).alias("score"), "rank")
+
+
+def ann_topk(spark, d):
+    """Inverted-file search of every twentieth vector among all, in 64 cells."""
+    c, _ = _with_vectors(spark, d)
+    q = c.where(F.pmod(F.xxhash64("chunk_id"), F.lit(20)) == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+    return search.ann_topk(c, q, 10, "chunk_id", dim=256, cells=64).select("query_id", F.col("id").alias("chunk_id"), "rank")
+
+
+def retrieve_hybrid_topk(spark, d):
+    """Routed hybrid search of the questions that have a vector: per route and over all, cut to what reranking wants."""
+    c, q = _with_vectors(spark, d)
+    hits = retrieval.candidates(c, q, c.select("chunk_id", "vector"), q.select("query_id", "vector"), 256)
+    return retrieval.rerank(hits, q).select("query_id", "chunk_id", "table_route", F.round("score", 8).alias("score"), "rank")
 
 
 def embed_chunks(spark, d):
@@ -133,14 +159,16 @@ def embed_chunks(spark, d):
 
 
 def dense_route_topk(spark, d):
-    """Encoded questions against encoded chunks with the stand-in encoder, ten per question."""
+    """Encoded questions against the encoded chunks of their routes and of the document they name, with the stand-in encoder; ten per question and route."""
     c, q = search.embed(_one_chunk(spark, d), "text_payload"), search.embed(load(spark, d, "queries"), "query_text", prefix=search.QUERY_PREFIX)
-    return search.dense_topk(c, q, 10, row_id="chunk_id").select("query_id", F.col("id").alias("chunk_id"), "rank")
+    c, q = stage(c, "chunks"), stage(q, "questions")
+    near = retrieval.vector_list(c, q, c.select("chunk_id", "vector"), q.select("query_id", "vector"), F.lit(10))
+    return near.select("query_id", "table_route", F.col("item").alias("chunk_id"))
 
 
 def retrieve_bm25_topk(spark, d):
     c, q = _one_chunk(spark, d), load(spark, d, "queries")
-    hits = retrieval.rerank(retrieval.candidates(c, q, search.bm25(c, q)), q)
+    hits = retrieval.rerank(retrieval.candidates(c, q), q)
     return hits.select("query_id", "rank", retrieval.cited_block(F.col("rank")).alias("block"))
 
 
@@ -153,7 +181,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         lineage_reverse_edges, lineage_active, lineage_warning, errata_ledger, errata_digest, errata_theta_join, enrich_hits, enrich_counters, neighbor_stitch, context_format, rerank_fallback, last_user_message, vec_normalize, dense_topk,
-        bm25_topk, per_route_topk, hybrid_rrf, embed_chunks, dense_route_topk, retrieve_bm25_topk, retrieve_contexts,
+        bm25_topk, per_route_topk, hybrid_rrf, ann_topk, embed_chunks, dense_route_topk, retrieve_bm25_topk, retrieve_hybrid_topk,
+        retrieve_contexts,
     )
 }
 
@@ -194,15 +223,23 @@ rich AS (SELECT n.query_id, n.chunk_id, is_obsolete, is_updated, corrections IS
 _CHUNK1 = "c1 AS (SELECT chunk_id, x.* FROM (SELECT chunk_id, min({'rfc_number': rfc_number, 'table_route': table_route, 'hierarchy_path': hierarchy_path, 'text_payload': text_payload}) AS x FROM chunks GROUP BY chunk_id))"
 
 
-def _bm25(col: str, tag: str) -> str:
+def _bm25(col: str, tag: str, asked: str = "queries") -> str:
     """CTEs ending in {tag}(query_id, chunk_id, score)."""
     return f"""w_{tag} AS (SELECT chunk_id, list_filter(regexp_split_to_array(lower({col}), '[^a-z0-9]+'), lambda x: length(x) > 0) AS t FROM c1),
 n_{tag} AS (SELECT count(*) AS n, avg(CAST(len(t) AS DOUBLE)) AS a FROM w_{tag}),
 p_{tag} AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM w_{tag}) GROUP BY ALL),
 d_{tag} AS (SELECT term, count(*) AS df FROM p_{tag} GROUP BY term),
 {tag} AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 5) AS score
-  FROM (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query_text), '[^a-z0-9]+')) AS term FROM queries) q JOIN p_{tag} USING (term) JOIN d_{tag} USING (term), n_{tag} GROUP BY query_id, chunk_id)"""
+  FROM (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query_text), '[^a-z0-9]+')) AS term FROM {asked}) q JOIN p_{tag} USING (term) JOIN d_{tag} USING (term), n_{tag} GROUP BY query_id, chunk_id)"""
+
 
+_VECTORS = """
+one AS (SELECT chunk_id, x.* FROM (SELECT chunk_id, min({'rfc_number': rfc_number, 'table_route': table_route, 'hierarchy_path': hierarchy_path, 'text_payload': text_payload}) AS x FROM chunks GROUP BY chunk_id)),
+vec AS (SELECT chunk_id, min(vector) AS v FROM lance_chunks WHERE len(vector) = 256 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY chunk_id),
+c1 AS (SELECT one.*, v FROM one JOIN vec USING (chunk_id)),
+asked AS (SELECT q.query_id, query_text, top_k, try_cast(regexp_extract(query_text, '{number}', 1) AS INTEGER) AS doc, h.v
+  FROM queries q JOIN (SELECT query_id, arg_min(v, chunk_id) AS v FROM retrieval_hits JOIN vec USING (chunk_id) GROUP BY query_id) h USING (query_id))""".replace("{number}", Q.NUMBER_IN_QUESTION)
+_ROUTES = f"SELECT query_id, routes FROM ({text_queries.ORACLE['intent_routes']})"
 
 ORACLE = {
     "lineage_reverse_edges": f"WITH {_LINK} SELECT rfc_number, array_to_string(ob, ',') AS obsoleted_by, array_to_string(ub, ',') AS updated_by FROM rev",
@@ -233,7 +270,21 @@ SELECT vec_id, round(v[1] / l, 6) AS first, round(v[32] / l, 6) AS last, CAST(le
 r AS (SELECT query_id, id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
     "bm25_topk": f"WITH {_CHUNK1}, {_bm25('text_payload', 's')}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10",
     "per_route_topk": f"WITH {_CHUNK1}, {_bm25('text_payload', 's')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, table_route ORDER BY score DESC, chunk_id) AS k FROM s JOIN c1 USING (chunk_id)) SELECT query_id, table_route, chunk_id, score FROM r WHERE k <= 5",
-    "hybrid_rrf": f"""WITH {_CHUNK1}, {_bm25('text_payload', 's')}, {_bm25('hierarchy_path', 'z')},
-b AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)) AS v FROM s UNION ALL SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)) FROM z),
-f AS (SELECT query_id, chunk_id, sum(v) AS v FROM b GROUP BY ALL), r AS (SELECT query_id, chunk_id, round(v, 8) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 10""",
+    "hybrid_rrf": f"""WITH {_VECTORS}, {_bm25('text_payload', 's', 'asked')},
+near AS (SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(q.v::DOUBLE[], c.v::DOUBLE[]), 7) AS score FROM asked q, c1 c),
+b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s UNION ALL
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) FROM near),
+f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS v FROM b WHERE r <= 50 GROUP BY ALL),
+r AS (SELECT query_id, chunk_id, round(v, 8) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 10""",
+    "retrieve_hybrid_topk": f"""WITH {_VECTORS}, {_bm25('text_payload', 's', 'asked')},
+want AS (SELECT a.query_id, top_k, doc, unnest(string_split(routes, ',')) AS table_route FROM asked a JOIN ({{routes}}) r USING (query_id)),
+fit AS (SELECT w.query_id, w.table_route, top_k, c.chunk_id, c.v FROM want w JOIN c1 c ON c.table_route = w.table_route AND (doc IS NULL OR doc = c.rfc_number)),
+near AS (SELECT query_id, f.table_route, f.top_k, chunk_id, round(list_cosine_similarity(q.v::DOUBLE[], f.v::DOUBLE[]), 7) AS score FROM fit f JOIN asked q USING (query_id)),
+words AS (SELECT query_id, table_route, top_k, chunk_id, round(s.score, 5) AS score FROM s JOIN fit USING (query_id, chunk_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, table_route ORDER BY score DESC, chunk_id) AS r FROM words UNION ALL
+  SELECT *, row_number() OVER (PARTITION BY query_id, table_route ORDER BY score DESC, chunk_id) FROM near),
+f AS (SELECT query_id, table_route, any_value(top_k) AS top_k, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS v FROM b WHERE r <= 5 * top_k GROUP BY query_id, table_route, chunk_id),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, table_route ORDER BY v DESC, chunk_id) AS n FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) AS m FROM g WHERE n <= 5 * top_k)
+SELECT query_id, chunk_id, table_route, round(v, 8) AS score, CAST(m AS INTEGER) AS rank FROM h WHERE m <= top_k""".replace("{routes}", _ROUTES),
 }

@@ -126,9 +126,14 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a counted bound; beyond it the join stays a shuffle join."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind counted bounds of rows and bytes (as JSON text); beyond them the join stays a shuffle join.
+
+    No more than ``rows`` + 1 rows are read for it. Stage a table first that is costly to compute.
+    """
+    wide = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), wide).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def parallelism(spark: SparkSession) -> int:

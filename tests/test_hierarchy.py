@@ -62,6 +62,19 @@ def test_descendants_over_several_parents_and_cycles(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want and (102, 103, 2) in want
 
 
+def test_a_long_chain_of_two_parents_takes_few_rounds(spark, monkeypatch):
+    from quillspan.operators import hierarchy
+
+    rounds = []
+    staged = hierarchy.stage_counted
+    monkeypatch.setattr(hierarchy, "stage_counted", lambda df, label, **c: rounds.append(label) or staged(df, label, **c))
+    n = 400
+    edges = [(i, i + 1) for i in range(n)] + [(i, i + 2) for i in range(n - 1)]  # the longest shortest way has n / 2 steps
+    h = build(spark, edges)
+    assert {(x.node, x.root, x.depth) for x in h.roots().collect()} == {(i, n, -(-(n - i) // 2)) for i in range(n)}
+    assert rounds.count("closure") <= 10 and rounds.count("double") <= 10
+
+
 def test_tree_ranges_and_paths(spark):
     #       1
     #     2   3
@@ -72,7 +85,9 @@ def test_tree_ranges_and_paths(spark):
     inside = lambda a, b: f[a].pre <= f[b].pre < f[a].pre + f[a].size
     assert [n for n in f if inside(2, n)] and {n for n in f if inside(3, n)} == {3, 6, 7}
     assert {x.node: x.path for x in h.paths().collect()}[7] == [6, 3, 1]
-    assert {(x.node, x.descendant) for x in h.descendants().collect()} >= {(1, 7), (3, 7), (6, 7), (2, 4)}
+    assert {(x.node, x.descendant, x.depth) for x in h.descendants().collect()} == {
+        (1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 2), (1, 6, 2), (1, 7, 3), (2, 4, 1), (2, 5, 1), (3, 6, 1), (3, 7, 2), (6, 7, 1),
+    }
 
 
 def test_hot_parent_is_numbered_across_partitions(spark):
