@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.topk import DECIMALS, Heaps
 from quillspan.runtime import maybe_broadcast, read_file_rows, shared_root, small_enough, stage
 
 #: Vectors of one block on average at most. A tile task holds two blocks and one product in memory, about 100 MB.
@@ -18,8 +19,6 @@ BLOCK_ROWS = 16_384
 _ROWS, _COLS = 1024, 8192
 #: What float32 products may add to a bound.
 _EPS = 2e-6
-#: Decimals to which cosines are ordered; beyond them lies the rounding of the sums.
-DECIMALS = 7
 #: Items of one class from which its members are joined to its list by broadcast.
 HOT_CLASS = 100_000
 
@@ -111,39 +110,7 @@ class _Block:
         return np.concatenate([self.codes[rows] * self.scale[rows, None], ends], axis=1, dtype=np.float32, casting="unsafe").T
 
 
-class _Heaps:
-    """The ``k`` best of each row so far, by cosine and then by item; cosines are those of the given vectors in float64."""
-
-    def __init__(self, n: int, k: int, floor: float):
-        self.k, self.floor = k, floor
-        self.cosine = np.full((n, k), -np.inf)
-        self.item = np.full((n, k), None, dtype=object)
-
-    def bar(self, rows: slice) -> np.ndarray:
-        """What a cosine must reach to matter."""
-        return np.maximum(self.cosine[rows, -1], self.floor)
-
-    def push(self, rows: np.ndarray, cosine: np.ndarray, item: np.ndarray) -> None:
-        ok = (np.round(cosine, DECIMALS) >= np.round(self.cosine[rows, -1], DECIMALS)) & (cosine >= self.floor)
-        rows, cosine, item = rows[ok], cosine[ok], item[ok]
-        if not len(rows):
-            return
-        touched = np.unique(rows)
-        old = self.cosine[touched].ravel()
-        held = np.isfinite(old)
-        r = np.concatenate([rows, np.repeat(touched, self.k)[held]])
-        c = np.concatenate([cosine, old[held]])
-        names = np.concatenate([item, self.item[touched].ravel()[held].astype(str)]) if held.any() else item
-        order = np.lexsort((names, -np.round(c, DECIMALS), r))
-        r, c, names = r[order], c[order], names[order]
-        first = np.concatenate(([True], r[1:] != r[:-1]))
-        place = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-        top = place < self.k
-        self.cosine[touched], self.item[touched] = -np.inf, None
-        self.cosine[r[top], place[top]], self.item[r[top], place[top]] = c[top], names[top].astype(object)
-
-
-def _tile(a: _Block, b: _Block, same: bool, heaps: _Heaps) -> None:
+def _tile(a: _Block, b: _Block, same: bool, heaps: Heaps) -> None:
     """Puts what block ``b`` has for the rows of block ``a`` on their heaps: products of codes bound every cosine; only pairs that may still be among a row's best are recomputed."""
     k = heaps.k
     for s in range(0, len(b), _COLS):
@@ -156,7 +123,7 @@ def _tile(a: _Block, b: _Block, same: bool, heaps: _Heaps) -> None:
             if len(own):
                 high[own - t, own - s] = -9
             bar = heaps.bar(rows)
-            fresh = np.isneginf(heaps.cosine[rows, -1])
+            fresh = np.isneginf(heaps.score[rows, -1])
             if fresh.any() and high.shape[1] > k:  # lists that aren't full: at least the k-th lower bound will be reached
                 low = a.left(rows, -1)[fresh] @ rhs
                 if len(own):
@@ -179,15 +146,14 @@ def _tiles(source: DataFrame, place: str, blocks: int, runs: int, k: int, dim: i
             for number in batch.column(0).to_pylist():
                 i, first = number % blocks, number // blocks * step
                 a = _Block(place, i, dim)
-                heaps = _Heaps(len(a), k, floor)
+                heaps = Heaps(len(a), k, floor)
                 for j in range(first, min(first + step, blocks)):
                     _tile(a, a if i == j else _Block(place, j, dim), i == j, heaps)
-                held = np.isfinite(heaps.cosine)
-                row, _ = np.nonzero(held)
+                row, item, cosine = heaps.rows()
                 for s in range(0, len(row), 100_000):
                     part = slice(s, s + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.items[row[part]], pa.string()), pa.array(heaps.item[held][part], pa.string()), pa.array(heaps.cosine[held][part])], ["a", "b", "cosine"]
+                        [pa.array(a.items[row[part]], pa.string()), pa.array(item[part], pa.string()), pa.array(cosine[part])], ["a", "b", "cosine"]
                     )
 
     work = source.sparkSession.range(0, blocks * -(-blocks // step), 1, blocks * -(-blocks // step))

@@ -40,7 +40,8 @@ def test_neighbours_equal_brute_force(spark, floor, blocks):
 
 
 def test_dense_vectors_give_no_more_than_k_rows_a_tile(spark):
-    from quillspan.llm.knn import _Block, _Heaps, _scaled, _tile
+    from quillspan.llm.knn import _Block, _scaled, _tile
+    from quillspan.operators.topk import Heaps
 
     r = np.random.default_rng(5)
     given = (r.normal(size=(5000, 64)) * 0.25 + 1).astype(np.float32)  # cosines over 0.9 throughout
@@ -53,14 +54,14 @@ def test_dense_vectors_give_no_more_than_k_rows_a_tile(spark):
             self.err = np.linalg.norm(self.unit - self.codes * self.scale[:, None], axis=1)
 
     a, b = Made(np.arange(2500)), Made(np.arange(2500, 5000))
-    heaps = _Heaps(len(a), 10, 0.8)
+    heaps = Heaps(len(a), 10, 0.8)
     for other, same in ((a, True), (b, False)):
         _tile(a, other, same, heaps)
     cos = _scaled(given) @ _scaled(given).T
     np.fill_diagonal(cos, -9)
     assert cos[0, 1:].min() > 0.8 and heaps.item.shape == (2500, 10)
     for i in range(0, 2500, 97):
-        assert sorted(heaps.cosine[i]) == pytest.approx(sorted(cos[i])[-10:], abs=1e-9)
+        assert sorted(heaps.score[i]) == pytest.approx(sorted(cos[i])[-10:], abs=1e-9)
 
 
 def test_a_vector_with_a_null_part_takes_no_part(spark):
