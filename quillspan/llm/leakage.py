@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.kernels import common_run, minimizers
-from quillspan.operators.skew import heavy_keys
-from quillspan.runtime import maybe_broadcast, small_enough, stage
+from quillspan.operators.skew import split_join
+from quillspan.runtime import stage
 
 #: Characters of evaluation text that may be sent to every executor; a larger test set goes through shuffle joins.
 INLINE_CHARS = 4_000_000
@@ -105,24 +105,14 @@ def _prints(df: DataFrame, key: str, text: str, k: int, w: int) -> DataFrame:
     return df.select(key, text).mapInArrow(run, "id long, at long, print long")
 
 
-def _split_join(rows: DataFrame, side: DataFrame, key: str, heavy: int) -> DataFrame:
-    """Inner join in which keys of very many ``rows`` are found beforehand and joined by broadcast of their few rows of ``side``."""
-    hot = heavy_keys(rows, key, heavy)
-    if small_enough(hot, 0):
-        return rows.join(side, key)
-    names = stage(hot.select(F.col("key").alias(key)), "hot")
-    hot_side = side.join(maybe_broadcast(names), key, "left_semi")
-    return rows.join(maybe_broadcast(names), key, "left_anti").join(side, key).unionByName(rows.join(maybe_broadcast(hot_side), key))
-
-
 def _joined(docs: DataFrame, items: DataFrame, k: int, w: int, shared: int, heavy: int = HEAVY) -> DataFrame:
     """The way for a test set of any size: fingerprints meet in a shuffle join, then the texts of the pairs that met."""
     left = _prints(docs, "doc_id", "doc_text", k, w).select(F.col("id").alias("doc_id"), F.col("at").alias("p"), "print")
     right = _prints(items, "item_id", "item_text", k, w).select(F.col("id").alias("item_id"), F.col("at").alias("q"), "print")
     left, right = stage(left, "prints"), stage(right, "item-prints")
-    met = _split_join(left, right, "print", heavy).groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set("p").alias("ps"))
+    met = split_join(left, right, "print", heavy).groupBy("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set("p").alias("ps"))
     hits = stage(met, "hits")
-    pairs = _split_join(hits, items, "item_id", heavy).join(docs, "doc_id").select("doc_id", "item_id", "shift", "ps", "doc_text", "item_text")
+    pairs = split_join(hits, items, "item_id", heavy).join(docs, "doc_id").select("doc_id", "item_id", "shift", "ps", "doc_text", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
