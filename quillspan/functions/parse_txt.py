@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 from quillspan import schemas as S
 from quillspan.functions import text as X
@@ -13,7 +15,10 @@ _PAGE_BREAK = re.compile(r"\n*[^\n]*\[Page\s+\d+\][^\n]*(?:\r\n?|\n)(?:[^\S\r\n]
 _UNNUMBERED, _NUMERIC, _APPENDIX, _ROMAN = (re.compile(p) for p in (X.UNNUMBERED_HEADER, X.NUMERIC_HEADER, X.APPENDIX_HEADER, X.ROMAN_HEADER))
 _SIGNALS = [(re.compile(p), n) for p, n in X.ABNF_SIGNALS]
 _RULE = re.compile(X.ABNF_RULE)
+# Where a header line runs into its paragraph, a line that underlines, and a joining word after a wide gap.
 _SQUASHED = re.compile(r"\s{2,}(?=[A-Z])|(?<=[a-z0-9]\.)\s+(?=[A-Z])")
+_RULED = re.compile(r"^[-=_\s]{3,}$")
+_JOINER = re.compile(r"\s{2,}(?:and|or|the|of)\s+")
 _MODERN_FROM = 1000
 
 
@@ -25,12 +30,24 @@ def _indent(line: str) -> int:
     return len(line) - len(line.lstrip(" \t"))
 
 
+def _nearest(text: str, place: int, way: int) -> str:
+    """The line that isn't blank nearest to a place, after it (``way`` 1) or before it (-1), however far away; empty if there is none."""
+    while 0 <= place <= len(text):
+        end = text.find("\n", place) if way > 0 else text.rfind("\n", 0, place)
+        line = text[place : end if end >= 0 else len(text)] if way > 0 else text[end + 1 : place]
+        if line.strip():
+            return line
+        if end < 0:
+            break
+        place = end + 1 if way > 0 else end
+    return ""
+
+
 def without_pages(text: str) -> str:
     """Joins pages. A paragraph that runs on to the next page goes on; a header or another indent after the break starts a new one."""
 
     def join(m: re.Match) -> str:
-        before = next((x for x in reversed(text[max(0, m.start() - 4000) : m.start()].split("\n")) if x.strip()), "")
-        after = next((x for x in text[m.end() : m.end() + 4000].split("\n") if x.strip()), "")
+        before, after = _nearest(text, m.start(), -1), _nearest(text, m.end(), 1)
         first = after.strip()
         header = bool(first) and any((_NUMERIC.match(first), _APPENDIX.match(first), _UNNUMBERED.match(_key(first))))
         return "\n\n" if header or _indent(before) != _indent(after) else "\n"
@@ -39,60 +56,78 @@ def without_pages(text: str) -> str:
 
 
 def indented(block: str) -> bool:
+    """Every line that isn't blank starts with four spaces."""
     return all(line.startswith("    ") for line in block.split("\n") if line.strip())
 
 
+def paragraphs(text: str) -> list[str]:
+    """Parts between blank lines, without newlines at their ends; blank parts are left out."""
+    parts = re.split(r"\n\s*\n", re.sub("\r\n?", "\n", text))
+    return [p.strip("\n") for p in parts if p.strip()]
+
+
 def visual_blocks(text: str) -> list[str]:
     """Paragraphs, with neighbouring indented ones taken together."""
-    out: list[str] = []
-    open_ = False
-    for part in re.split(r"\n\s*\n", re.sub("\r\n?", "\n", text)):
-        part = part.strip("\n")
-        if not part.strip():
-            continue
-        now = indented(part)
-        if now and open_:
-            out[-1] = f"{out[-1]}\n\n{part}"
-        else:
-            out.append(part)
-        open_ = now
-    return out
+    return ["\n\n".join(run) for fixed, group in groupby(paragraphs(text), indented) for run in ([list(group)] if fixed else [[p] for p in group])]
 
 
 def grammar_points(block: str) -> int:
+    """How much a block looks like a grammar; ``ABNF_LEAST`` and more is one."""
     rules = len(_RULE.findall(block))
     points = X.ABNF_RULE_POINTS * rules + sum(n for p, n in _SIGNALS if p.search(block))
     return points + (X.ABNF_BRACKET_POINTS if rules < 2 and "[" in block and "]" in block else 0)
 
 
-def _cut(rest: str) -> tuple[str, str]:
-    """Title and prose of a header line that runs into its paragraph."""
-    parts = _SQUASHED.split(rest, maxsplit=1)
-    return (parts[0].strip(), parts[1].strip()) if len(parts) == 2 and len(parts[0].split()) <= 6 else (rest, "")
+class _Head(NamedTuple):
+    """What tells a header: the first line, whether the second underlines it, the lines that aren't blank, and the pattern with its match."""
+
+    first: str
+    ruled: bool
+    held: int
+    kind: str
+    match: re.Match | None
+
+
+_KINDS = {"numeric": _NUMERIC, "appendix": _APPENDIX, "roman": _ROMAN}
+# What a header's patterns and form are worth.
+_KIND_POINTS = {"unnumbered": 10, "numeric": 8, "appendix": 9, "roman": 7, "none": 0}
+_FORM_POINTS = [
+    (10, lambda h: h.ruled),
+    (4, lambda h: h.first.isupper() and len(h.first) < 60),
+    (4, lambda h: h.held == 1 + h.ruled or h.held == 1),
+    (-6, lambda h: h.first[-1:] in (",", ";") or bool(_JOINER.search(h.first.lower()))),
+    (-12, lambda h: len(h.first) > 120),
+]
+
+
+def _head(block: str) -> _Head:
+    lines = [line.strip() for line in block.split("\n")]
+    first = lines[0]
+    kind, match = ("unnumbered", None) if _UNNUMBERED.match(_key(first)) else next(((k, m) for k, p in _KINDS.items() if (m := p.match(first))), ("none", None))
+    return _Head(first, len(lines) > 1 and bool(_RULED.match(lines[1])), sum(map(bool, lines)), kind, match)
+
+
+def header_points(block: str) -> int:
+    """Points of a block's first line as a section header: its pattern, then its form; a blank first line has none."""
+    h = _head(block)
+    return _KIND_POINTS[h.kind] + sum(n for n, holds in _FORM_POINTS if holds(h)) if h.first else 0
 
 
 def header(block: str, doc_id: int) -> tuple[str, int, str, str] | None:
-    """(first line, depth, title, what follows) of a block that starts with a section header, else None."""
-    lines = block.split("\n")
-    first = lines[0].strip()
-    if not first:
-        return None
-    ruled = len(lines) > 1 and re.match(r"^[-=_\s]{3,}$", lines[1].strip()) is not None
-    follows, points, depth, title, prose = "\n".join(lines[1 + ruled :]).strip(), 0, 1, first, ""
-    if _UNNUMBERED.match(_key(first)):
-        points = 10
-    else:
-        for pattern, worth in ((_NUMERIC, 8), (_APPENDIX, 9), (_ROMAN, 7)):
-            if m := pattern.match(first):
-                points, (title, prose) = worth, _cut(m.group(2).strip())
-                depth = 1 if pattern is _ROMAN else 1 + m.group(1).split(None, 1)[-1].count(".")
-                break
-    held = sum(1 for x in lines if x.strip())
-    points += 10 * ruled + 4 * (first.isupper() and len(first) < 60) + 4 * (held == 1 or (ruled and held == 2))
-    points -= 6 * bool(first.endswith((",", ";")) or re.search(r"\s{2,}(?:and|or|the|of)\s+", first.lower())) + 12 * (len(first) > 120)
-    if points < (10 if doc_id >= _MODERN_FROM else 8):
+    """(first line, depth, title, what follows) of a block that starts with a section header, else None. A title that runs into its paragraph ends where a sentence or a wide gap does, unless it would have more than six words."""
+    h = _head(block)
+    if not h.first or header_points(block) < (10 if doc_id >= _MODERN_FROM else 8):
         return None
-    return first, depth, title.strip() or first, "\n".join(x for x in (prose, follows) if x)
+    rest = block.split("\n")[1 + h.ruled :]
+    title, prose, depth = h.first, "", 1
+    if h.match:
+        title = h.match.group(2).strip()
+        gap = _SQUASHED.search(title)
+        if gap and len(title[: gap.start()].split()) <= 6:
+            title, prose = title[: gap.start()].strip(), title[gap.end() :].strip()
+        depth = 1 if h.kind == "roman" else 1 + h.match.group(1).split()[-1].count(".")
+    follows = "\n".join(rest).strip()
+    return h.first, depth, title.strip() or h.first, "\n".join(x for x in (prose, follows) if x)
 
 
 class _Outline:

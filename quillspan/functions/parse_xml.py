@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 from quillspan import schemas as S
 
+log = logging.getLogger(__name__)
 _CONTAINERS = {"section", "references", "referencegroup", "blockquote", "aside"}
 # Words by which a reference list is normative, and series that name a reference.
 _NORMATIVE = ["normative", "core", "required", "requirement", "standards", "specifications", "mandatory"]
@@ -125,7 +127,19 @@ def _walk(e: ET.Element, above: list[str], number: str | None = None) -> Iterato
 
 def parse(content: str) -> Iterator[dict]:
     """Blocks of a document in order; malformed XML raises ParseError."""
+    yield from _blocks(ET.fromstring(content))
+
+
+def parse_document(doc_id: int, content: str) -> Iterator[dict]:
+    """:func:`parse` of a document whose number is known: a root that names another number is noted, and the known one counts."""
     root = ET.fromstring(content)
+    stated = root_number(root)
+    if stated is not None and stated != doc_id:
+        log.warning("document %s names itself %s", doc_id, stated)
+    yield from _blocks(root)
+
+
+def _blocks(root: ET.Element) -> Iterator[dict]:
     for front in kids(root, "front")[:1]:
         for kind, lead in (("abstract", lambda e: []), ("note", lambda e: [e.get("title", "Note")]), ("boilerplate", lambda e: ["Boilerplate"])):
             for e in kids(front, kind):
@@ -139,7 +153,7 @@ def parse(content: str) -> Iterator[dict]:
                 yield from _walk(e, ["Back"])
 
 
-def root_number(content: str) -> int | None:
+def root_number(root: ET.Element) -> int | None:
     """The number attribute of the root, if it is all digits."""
-    number = ET.fromstring(content).get("number") or ""
+    number = root.get("number") or ""
     return int(number) if number.isdigit() else None

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,17 +33,3 @@ def routes(question: Column) -> Column:
 def named_document(question: Column) -> Column:
     """The document number that a question names first, or null."""
     return F.nullif(F.regexp_extract(question, NUMBER_IN_QUESTION, 1), F.lit("")).try_cast("int")
-
-
-def routes_of(question: str) -> list[str]:
-    """:func:`routes` on the driver, for planning a single question."""
-    out = {DEFAULT_ROUTE}
-    for name, pattern in INTENT_WORDS.items():
-        if re.search(pattern, question):
-            out.update(INTENT_ROUTES[name])
-    return sorted(out)
-
-
-def number_of(question: str) -> int | None:
-    m = re.search(NUMBER_IN_QUESTION, question)
-    return int(m.group(1)) if m else None

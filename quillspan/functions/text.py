@@ -112,41 +112,32 @@ def section_parts(path: Column, number: Column, doc: Column) -> Column:
     )
 
 
-def abnf_score(c: Column) -> Column:
-    """How much a block looks like a grammar; ``ABNF_LEAST`` and more is one."""
-    rules = F.regexp_count(c, F.lit(ABNF_RULE))
-    score = rules * ABNF_RULE_POINTS
-    for pattern, points in ABNF_SIGNALS:
-        score = score + F.when(c.rlike(pattern), points).otherwise(0)
-    return score + F.when(c.contains("[") & c.contains("]") & (rules < 2), ABNF_BRACKET_POINTS).otherwise(0)
-
-
-def is_indented(c: Column) -> Column:
-    """Every line that isn't blank starts with four spaces."""
-    return F.forall(F.split(c, "\n"), lambda line: (F.length(strip_spaces(line)) == 0) | line.startswith("    "))
-
-
-def header_score(block: Column) -> Column:
-    """Points of a block's first line as a section header: its pattern, then its form."""
-    lines = F.split(block, "\n")
-    first = strip_spaces(lines[0])
-    plain = F.regexp_replace(F.lower(first), r"[.:\- ]+$", "")
-    second = strip_spaces(F.coalesce(F.try_element_at(lines, F.lit(2)), F.lit("")))
-    underlined = second.rlike(r"^[-=_\s]{3,}$")
-    base = F.when(plain.rlike(UNNUMBERED_HEADER), 10).when(first.rlike(NUMERIC_HEADER), 8).when(first.rlike(APPENDIX_HEADER), 9).when(first.rlike(ROMAN_HEADER), 7).otherwise(0)
-    active = F.size(F.filter(lines, lambda x: F.length(strip_spaces(x)) > 0))
-    upper = (first == F.upper(first)) & (first != F.lower(first)) & (F.length(first) < 60)
-    doubtful = first.endswith(",") | first.endswith(";") | F.lower(first).rlike(r"\s{2,}(?:and|or|the|of)\s+")
-    score = base + F.when(underlined, 10).otherwise(0) + F.when(upper, 4).otherwise(0) + F.when((active == 1) | (underlined & (active == 2)), 4).otherwise(0)
-    return F.when(F.length(first) == 0, 0).otherwise(score - F.when(doubtful, 6).otherwise(0) - F.when(F.length(first) > 120, 12).otherwise(0))
-
-
-def squashed(title: Column) -> Column:
-    """Struct of title and prose of a header that runs into its first paragraph; prose is null where it doesn't."""
-    halves = F.split(title, r"\s{2,}(?=[A-Z])|(?<=[a-z0-9]\.)\s+(?=[A-Z])", 2)
-    apart = (F.size(halves) == 2) & (F.size(F.filter(F.split(halves[0], r"\s+"), lambda w: F.length(w) > 0)) <= 6)
-    return F.struct(F.when(apart, strip_spaces(halves[0])).otherwise(title).alias("title"), F.when(apart, strip_spaces(F.try_element_at(halves, F.lit(2)))).alias("prose"))
-
-
-def paragraphs(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, "\r\n?", "\n"), r"\n\s*\n")
+def preview(c: Column, chars: int = 120) -> Column:
+    """The beginning of a text on one line."""
+    return F.substring(F.replace(c, F.lit("\n"), F.lit(" ")), 1, chars)
+
+
+def _ascii_json(quoted: Column) -> Column:
+    """JSON text with every character beyond ASCII as an escape of four hex digits, two of them beyond the basic plane."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(ch: Column) -> Column:
+        n = F.ascii(ch)
+        high, low = F.lit(0xD800) + F.shiftright(n - 0x10000, 10), F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))
+        return F.when(n < 128, ch).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(quoted.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(quoted, ""), escaped), "")).otherwise(quoted)
+
+
+def statements_json(stmts: Column) -> Column:
+    """Statements as JSON text in ASCII, with a space after each comma and colon; a null array is an empty list."""
+    quoted = lambda x: _ascii_json(F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1))
+    one = lambda s: F.concat(F.lit('{"keyword": '), quoted(s["keyword"]), F.lit(', "statement_text": '), quoted(s["statement_text"]), F.lit("}"))
+    given = F.coalesce(stmts, F.array().cast("array<struct<keyword:string,statement_text:string>>"))
+    return F.concat(F.lit("["), F.array_join(F.transform(given, one), ", "), F.lit("]"))
+
+
+def required_int(c: Column, name: str) -> Column:
+    """A whole number that must be there: reading a row without one fails with the column's name."""
+    n = c.try_cast("int")
+    return F.when(n.isNotNull(), n).otherwise(F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("int"))

@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 
 from quillspan import schemas as S
 from quillspan.functions import text as X
+from quillspan.operators.ranking import positions
+from quillspan.operators.skew import split_join
+from quillspan.runtime import maybe_broadcast, stage
 
+#: Blocks of a document that is made one row, and of a section from which it is joined apart.
+MOST_BLOCKS, HOT_SECTION = 100_000, 100_000
 #: Types of raw blocks in which requirements are looked for.
 STATED_TYPES = ["prose", "security", "list", "table"]
 
@@ -34,8 +39,27 @@ def canonical_blocks(raw: DataFrame) -> DataFrame:
     )
 
 
+def canonical_rows(blocks: DataFrame) -> DataFrame:
+    """Canonical blocks with their place: ``section_no`` counts a document's sections in order of their first block, the preface being 0, and ``block_no`` the blocks of a section.
+
+    The document as rows: whatever its size, no task and no row holds it as a whole.
+    """
+    keys = ["rfc_id", "is_preface", "section_id", "title", "hierarchy_path", "section_depth"]
+    b = stage(blocks.withColumn("_s", F.xxhash64(*keys)), "placed")
+    first = b.groupBy("_s", "rfc_id", "is_preface").agg(F.min("ord").alias("_first"))
+    numbered = positions(stage(first.where("not is_preface"), "sections"), ["rfc_id"], [F.col("_first").asc(), F.col("_s").asc()], "section_no")
+    places = numbered.select("_s", "section_no").unionByName(first.where("is_preface").select("_s", F.lit(0).cast("long").alias("section_no")))
+    rows = stage(split_join(b, places, "_s", HOT_SECTION).drop("_s"), "rows")
+    return positions(rows, ["rfc_id", "section_no"], [F.col("ord").asc(), F.col("block_id").asc()], "block_no")
+
+
 def section_tree(blocks: DataFrame) -> DataFrame:
-    """One row per document: preface blocks, and sections in order of their first block, each with its blocks in order."""
+    """One row per document: preface blocks, and sections in order of their first block, each with its blocks in order.
+
+    A row holds a whole document, so documents of more than ``MOST_BLOCKS`` blocks are left to :func:`canonical_rows`.
+    """
+    large = stage(blocks.groupBy("rfc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_BLOCKS).select("rfc_id"), "large")
+    blocks = blocks.join(maybe_broadcast(large), "rfc_id", "left_anti")
     fields = ["block_id", "block_type", "sourcecode_type", "source_fragment", "normalized_text", "parsing_confidence", "normative_statements"]
     block = F.struct("ord", *fields)
     grouped = blocks.groupBy("rfc_id", "is_preface", "section_id", "title", "hierarchy_path", "section_depth").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(block)).alias("blocks"))

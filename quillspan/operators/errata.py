@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspan import schemas as S
 from quillspan.functions import text as X
+from quillspan.operators.skew import split_join
+from quillspan.runtime import stage
+
+#: Texts of one document from which they are joined apart.
+HOT_DOCUMENT = 10_000
 
 
 def ledger(raw: DataFrame) -> DataFrame:
@@ -28,12 +33,13 @@ def digest(errata: DataFrame) -> DataFrame:
 def matches(hits: DataFrame, errata: DataFrame) -> DataFrame:
     """``chunk_id, corrections``: notes on every erratum of the hit's document whose original text stands in the hit, white space aside, in ledger order.
 
-    The join has the document number as its key and the containment as a residual, so it is never a nested loop.
+    The join has the document number as its key and the containment as a residual, so it is never a nested loop; texts of a
+    document that has very many of them meet its errata by broadcast.
     """
     e = errata.where(~X.is_blank(F.col("orig_text"))).select("rfc_number", "ord", X.collapse_spaces("orig_text").alias("_want"), X.strip_spaces("orig_text").alias("_orig"), X.strip_spaces(F.coalesce("correct_text", F.lit(""))).alias("_right"), F.upper("errata_status_code").alias("_status"))
     h = hits.select("chunk_id", "rfc_number", X.collapse_spaces("text_payload").alias("_have")).distinct()
     # Fixed value: the wording of a correction.
     note = F.concat(F.lit("⚠️ [IETF ERRATA ("), F.col("_status"), F.lit(")] The text above contains a known error. Replace:\n'"), F.col("_orig"), F.lit("'\nWITH:\n'"), F.col("_right"), F.lit("'"))
-    met = h.join(e, "rfc_number").where(F.col("_have").contains(F.col("_want")))
+    met = split_join(stage(h, "texts"), e, "rfc_number", HOT_DOCUMENT).where(F.col("_have").contains(F.col("_want")))
     rows = met.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("ord", note.alias("note")))).alias("x"))
     return rows.select("chunk_id", F.array_join(F.transform("x", lambda n: n["note"]), "\n\n").alias("corrections"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan import schemas as S
 from quillspan.operators.hierarchy import Hierarchy
+from quillspan.runtime import exists, stage
+from quillspan.sources.readers import read_metadata_map
+
+log = logging.getLogger(__name__)
 
 
 def node_edges(nodes: DataFrame) -> DataFrame:
@@ -48,3 +55,42 @@ def warnings(edges: DataFrame, active: DataFrame | None = None) -> DataFrame:
     gone = F.concat(F.lit("[TEMPORAL WARNING: This chunk is from RFC "), n, F.lit(", which is OBSOLETE. It was superseded by "), numbers(F.col("obsoleted_by")), F.lit("."), more, F.lit(" Evaluate this text with historical caution.]"))
     changed = F.concat(F.lit("[TEMPORAL NOTICE: This chunk is from RFC "), n, F.lit(", which is active but has been UPDATED by "), numbers(F.col("updated_by")), F.lit(". Please consider these later modifications.]"))
     return j.select("rfc_number", obsolete.alias("is_obsolete"), updated.alias("is_updated"), F.when(obsolete, gone).when(updated, changed).alias("warning")).where("warning is not null")
+
+
+class LineageGraph:
+    """Succession of a metadata file, loaded at first use. A missing file disables it: nothing is found, nothing fails."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._edges = self._nodes = None
+
+    def reload(self) -> None:
+        """Forgets what was read; the next question reads the file again."""
+        self._edges = self._nodes = None
+
+    @property
+    def nodes(self) -> DataFrame:
+        if self._nodes is None:
+            if exists(self.spark, self.path):
+                self._nodes = read_metadata_map(self.spark, self.path)
+            else:
+                log.warning("no metadata at %s", self.path)
+                self._nodes = self.spark.createDataFrame([], S.INDEX_ENTRY)
+        return self._nodes
+
+    @property
+    def edges(self) -> DataFrame:
+        if self._edges is None:
+            self._edges = stage(node_edges(self.nodes), "lineage")
+        return self._edges
+
+    def lookup(self, numbers: DataFrame) -> DataFrame:
+        """``rfc_number, title, status, obsoletes, updates, obsoleted_by, updated_by`` of ``numbers(rfc_number)``, with both directions of every relation; unknown numbers give no row."""
+        rev = reverse_edges(self.edges)
+        empty = F.array().cast("array<int>")
+        known = self.nodes.select("rfc_number", "title", "status", "obsoletes", "updates")
+        j = numbers.select("rfc_number").distinct().join(known.join(rev, "rfc_number", "full"), "rfc_number")
+        return j.select(
+            "rfc_number", F.coalesce("title", F.concat(F.lit("RFC "), F.col("rfc_number"))).alias("title"), F.coalesce("status", F.lit("UNKNOWN")).alias("status"),
+            *[F.coalesce(c, empty).alias(c) for c in ("obsoletes", "updates", "obsoleted_by", "updated_by")],
+        )

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan import schemas as S
 from quillspan.errors import InvalidRequest
 from quillspan.functions import questions as Q
 from quillspan.functions import text as X
@@ -24,8 +25,10 @@ PREAMBLE = "The following context blocks have been retrieved. Use them to formul
 SEPARATOR = "\n\n" + "-" * 65 + "\n\n"
 
 
-def check_request(top_k: int, temperature: float = 0.2, question: str = "?") -> None:
-    """Bounds of a request; raises InvalidRequest."""
+def check_request(top_k: int, temperature: float = 0.2, question: str = "?", roles: list[str] | None = None) -> None:
+    """Bounds of a request, and the roles of its messages; raises InvalidRequest."""
+    if strange := set(roles or []) - set(S.CHAT_ROLES):
+        raise InvalidRequest(f"unknown roles: {', '.join(sorted(strange))}")
     if not 1 <= top_k <= MOST_K or not 0 <= temperature <= 1 or not question.strip():
         raise InvalidRequest(f"top_k 1..{MOST_K}, temperature 0..1 and a question are needed")
 
@@ -186,7 +189,20 @@ def prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("CONTEXT:\n"), context, F.lit("\n\nQUESTION:\n"), question, F.lit("\n\nANSWER:"))
 
 
+def sound_hits(rows: DataFrame) -> DataFrame:
+    """Hits that have an id, a text and a document number that is a number; the others are dropped. A missing route or path is 'Unknown', a missing or NaN score 0."""
+    good = rows.where("chunk_id is not null and text_payload is not null").withColumn("rfc_number", F.col("rfc_number").try_cast("int")).where("rfc_number is not null")
+    score = F.col("score").try_cast("double")
+    return good.withColumns({"table_route": F.coalesce("table_route", F.lit("Unknown")), "hierarchy_path": F.coalesce("hierarchy_path", F.lit("Unknown")), "score": F.when(F.isnan(score), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))})
+
+
 REFUSAL = "I can't answer this from the documents at hand."
+#: How a model is asked: its freedom, and what it must keep to.
+TEMPERATURE, TOP_P = 0.2, 0.8
+INSTRUCTION = (
+    "Answer from the given context alone. Cite each statement by its source. Keep requirement words as they stand. "
+    "Say so where the context is outdated or corrected. If the context doesn't hold the answer, say that it can't be given."
+)
 
 
 def answer(question: str, context: str, generate: Callable[[str], Iterator[str]]) -> Iterator[str]:
@@ -200,6 +216,19 @@ def answer(question: str, context: str, generate: Callable[[str], Iterator[str]]
         yield f"\n[error: {e}]"
 
 
+def finished(text: str | None, reason: str | None = "STOP") -> str:
+    """A whole answer: what a model said, or a note where it stopped early or said nothing."""
+    if reason not in (None, "STOP"):
+        return f"[stopped early: {reason}]"
+    return text or "[the model gave no text]"
+
+
 def complies(response: Column) -> Column:
     """Whether a response cites a source or refuses."""
     return response.contains("[Source ") | response.contains(REFUSAL)
+
+
+def audit_contexts(contexts: DataFrame) -> DataFrame:
+    """One row: contexts with a source, contexts that are empty, and contexts without either, which fail the audit."""
+    cited, empty = F.col("context").contains("### [SOURCE 1:"), F.col("context") == EMPTY_CONTEXT
+    return contexts.agg(F.count_if(cited).alias("cited"), F.count_if(empty).alias("empty"), F.count_if(~cited & ~empty).alias("failed"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.runtime import stage
+from quillspan.runtime import maybe_broadcast, small_enough, stage
 
 #: Rows of a key within one batch of ``_ROWS`` keys from which the batch reports it.
 LOCAL = 16
@@ -47,3 +47,17 @@ def heavy_keys(df: DataFrame, column: str, least: int, local: int | None = None)
 
     counted = df.select(column).mapInArrow(run, "key long, n long")
     return stage(counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > least), "heavy")
+
+
+def split_join(rows: DataFrame, side: DataFrame, key: str, heavy: int) -> DataFrame:
+    """Inner join on one bigint or int column, in which keys of very many ``rows`` are found beforehand and joined by broadcast of their rows of ``side``.
+
+    ``rows`` is read twice. The broadcast is bounded by rows and bytes; beyond that these keys are shuffled as well.
+    """
+    hot = heavy_keys(rows.select(F.col(key).cast("long").alias(key)), key, heavy)
+    if small_enough(hot, 0):
+        return rows.join(side, key)
+    names = stage(hot.select(F.col("key").cast(rows.schema[key].dataType).alias(key)), "hot")
+    warm = side.join(maybe_broadcast(names), key, "left_semi")
+    both = rows.join(maybe_broadcast(names), key, "left_anti").join(side, key)
+    return both.unionByName(rows.join(maybe_broadcast(names), key, "left_semi").join(maybe_broadcast(warm), key))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspan.operators import audit, compile as comp, incremental
 from quillspan.operators.ranking import spread_positions
-from quillspan.plans.text_queries import ONE_BLOCK, one_block
-from quillspan.runtime import load, shared_root
-from quillspan.sources import readers
+from quillspan.plans.text_queries import ONE_BLOCK, WS, _TOKEN, one_block, raw_blocks, sql_collapse, sql_strip
+from quillspan.runtime import load, shared_root, small_enough
+from quillspan.sources import readers, sinks
 
 
 def index_entries(spark, d):
@@ -20,8 +22,18 @@ def index_entries(spark, d):
 
 
 def index_projection(spark, d):
-    e = index_entries(spark, d)
-    return e.select("rfc_number", F.coalesce("title", F.lit("Unknown Title")).alias("title"), F.col("published_at.year").alias("year"), F.col("published_at.month").alias("month"), F.coalesce(F.size("authors"), F.lit(0)).alias("n_authors"), F.array_join(F.col("obsoletes").cast("array<string>"), ",").alias("obsoletes"))
+    """Entries in the shape of the XML index, with month names, through the projection that the reader applies."""
+    r = load(spark, d, "rfc_index").where("rfc_number is not null")
+    names = F.array(*[F.lit(n) for n in ("January", "feb", "March", "APRIL", "may", "June", "Summer", "August", "Sept.", "Autumn", "November", "December")])
+    ids = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.transform(F.col(c), lambda n: F.format_string("RFC%04d", n)).alias("doc-id")))
+    raw = r.select(
+        F.format_string("RFC%04d", "rfc_number").alias("doc-id"), "title", F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("author"),
+        F.struct(F.try_element_at(names, F.col("published_at.month")).alias("month"), F.col("published_at.year").cast("string").alias("year")).alias("date"), F.col("status").alias("current-status"), "stream",
+        ids("obsoletes").alias("obsoletes"), ids("updates").alias("updates"), ids("updated_by").alias("updated-by"), F.col("entry_ord").alias("_ord"),
+    )
+    e = readers.project_index(raw)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return e.select("rfc_number", "title", F.col("published_at.year").alias("year"), F.col("published_at.month").alias("month"), "status", "stream", F.size("authors").alias("n_authors"), listed("obsoletes"), listed("updated_by"))
 
 
 def meta_left_join(spark, d):
@@ -44,10 +56,49 @@ def chunk_metadata(spark, d):
     return comp.chunk_blocks(b, index_entries(spark, d)).groupBy("rfc_number", "rfc_title", "status", "rfc_year", "stream").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def _canonical(spark, d):
+    return comp.canonical_blocks(comp.with_statements(raw_blocks(spark, d)))
+
+
 def canonical_tree(spark, d):
-    """Sections of each document from its blocks; one row per document."""
-    b = one_block(spark, d).withColumn("title", F.element_at("hierarchy_path", -1)).withColumn("is_preface", F.lit(False))
-    return comp.section_tree(b).select("rfc_id", F.size("sections").alias("sections"), F.aggregate("sections", F.lit(0), lambda a, s: a + F.size(s["blocks"])).alias("blocks"))
+    """Sections of each document from its blocks, preface apart; one row per document."""
+    blocks = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + F.size(s["blocks"]))
+    return comp.section_tree(_canonical(spark, d)).select("rfc_id", F.size("sections").alias("sections"), blocks("sections").alias("blocks"), F.size("preface_blocks").alias("preface_blocks"))
+
+
+def canonical_order(spark, d):
+    """The place of each block in its document, without any row that holds a document."""
+    return comp.canonical_rows(_canonical(spark, d)).select("rfc_id", "ord", "section_no", "block_no")
+
+
+def canonical_scan(spark, d):
+    """Documents written as JSON and read again, back in rows."""
+    path = f"{shared_root(spark)}/documents-{uuid.uuid4().hex[:8]}"
+    sinks.write_documents(comp.section_tree(_canonical(spark, d)), path)
+    return readers.read_canonical(spark, path).select("rfc_id", "block_id", (F.col("section_no")).alias("section_no"), (F.col("block_no") + 1).alias("block_no"), F.md5(F.col("normalized_text").cast("binary")).alias("digest"))
+
+
+def json_descent(spark, d):
+    """Blocks found at any depth of JSON documents, by type."""
+    docs = comp.section_tree(_canonical(spark, d)).select(F.col("rfc_id").alias("doc_id"), F.to_json(F.struct("sections", "preface_blocks")).alias("content"))
+    return readers.json_blocks(docs).groupBy("block_type").agg(F.count(F.lit(1)).alias("blocks"), F.sum("chars").alias("chars"))
+
+
+def refused_chunks(spark, d):
+    """Chunks that may not be stored, by reason; half of the rows are spoilt in one of four ways, told by their texts' hash."""
+    h = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
+    c = load(spark, d, "chunks").select(
+        F.when(h != 0, F.col("chunk_id")).alias("chunk_id"), F.when(h == 1, F.lit(-1)).otherwise(F.col("rfc_number")).alias("rfc_number"), F.when(h == 2, F.lit("poetry")).otherwise(F.col("table_route")).alias("table_route"),
+        F.when(h == 3, F.col("parsing_confidence") + 1.01).otherwise(F.col("parsing_confidence")).alias("parsing_confidence"),
+    )
+    good, bad = sinks.accepted(c)
+    return bad.select("reason").unionByName(good.select(F.lit("accepted").alias("reason"))).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def term_statistics(spark, d):
+    path = f"{shared_root(spark)}/terms-{uuid.uuid4().hex[:8]}"
+    sinks.term_statistics(load(spark, d, "chunks").select("chunk_id", "table_route", "text_payload").distinct(), path)
+    return spark.read.parquet(f"{path}/terms").select(F.col("table_route").cast("string").alias("table_route"), "term", "df")
 
 
 def parse_txt_documents(spark, d):
@@ -58,12 +109,26 @@ def parse_txt_documents(spark, d):
 
 
 def parse_xml_documents(spark, d):
-    """XML documents, one per RFC made of its blocks, through the XML parser."""
-    esc = F.replace(F.replace(F.replace("normalized_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\f"), F.lit(" "))
-    t = F.concat(F.lit("<t>"), F.regexp_replace(esc, r"[\x00-\x08\x0b\x0e-\x1f]", ""), F.lit("</t>"))
-    docs = one_block(spark, d).groupBy("rfc_id").agg(F.array_sort(F.collect_list(F.struct("ord", t.alias("t")))).alias("x"))
-    docs = docs.select(F.col("rfc_id").alias("doc_id"), F.lit("xml").alias("source_type"), F.concat(F.lit("<rfc><middle><section><name>Body</name>"), F.array_join(F.transform("x", lambda z: z["t"]), ""), F.lit("</section></middle></rfc>")).alias("content"))
-    return readers.parse_documents(docs).groupBy("doc_id", "block_type").agg(F.count(F.lit(1)).alias("blocks"), F.count("error").alias("errors"))
+    """Each block as an XML document of its own, in the element of its type, through the XML parser: texts, lists, tables, source code, figures and references."""
+    esc = F.replace(F.replace(F.regexp_replace("normalized_text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    b = one_block(spark, d).where("normalized_text is not null").withColumn("x", F.regexp_replace(esc, "\r\n?", "\n"))
+    lines = lambda fmt: F.array_join(F.transform(F.split("x", "\n"), lambda line: F.format_string(fmt, line)), "")
+    element = (
+        F.when(F.col("block_type") == "list", F.concat(F.lit("<ul anchor='"), "block_id", F.lit("'>"), lines("<li>%s</li>"), F.lit("</ul>")))
+        .when(F.col("block_type") == "table", F.concat(F.lit("<table anchor='"), "block_id", F.lit("'><tbody>"), lines("<tr><td>%s</td><td>1</td></tr>"), F.lit("</tbody></table>")))
+        .when(F.col("block_type") == "abnf", F.concat(F.lit("<sourcecode type='abnf' anchor='"), "block_id", F.lit("'>"), "x", F.lit("</sourcecode>")))
+        .when(F.col("block_type") == "sourcecode", F.concat(F.lit("<sourcecode anchor='"), "block_id", F.lit("'>"), "x", F.lit("</sourcecode>")))
+        .when(F.col("block_type") == "artwork", F.concat(F.lit("<figure><name>Fig</name><artwork anchor='"), "block_id", F.lit("'>"), "x", F.lit("</artwork></figure>")))
+        .when(F.col("block_type") == "references", F.concat(F.lit("<reference anchor='"), "block_id", F.lit("'><front><title>"), "x", F.lit("</title></front></reference>")))
+        .otherwise(F.concat(F.lit("<t anchor='"), "block_id", F.lit("'>"), "x", F.lit("</t>")))
+    )
+    name = F.when(F.col("block_type") == "security", "Security Considerations").otherwise("Body")
+    content = F.when(F.col("block_type") == "references", F.concat(F.lit("<rfc><back><references><name>Sources</name>"), element, F.lit("</references></back></rfc>"))).otherwise(
+        F.concat(F.lit("<rfc><middle><section><name>"), name, F.lit("</name>"), element, F.lit("</section></middle></rfc>"))
+    )
+    docs = b.select(F.col("rfc_id").alias("doc_id"), F.lit("xml").alias("source_type"), content.alias("content"))
+    out = readers.parse_documents(docs)
+    return out.select(F.coalesce("element_id", "reference.anchor").alias("block_id"), "block_type", F.col("error").isNotNull().alias("failed"), F.md5(F.col("normalized_text").cast("binary")).alias("digest"))
 
 
 # incremental
@@ -106,6 +171,23 @@ def delta_queue(spark, d):
     return incremental.delta_queue(s.where("source_type = 'xml'"), s.where("source_type = 'txt'"), _state(spark, d))
 
 
+def incremental_run(spark, d):
+    """Two runs over the documents: first those of a known source as text, then all, of which the German ones come as XML by now, and once more the same. What is stored in the end."""
+    out = f"{shared_root(spark)}/corpus-{uuid.uuid4().hex[:8]}"
+    t = load(spark, d, "documents").where("text is not null")
+    text = t.select(F.col("doc_id").cast("int").alias("doc_id"), F.lit("txt").alias("source_type"), F.col("text").alias("content"), "source")
+    esc = F.regexp_replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    xml = t.where("lang = 'de'").select(F.col("doc_id").cast("int").alias("doc_id"), F.lit("xml").alias("source_type"), F.concat(F.lit("<rfc><middle><section><name>Text</name><t>"), esc, F.lit("</t></section></middle></rfc>")).alias("content"))
+    meta = index_entries(spark, d)
+    incremental.run(spark, text.where("source is not null").drop("source"), meta, out)
+    incremental.run(spark, text.drop("source").unionByName(xml), meta, out)
+    again = incremental.run(spark, text.drop("source").unionByName(xml), meta, out)
+    assert small_enough(again, 0)
+    told = spark.read.parquet(f"{out}/telemetry")
+    types = spark.read.parquet(f"{out}/blocks").groupBy(F.col("rfc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("stored"))
+    return told.join(types, "doc_id", "left").select("doc_id", "source_type", "status", (F.coalesce("stored", F.lit(0)) == F.col("total_blocks")).alias("complete"))
+
+
 def telemetry_patch(spark, d):
     cols = ["rfc_id", "total_blocks", "total_chars"]
     old = audit.document_telemetry(one_block(spark, d)).select(*cols)
@@ -186,8 +268,6 @@ def stream_append(spark, d):
     from quillspan.sources.sinks import write_routed
     from quillspan.streaming.ingest import append_feed
 
-    import uuid
-
     base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex[:8]}"
     cols = [c.split()[0] for c in S.CHUNK.replace("array<struct<keyword:string, statement_text:string>>", "x").split(", ")]
     chunks = load(spark, d, "chunks").select(*cols)
@@ -202,7 +282,7 @@ def stream_append(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_projection, meta_left_join, chunk_split, chunk_statements, chunk_metadata, canonical_tree, parse_txt_documents, parse_xml_documents, existing_ids_union, incremental_anti_append, route_semi, xml_over_txt, existing_state, delta_queue,
+        index_projection, meta_left_join, chunk_split, chunk_statements, chunk_metadata, canonical_tree, canonical_order, canonical_scan, json_descent, refused_chunks, term_statistics, incremental_run, parse_txt_documents, parse_xml_documents, existing_ids_union, incremental_anti_append, route_semi, xml_over_txt, existing_state, delta_queue,
         telemetry_patch, telemetry_doc, corpus_manifest, telemetry_report, top_documents, length_dist_p95, length_buckets, boundary_anomalies, mass_conservation, conservation_counts, table_counts, length_outliers, outlier_share, batch_parity, stream_append,
     )
 }
@@ -240,9 +320,16 @@ mass AS (SELECT rfc_id, CAST(s AS BIGINT) AS source_chars, CAST(coalesce(c, 0) A
 judged AS (SELECT rfc_id, source_chars, chunk_chars, round(r, 6) AS ratio, CASE WHEN r = 0 THEN 'FATAL' WHEN r < 1 THEN 'ERROR' WHEN r > 1.2 THEN 'WARN' ELSE 'OK' END AS verdict FROM mass)"""
 _BUCKET = "CASE " + " ".join(f"WHEN length(text_payload) < {m} THEN '{n}'" for m, n in audit.BUCKETS[:-1]) + f" ELSE '{audit.BUCKETS[-1][1]}' END"
 
+_CANON = f"""{ONE_BLOCK}, {_TOKEN},
+canon AS (SELECT *, 'rfc' || rfc_id || '-' || token || '-blk' || row_number() OVER (PARTITION BY rfc_id, token ORDER BY ord) AS new_id FROM named WHERE length({sql_strip("coalesce(normalized_text, '')")}) > 0),
+firsts AS (SELECT rfc_id, pre, sid, ttl, path, min(ord) AS f FROM canon GROUP BY ALL),
+secs AS (SELECT *, CASE WHEN pre THEN 0 ELSE row_number() OVER (PARTITION BY rfc_id, pre ORDER BY f) END AS section_no FROM firsts),
+numbered AS (SELECT c.*, section_no, row_number() OVER (PARTITION BY rfc_id, section_no ORDER BY ord) AS block_no FROM canon c JOIN secs USING (rfc_id, pre, sid, ttl, path))"""
+
 ORACLE = {
-    "index_projection": f"""WITH {_ENTRY} SELECT rfc_number, coalesce(title, 'Unknown Title') AS title, published_at.year AS year, published_at.month AS month, CAST(coalesce(len(authors), 0) AS INTEGER) AS n_authors,
-coalesce(array_to_string(list_filter(obsoletes, lambda x: x > 0), ','), '') AS obsoletes FROM entry""",
+    "index_projection": f"""WITH {_ENTRY}, m AS (SELECT *, list_filter(obsoletes, lambda x: x > 0) AS o, list_filter(updated_by, lambda x: x > 0) AS u FROM entry)
+SELECT rfc_number, coalesce(title, 'Unknown Title') AS title, published_at.year AS year, CASE WHEN published_at.year IS NOT NULL THEN CASE published_at.month WHEN 7 THEN 7 WHEN 10 THEN 10 ELSE published_at.month END END AS month,
+coalesce(status, 'UNKNOWN') AS status, coalesce(stream, 'UNKNOWN') AS stream, CAST(coalesce(len(authors), 0) AS INTEGER) AS n_authors, coalesce(array_to_string(o, ','), '') AS obsoletes, coalesce(array_to_string(u, ','), '') AS updated_by FROM m""",
     "meta_left_join": f"""WITH {_ENTRY}, docs AS (SELECT rfc_id AS n FROM blocks UNION SELECT rfc_number FROM lineage_nodes)
 SELECT n AS rfc_number, {_META}, published_at.year AS year, published_at.month AS month, CAST(coalesce(len(list_filter(obsoletes, lambda x: x > 0)), 0) AS INTEGER) AS n_obsoletes, CAST(coalesce(len(list_filter(updated_by, lambda x: x > 0)), 0) AS INTEGER) AS n_updated_by
 FROM docs LEFT JOIN entry ON rfc_number = n""",
@@ -250,7 +337,21 @@ FROM docs LEFT JOIN entry ON rfc_number = n""",
     "chunk_statements": f"WITH RECURSIVE {_WALK} SELECT chunk_id, st.keyword AS keyword, st.statement_text AS statement_text FROM (SELECT chunk_id, piece, unnest(normative_statements) AS st FROM pieces) WHERE contains(piece, st.statement_text)",
     "chunk_metadata": f"""WITH RECURSIVE {_WALK}, {_ENTRY}, m AS (SELECT rfc_id AS n, * FROM pieces LEFT JOIN entry ON rfc_number = rfc_id)
 SELECT n AS rfc_number, coalesce(title, 'RFC ' || n) AS rfc_title, coalesce(status, 'UNKNOWN') AS status, published_at.year AS rfc_year, CASE WHEN rfc_number IS NULL THEN 'IETF' ELSE coalesce(stream, 'UNKNOWN') END AS stream, count(*) AS chunks FROM m GROUP BY ALL""",
-    "canonical_tree": f"WITH {ONE_BLOCK} SELECT rfc_id, CAST(count(DISTINCT (section_id, path)) AS INTEGER) AS sections, CAST(count(*) AS INTEGER) AS blocks FROM one_block GROUP BY rfc_id",
+    "canonical_tree": f"WITH {_CANON} SELECT rfc_id, CAST(count(DISTINCT (sid, ttl, path)) FILTER (NOT pre) AS INTEGER) AS sections, CAST(count(*) FILTER (NOT pre) AS INTEGER) AS blocks, CAST(count(*) FILTER (pre) AS INTEGER) AS preface_blocks FROM canon GROUP BY rfc_id",
+    "canonical_order": f"WITH {_CANON} SELECT rfc_id, ord, section_no, block_no FROM numbered",
+    "canonical_scan": f"WITH {_CANON} SELECT rfc_id, new_id AS block_id, CAST(section_no AS INTEGER) AS section_no, CAST(block_no AS INTEGER) AS block_no, md5(normalized_text) AS digest FROM numbered",
+    "json_descent": f"WITH {_CANON} SELECT block_type, count(*) AS blocks, CAST(sum(length(normalized_text)) AS BIGINT) AS chars FROM canon GROUP BY block_type",
+    "term_statistics": "WITH c AS (SELECT DISTINCT chunk_id, table_route, text_payload FROM chunks), t AS (SELECT table_route, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text_payload), '[^a-z0-9]+'), lambda x: length(x) > 0))) AS term FROM c) SELECT table_route, term, count(*) AS df FROM t GROUP BY ALL",
+    "incremental_run": "SELECT CAST(doc_id AS INTEGER) AS doc_id, CASE WHEN lang = 'de' THEN 'xml' ELSE 'txt' END AS source_type, 'success' AS status, true AS complete FROM documents WHERE text IS NOT NULL",
+    "parse_xml_documents": f"""WITH {ONE_BLOCK}, b AS (SELECT block_id, block_type, regexp_replace(regexp_replace(normalized_text, '[\\x{{00}}-\\x{{08}}\\x{{0b}}\\x{{0c}}\\x{{0e}}-\\x{{1f}}]', '', 'g'), '\\r\\n?', chr(10), 'g') AS x FROM one_block WHERE normalized_text IS NOT NULL),
+l AS (SELECT *, string_split(x, chr(10)) AS ls FROM b)
+SELECT block_id, CASE WHEN block_type = 'paragraph' THEN 'prose' ELSE block_type END AS block_type, false AS failed, md5(CASE
+  WHEN block_type = 'list' THEN array_to_string(list_transform(list_filter(ls, lambda y: length({sql_strip('y')}) > 0), lambda y: '* ' || {sql_collapse('y')}), chr(10))
+  WHEN block_type = 'table' THEN array_to_string(list_transform(ls, lambda y: '| ' || {sql_collapse('y')} || ' | 1 |'), chr(10))
+  WHEN block_type IN ('abnf', 'sourcecode') THEN regexp_replace(x, '^\\n+|\\n+$', '', 'g')
+  WHEN block_type = 'artwork' THEN '[Fig]' || chr(10) || regexp_replace(x, '^\\n+|\\n+$', '', 'g')
+  WHEN block_type = 'references' THEN 'Citations Target [' || block_id || ']: ' || CASE WHEN {sql_collapse('x')} = '' THEN 'Untitled' ELSE {sql_collapse('x')} END || ' by Unknown Authors.'
+  ELSE {sql_collapse('x')} END) AS digest FROM l""",
     "existing_ids_union": "SELECT chunk_id FROM chunks UNION SELECT chunk_id FROM lance_chunks",
     "incremental_anti_append": "SELECT chunk_id, min(table_route) AS table_route FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM lance_chunks WHERE chunk_id IS NOT NULL) GROUP BY chunk_id",
     "route_semi": "SELECT table_route, count(*) AS rows FROM chunks WHERE table_route IN (SELECT table_route FROM lance_chunks) GROUP BY table_route",

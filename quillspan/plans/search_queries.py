@@ -177,12 +177,25 @@ def retrieve_contexts(spark, d):
     return out.select("query_id", F.length("context").alias("chars"), out.context.contains("[SOURCE 1").alias("has_source"))
 
 
+def sound_hits(spark, d):
+    """Hits as they come from search, without the malformed ones; scores that are missing count as 0."""
+    return retrieval.sound_hits(load(spark, d, "retrieval_hits")).groupBy("table_route").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score") == 0).alias("zero"))
+
+
+def context_audit(spark, d):
+    """Contexts of all questions, cited or empty."""
+    h = retrieval.sound_hits(load(spark, d, "retrieval_hits")).groupBy("query_id", "chunk_id").agg(F.max(F.struct("score", "rfc_number", "table_route", "hierarchy_path", "text_payload")).alias("x")).select("query_id", "chunk_id", "x.*")
+    asked = load(spark, d, "queries").select("query_id", "top_k")
+    made = retrieval.contexts(retrieval.rerank(h.join(asked, "query_id"), asked))
+    return retrieval.audit_contexts(asked.join(made, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(retrieval.EMPTY_CONTEXT))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lineage_reverse_edges, lineage_active, lineage_warning, errata_ledger, errata_digest, errata_theta_join, enrich_hits, enrich_counters, neighbor_stitch, context_format, rerank_fallback, last_user_message, vec_normalize, dense_topk,
         bm25_topk, per_route_topk, hybrid_rrf, ann_topk, embed_chunks, dense_route_topk, retrieve_bm25_topk, retrieve_hybrid_topk,
-        retrieve_contexts,
+        retrieve_contexts, sound_hits, context_audit,
     )
 }
 
@@ -270,6 +283,10 @@ SELECT vec_id, round(v[1] / l, 6) AS first, round(v[32] / l, 6) AS last, CAST(le
 r AS (SELECT query_id, id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
     "bm25_topk": f"WITH {_CHUNK1}, {_bm25('text_payload', 's')}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10",
     "per_route_topk": f"WITH {_CHUNK1}, {_bm25('text_payload', 's')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, table_route ORDER BY score DESC, chunk_id) AS k FROM s JOIN c1 USING (chunk_id)) SELECT query_id, table_route, chunk_id, score FROM r WHERE k <= 5",
+    "sound_hits": """SELECT coalesce(table_route, 'Unknown') AS table_route, count(*) AS rows, count(*) FILTER (coalesce(score, 0) = 0 OR isnan(score)) AS zero FROM retrieval_hits
+WHERE chunk_id IS NOT NULL AND text_payload IS NOT NULL AND rfc_number IS NOT NULL GROUP BY 1""",
+    "context_audit": """WITH h AS (SELECT DISTINCT query_id FROM retrieval_hits WHERE chunk_id IS NOT NULL AND text_payload IS NOT NULL AND rfc_number IS NOT NULL)
+SELECT count(*) FILTER (h.query_id IS NOT NULL) AS cited, count(*) FILTER (h.query_id IS NULL) AS empty, CAST(0 AS BIGINT) AS failed FROM queries q LEFT JOIN h USING (query_id)""",
     "hybrid_rrf": f"""WITH {_VECTORS}, {_bm25('text_payload', 's', 'asked')},
 near AS (SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(q.v::DOUBLE[], c.v::DOUBLE[]), 7) AS score FROM asked q, c1 c),
 b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s UNION ALL

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan import schemas as S
+from quillspan.functions import parse_txt
 from quillspan.functions import questions as Q
 from quillspan.functions import text as X
+from quillspan.operators import compile as comp
 from quillspan.runtime import load
 
 _MONTH_NAMES = ["January", " FEB. ", "march", "Spring", "MAY", "June", "Summer", "aug", "Sept", "Autumn", "November", "Decembre"]
@@ -46,9 +49,8 @@ def sentence_split(spark, d):
 
 
 def _stated(spark, d):
-    raw = F.when(F.col("block_type") == "paragraph", "prose").otherwise(F.col("block_type"))
-    wanted = raw.isin("prose", "security", "list", "table") & ~X.is_exempt(F.col("path"))
-    return one_block(spark, d).where(wanted).select("block_id", F.explode(X.statements(F.col("normalized_text"))).alias("s")).select("block_id", "s.keyword", "s.statement_text")
+    b = comp.with_statements(raw_blocks(spark, d))
+    return b.select(F.col("given_id").alias("block_id"), F.explode("normative_statements").alias("s")).select("block_id", "s.keyword", "s.statement_text")
 
 
 def normative_statements(spark, d):
@@ -68,25 +70,54 @@ def section_token(spark, d):
     return one_block(spark, d).select("block_id", X.section_parts(F.col("path"), F.lit(None).cast("string"), F.col("rfc_id")).alias("p")).select("block_id", "p.section_id", "p.token", "p.title")
 
 
+def raw_blocks(spark, d):
+    """Blocks as a parser gives them."""
+    b = one_block(spark, d)
+    return b.select(
+        F.col("rfc_id").alias("doc_id"), "ord", F.col("path").alias("hierarchy_path"), F.when(F.col("block_type") == "paragraph", "prose").otherwise(F.col("block_type")).alias("block_type"), "sourcecode_type",
+        "source_fragment", "normalized_text", "parsing_confidence", F.lit(None).cast("string").alias("section_number"), F.col("block_id").alias("given_id"),
+    )
+
+
 def block_ids(spark, d):
-    b = one_block(spark, d).withColumn("token", X.section_parts(F.col("path"), F.lit(None).cast("string"), F.col("rfc_id"))["token"])
-    n = F.row_number().over(Window.partitionBy("rfc_id", "token").orderBy("ord", "block_id"))
-    return b.select("block_id", F.concat(F.lit("rfc"), F.col("rfc_id"), F.lit("-"), F.col("token"), F.lit("-blk"), n).alias("new_id"))
+    made = comp.canonical_blocks(comp.with_statements(raw_blocks(spark, d)))
+    return made.select(F.col("rfc_id"), "ord", F.col("block_id").alias("new_id"))
+
+
+def _parsed(function, schema):
+    """A function of the text parser as a column function."""
+
+    @F.pandas_udf(schema)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([function(t) if t is not None else None for t in s])
+
+    return run
 
 
 def abnf_score(spark, d):
-    return one_block(spark, d).select("block_id", X.abnf_score(F.col("source_fragment")).alias("score"), (X.abnf_score(F.col("source_fragment")) >= X.ABNF_LEAST).alias("is_abnf"))
+    score = _parsed(parse_txt.grammar_points, "int")
+    return one_block(spark, d).select("block_id", score("source_fragment").alias("score")).withColumn("is_abnf", F.col("score") >= X.ABNF_LEAST)
 
 
 def header_score(spark, d):
-    return one_block(spark, d).select("block_id", X.header_score(F.col("source_fragment")).alias("score"))
+    return one_block(spark, d).select("block_id", _parsed(parse_txt.header_points, "int")("source_fragment").alias("score"))
 
 
 def indent_groups(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("i", "p")).where(~X.is_blank(F.col("p")))
-    rows = rows.withColumn("ind", X.is_indented(F.regexp_replace("p", "^\n+|\n+$", "")))
-    joins = F.col("ind") & F.coalesce(F.lag("ind").over(Window.partitionBy("doc_id").orderBy("i")), F.lit(False))
-    return rows.withColumn("fresh", (~joins).cast("long")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum("fresh").alias("blocks"), F.count_if("ind").alias("indented"))
+    def shape(text: str) -> list[int]:
+        parts = parse_txt.paragraphs(text)
+        return [len(parts), len(parse_txt.visual_blocks(text)), sum(map(parse_txt.indented, parts))]
+
+    rows = load(spark, d, "documents").where("text is not null").select("doc_id", _parsed(shape, "array<long>")("text").alias("x")).where("x[0] > 0")
+    return rows.select("doc_id", F.col("x")[0].alias("paragraphs"), F.col("x")[1].alias("blocks"), F.col("x")[2].alias("indented"))
+
+
+def statement_json(spark, d):
+    return load(spark, d, "lance_chunks").dropDuplicates(["chunk_id"]).select("chunk_id", F.md5(X.statements_json(F.from_json("normative_statements_json", "array<struct<keyword:string,statement_text:string>>")).cast("binary")).alias("digest"))
+
+
+def text_previews(spark, d):
+    return load(spark, d, "chunks").select("chunk_id", X.preview(F.col("text_payload")).alias("preview")).distinct()
 
 
 def route_map(spark, d):
@@ -103,7 +134,7 @@ def rfc_filter_search(spark, d):
     return q.join(load(spark, d, "chunks").groupBy("rfc_number").agg(F.count(F.lit(1)).alias("rows")), "rfc_number", "left").select("query_id", "rfc_number", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (ws_collapse, doc_id_clean, fuzzy_month, block_refine, section_exempt, sentence_split, normative_statements, normative_counts, statements_kept, section_token, block_ids, abnf_score, header_score, indent_groups, route_map, intent_routes, rfc_filter_search)}
+QUERIES = {f.__name__: f for f in (ws_collapse, doc_id_clean, fuzzy_month, block_refine, section_exempt, sentence_split, normative_statements, normative_counts, statements_kept, section_token, block_ids, abnf_score, header_score, indent_groups, statement_json, text_previews, route_map, intent_routes, rfc_filter_search)}
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -166,7 +197,7 @@ SELECT block_id, refined_type, CASE WHEN refined_type = 'prose' THEN 'paragraph'
     "normative_counts": f"WITH {_STATED} SELECT keyword, count(*) AS statements, count(DISTINCT block_id) AS blocks FROM stated GROUP BY keyword",
     "statements_kept": "SELECT chunk_id, CAST(len(normative_statements) AS INTEGER) AS given, CAST(len(list_filter(normative_statements, lambda s: contains(text_payload, s.statement_text))) AS INTEGER) AS kept FROM chunks",
     "section_token": f"WITH {ONE_BLOCK}, {_TOKEN} SELECT block_id, sid AS section_id, token, ttl AS title FROM named",
-    "block_ids": f"WITH {ONE_BLOCK}, {_TOKEN} SELECT block_id, 'rfc' || rfc_id || '-' || token || '-blk' || row_number() OVER (PARTITION BY rfc_id, token ORDER BY ord, block_id) AS new_id FROM named",
+    "block_ids": f"WITH {ONE_BLOCK}, {_TOKEN} SELECT rfc_id, ord, 'rfc' || rfc_id || '-' || token || '-blk' || row_number() OVER (PARTITION BY rfc_id, token ORDER BY ord) AS new_id FROM named WHERE length({sql_strip("coalesce(normalized_text, '')")}) > 0",
     "abnf_score": f"""WITH {ONE_BLOCK}, s AS (SELECT block_id, source_fragment AS t, len(regexp_extract_all(source_fragment, '{X.ABNF_RULE}')) AS rules FROM one_block),
 p AS (SELECT block_id, CAST(2 * rules + {_ABNF} + CASE WHEN contains(t, '[') AND contains(t, ']') AND rules < 2 THEN -5 ELSE 0 END AS INTEGER) AS score FROM s)
 SELECT block_id, score, score >= 8 AS is_abnf FROM p""",
@@ -183,6 +214,8 @@ e AS (SELECT doc_id, i, regexp_replace(l[i], '^\\n+|\\n+$', '', 'g') AS x FROM p
 f AS (SELECT doc_id, i, len(list_filter(string_split(x, chr(10)), lambda y: length({sql_strip('y')}) > 0 AND NOT starts_with(y, '    '))) = 0 AS ind FROM e),
 g AS (SELECT doc_id, ind, CASE WHEN ind AND coalesce(lag(ind) OVER (PARTITION BY doc_id ORDER BY i), false) THEN 0 ELSE 1 END AS fresh FROM f)
 SELECT doc_id, count(*) AS paragraphs, CAST(sum(fresh) AS BIGINT) AS blocks, count(*) FILTER (ind) AS indented FROM g GROUP BY doc_id""",
+    "statement_json": "SELECT chunk_id, md5(any_value(normative_statements_json)) AS digest FROM lance_chunks GROUP BY chunk_id",
+    "text_previews": "SELECT DISTINCT chunk_id, substr(replace(text_payload, chr(10), ' '), 1, 120) AS preview FROM chunks",
     "route_map": "SELECT block_type, CASE WHEN block_type IN ('abnf', 'artwork', 'references', 'security', 'sourcecode', 'table') THEN block_type ELSE 'prose' END AS route, table_route, count(*) AS rows FROM chunks GROUP BY ALL",
     "intent_routes": f"""WITH i AS (SELECT query_id, list_sort(list_filter([{_intent_case("CASE WHEN regexp_matches(query_text, '{p}') THEN '{name}' END")}], lambda x: x IS NOT NULL)) AS l FROM queries)
 SELECT query_id, CASE WHEN len(l) = 0 THEN 'conceptual_explanation' ELSE array_to_string(l, ',') END AS intents,

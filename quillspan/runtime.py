@@ -71,6 +71,12 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder; any other trouble with the storage is raised."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a staged table through Hadoop's file system, so it works on any storage."""
     jvm = spark.sparkContext._jvm

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 # Vocabularies of the document model.
 BLOCK_TYPES = ["paragraph", "sourcecode", "artwork", "table", "list", "abnf", "security", "references"]
+# (Routes are used as a set; the router gives them sorted.)
 ROUTES = ["abnf", "artwork", "prose", "references", "security", "sourcecode", "table"]
 SOURCECODE_FORMATS = ["yang", "asn.1", "mib", "json", "pseudocode", "c", "go", "python", "xml", "bash", "sh"]
 TAG_TYPES = {"t": "prose", "ul": "list", "ol": "list", "dl": "list", "reference": "references", "sourcecode": "sourcecode", "artwork": "artwork", "table": "table"}
@@ -44,3 +45,11 @@ CHUNK = (
     "text_payload string, sourcecode_type string, parsing_confidence double, normative_statements array<struct<keyword:string, statement_text:string>>"
 )
 TELEMETRY = "file string, status string, total_blocks int, normative_rules int, total_chars int, max_block_chars int, min_block_chars int, error string"
+_BLOCK = (
+    "struct<block_id:string, block_type:string, sourcecode_type:string, source_fragment:string, normalized_text:string, parsing_confidence:double, "
+    "normative_statements:array<struct<keyword:string, statement_text:string>>>"
+)
+SECTIONS = f"array<struct<section_id:string, title:string, hierarchy_path:array<string>, section_depth:int, blocks:array<{_BLOCK}>>>"
+CANONICAL = f"rfc_id int, sections {SECTIONS}, preface_blocks array<{_BLOCK}>"
+#: What stands for an error that a failed document doesn't tell.
+UNTOLD = "The document failed without a message."

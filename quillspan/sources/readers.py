@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +14,11 @@ from pyspark.sql import types as T
 from quillspan import schemas as S
 from quillspan.functions import parse_txt, parse_xml
 from quillspan.functions import text as X
+from quillspan.runtime import exists
+
+log = logging.getLogger(__name__)
+#: Blocks of one batch that parsers give.
+BATCH_BLOCKS = 4096
 
 
 def read_index_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -57,12 +64,7 @@ def prefer_xml(docs: DataFrame) -> DataFrame:
     return txt.join(xml.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(xml)
 
 
-_PARSERS = {"txt": parse_txt.parse, "xml": lambda _, content: parse_xml.parse(content)}
-
-
-def register_parser(source_type: str, parse) -> None:
-    """Adds a parser (doc_id, content) -> blocks for another type of source."""
-    _PARSERS[source_type] = parse
+_PARSERS = {"txt": parse_txt.parse, "xml": parse_xml.parse_document}
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
@@ -73,28 +75,36 @@ def parse_documents(docs: DataFrame) -> DataFrame:
 
     arrow = to_arrow_schema(schema)
 
+    def columns(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[dict] = []  # of many documents, so that batches are neither tiny nor without bound
             for r in batch.to_pylist():
-                blank = dict.fromkeys(arrow.names) | {"doc_id": r["doc_id"], "source_type": r["source_type"]}
+                own = {"doc_id": r["doc_id"], "source_type": r["source_type"]}
                 try:
-                    rows = [blank | b | {"ord": i} for i, b in enumerate(parsers[r["source_type"]](r["doc_id"], r["content"] or ""))]
+                    found = [own | b | {"ord": i} for i, b in enumerate(parsers[r["source_type"]](r["doc_id"], r["content"] or ""))]
                 except Exception as e:  # noqa: BLE001  a bad document is a row, not a failure
-                    rows = [blank | {"ord": 0, "error": f"{type(e).__name__}: {e}".splitlines()[0]}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    found = [own | {"ord": 0, "error": f"{type(e).__name__}: {e}".splitlines()[0]}]
+                rows += found
+                if len(rows) >= BATCH_BLOCKS:
+                    yield columns(rows)
+                    rows = []
+            if rows:
+                yield columns(rows)
 
     return docs.select("doc_id", "source_type", "content").mapInArrow(run, schema)
 
 
 def read_errata(spark: SparkSession, path: str) -> DataFrame:
-    """The errata ledger of a JSON array; a missing or broken file gives an empty ledger."""
+    """The errata ledger of a JSON array. A missing file gives an empty ledger with a warning, and so does one that isn't JSON; any other failure is raised."""
     from quillspan.operators.errata import ledger
 
-    try:
+    if exists(spark, path):
         raw = spark.read.schema(S.ERRATUM).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
-        raw.limit(1).count()
-    except Exception:  # noqa: BLE001
+    else:
+        log.warning("no errata at %s", path)
         raw = spark.createDataFrame([], S.ERRATUM)
     return ledger(raw.withColumn("ord", F.monotonically_increasing_id()))
 
@@ -113,23 +123,54 @@ def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CHUNK).option("mode", "DROPMALFORMED").json(path).where("chunk_id is not null")
 
 
+def read_canonical(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical blocks of documents written as JSON by :func:`quillspan.sources.sinks.write_documents`, in the shape that chunking wants; documents that aren't JSON are left out."""
+    raw = spark.read.schema(S.CANONICAL).option("mode", "DROPMALFORMED").json(path).where("rfc_id is not null")
+    preface = F.struct(F.lit("preface").alias("section_id"), F.lit("Preface").alias("title"), F.array(F.lit("Preface")).alias("hierarchy_path"), F.lit(1).alias("section_depth"), F.col("preface_blocks").alias("blocks"))
+    parts = raw.select("rfc_id", F.posexplode(F.concat(F.array(preface), F.coalesce("sections", F.array().cast(S.SECTIONS)))).alias("section_no", "s"))
+    rows = parts.select("rfc_id", "section_no", "s.section_id", "s.title", "s.hierarchy_path", "s.section_depth", F.posexplode("s.blocks").alias("block_no", "b"))
+    return rows.select("rfc_id", "section_no", "block_no", "section_id", "title", "hierarchy_path", "section_depth", "b.*", (F.col("section_no") == 0).alias("is_preface"))
+
+
+def json_blocks(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
+    """``doc_id, block_type, chars`` of every object, at any depth of any JSON text, that has a block type and a normalized text; texts that aren't JSON give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    todo = [json.loads(text or "null")]
+                except ValueError:
+                    continue
+                while todo:
+                    node = todo.pop()
+                    if isinstance(node, dict) and "block_type" in node and "normalized_text" in node:
+                        for column, value in zip(out, (doc, str(node["block_type"]), len(str(node["normalized_text"] or "")))):
+                            column.append(value)
+                    todo += reversed(list(node.values() if isinstance(node, dict) else node)) if isinstance(node, (dict, list)) else []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (b.column(0).type, pa.string(), pa.int32()))], ["doc_id", "block_type", "chars"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, content).mapInArrow(run, f"doc_id {kind}, block_type string, chars int")
+
+
 def existing_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk ids of Parquet shards or tables; corrupt files and missing folders count as empty."""
-    try:
-        return spark.read.option("ignoreCorruptFiles", "true").schema("chunk_id string").parquet(path).where("chunk_id is not null").distinct()
-    except Exception:  # noqa: BLE001
+    """Chunk ids of Parquet shards or tables. Corrupt files are skipped and a missing folder counts as empty; any other failure is raised, so that nothing is appended twice."""
+    if not exists(spark, path):
         return spark.createDataFrame([], "chunk_id string")
+    return spark.read.option("ignoreCorruptFiles", "true").schema("chunk_id string").parquet(path).where("chunk_id is not null").distinct()
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.TELEMETRY).option("multiLine", "true").json(path)
+    """Telemetry of earlier runs; empty where there is none."""
+    return spark.read.schema(S.TELEMETRY).json(path) if exists(spark, path) else spark.createDataFrame([], S.TELEMETRY)
 
 
 def index_is_stale(spark: SparkSession, source: str, compiled: str) -> bool:
     """Whether a compiled table is older than its source, or missing."""
     newest = lambda p: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).agg(F.max("modificationTime")).first()[0]
-    try:
-        have = newest(compiled)
-    except Exception:  # noqa: BLE001
+    if not exists(spark, compiled):
         return True
+    have = newest(compiled)
     return have is None or newest(source) > have

@@ -9,15 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspan import schemas as S
 from quillspan.operators.incremental import new_rows
 from quillspan.sources.readers import existing_ids
-from quillspan.sources.sinks import write_routed
+from quillspan.sources.sinks import accepted, write_routed
 
 
 def append_feed(spark: SparkSession, feed: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Appends the new chunks of a JSON-lines folder to a routed table, batch by batch, then stops. A batch that is repeated after a failure adds nothing, since ids that are there are left out."""
+    """Appends the new chunks of a JSON-lines folder to a routed table, batch by batch, then stops. A batch that is repeated after a failure adds nothing,
+    since ids that are there are left out; rows that :func:`quillspan.sources.sinks.accepted` refuses are skipped."""
     stream = spark.readStream.schema(S.CHUNK).option("mode", "DROPMALFORMED").json(feed).where("chunk_id is not null")
 
     def batch(df: DataFrame, _: int) -> None:
-        write_routed(new_rows(df, existing_ids(spark, table)), table)
+        good, _refused = accepted(df)
+        write_routed(new_rows(good, existing_ids(spark, table)), table)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

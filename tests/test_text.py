@@ -136,5 +136,4 @@ def test_questions(spark):
     df = spark.createDataFrame([(r[0],) for r in rows], "q string").select("q", Q.intents(F.col("q")).alias("i"), Q.routes(F.col("q")).alias("r"))
     got = {r.q: (r.i, r.r) for r in df.collect()}
     for q, i, r in rows:
-        assert got[q] == (i, r) and Q.routes_of(q) == r
-    assert Q.number_of("see rfc 2616 now") == 2616
+        assert got[q] == (i, r)
