@@ -127,6 +127,13 @@ def unstage(df: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all staged tables of this application; for long sessions, between queries whose results have been read or written."""
+    root = _roots.pop(spark.sparkContext.applicationId, None)
+    if root:
+        delete(spark, root)
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
