@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.runtime import small_enough, stage
 
-#: Place of the rank file; a parameter of every function here, and the same on all executors.
+#: Place of the rank file on the driver; a parameter of every function here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,8 +38,11 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], tokenizer: str = TOK
     """``keep`` and ``n_tokens``, the tokens of the whole text; a null text has none."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
 
+    # the rank file is sent along, so executors need no copy of their own
+    df.sparkSession.sparkContext.addFile(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(SparkFiles.get(os.path.basename(tokenizer)))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*keep, "n_tokens"])

@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ SHORT_WORD, FEW_SHORT, MANY_SHORT = 3, 0.15, 0.75
 LEAST_WORDS, LONG_PASSAGE = 5, 60
 #: Share of tokens that are words as written, with nothing but letters inside, and the mean length of words.
 CLEAN_TOKENS, MEAN_LENGTH = 0.7, (2.5, 13.0)
+#: Separators within or before a word, for each token, from which a passage isn't writing.
+ASTRAY = 0.05
 #: Words of a sentence at most, for passages that show sentences by capital and full stop alone.
 LONGEST_SENTENCE = 60
 #: Share of a long passage's short words that may occur once only; random letters hardly repeat a word.
@@ -28,7 +31,9 @@ REPEAT_GRAM, TOP_GRAM = 8, 3
 LETTERS_A_WORD = 2
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLEAN = re.compile(r"[(\"'«»„“”‘’¿¡\[]*[^\W\d_]+(?:[-'’][^\W\d_]+)*[)\"'«»“”’\].,;:!?]*")
+#: Marks that may stand at or within a word as written.
+_BESIDE = dict.fromkeys(map(ord, "()[]\"'«»„“”‘’¿¡.,;:!?-"))
+_ASTRAY = re.compile(r"[,;](?:(?<=[^\W\d_][,;])(?=[^\W\d_])|(?<=\s[,;]))")
 _UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 _SENTENCE_END = re.compile("(?<=[.!?])[\"'”»)\\]]*\\s+|(?<=[。！？])")
 _DIGITS = re.compile(r"\d+")
@@ -59,34 +64,43 @@ def _is_table(line: str, n_words: int) -> bool:
     return cells >= 2 and cells + 1 >= n_words / 2 or n_words <= 12 and "  " in line and len(_GAPS.findall(line)) >= 2
 
 
-def top_ngram_share(words: list[str], n: int = TOP_GRAM) -> float:
-    """Share of the characters that the most frequent n-gram covers, each character counted once; 0 if no n-gram occurs twice."""
-    if len(words) <= n:
-        return 0.0
-    gram, times = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
-    if times < 2:
-        return 0.0
-    covered, until = 0, 0
-    for i in range(len(words) - n + 1):
-        if words[i] == gram[0] and tuple(words[i : i + n]) == gram:
-            covered += sum(map(len, words[max(i, until) : i + n]))
-            until = i + n
-    return covered / max(1, sum(map(len, words)))
-
-
-def repeated_ngram_share(words: list[str], n: int = REPEAT_GRAM) -> float:
-    """Share of the characters that stand in n-grams which the text has had before."""
-    if len(words) <= n:
-        return 0.0
-    seen: set[tuple[str, ...]] = set()
-    again, until = 0, 0
-    for i, gram in enumerate(zip(*(words[j:] for j in range(n)))):
-        if gram in seen:
-            again += sum(map(len, words[max(i, until) : i + n]))
-            until = i + n
-        else:
-            seen.add(gram)
-    return again / max(1, sum(map(len, words)))
+def _grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` word hashes."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(ids) - n + 1, np.uint64)
+        mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(n):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[i : i + len(h)]
+        return h
+
+
+def _covered(starts: np.ndarray, n: int, sizes: np.ndarray) -> int:
+    """Characters of the words that runs of ``n`` words from ``starts`` cover, each counted once."""
+    marks = np.zeros(len(sizes) + 1, np.int64)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, starts + n, -1)
+    return int(sizes[np.cumsum(marks[:-1]) > 0].sum())
+
+
+def repetition(words: list[str], repeat: int = REPEAT_GRAM, top: int = TOP_GRAM) -> tuple[float, float]:
+    """Share of the characters that stand in n-grams which the text has had before, and share that the most frequent n-gram covers if it occurs twice or more."""
+    if len(words) <= top:
+        return 0.0, 0.0
+    ids = np.fromiter(map(hash, words), np.int64, len(words))  # compared within one text only
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    total, again, most = int(sizes.sum()), 0, 0
+    if len(words) > repeat:
+        h = _grams(ids, repeat)
+        first = np.unique(h, return_index=True)[1]
+        if len(first) < len(h):
+            later = np.ones(len(h), bool)
+            later[first] = False
+            again = _covered(np.flatnonzero(later), repeat, sizes)
+    h = _grams(ids, top)
+    value, times = np.unique(h, return_counts=True)
+    if times.max() > 1:
+        most = max(_covered(np.flatnonzero(h == v), top, sizes) for v in value[times == times.max()][:4])
+    return again / max(1, total), most / max(1, total)
 
 
 def _lengths(passage: str, words: list[str]) -> list[int]:
@@ -102,7 +116,7 @@ def _lengths(passage: str, words: list[str]) -> list[int]:
 def is_prose(passage: str, words: list[str], listed: bool = False) -> bool:
     """Whether a passage is running text, by its form alone.
 
-    Its tokens must be words as written, of usual length. Then it shows either a share of short words as sentences have
+    Its tokens must be words as written, of usual length, with separators after words. Then it shows either a share of short words as sentences have
     it (which recur, if the passage is long), or the form of sentences: a capital or a letter without case first,
     a full stop at the end, and not more words between than a sentence has. An entry of a list must show the former.
     """
@@ -111,7 +125,7 @@ def is_prose(passage: str, words: list[str], listed: bool = False) -> bool:
     if len(n) < LEAST_WORDS or not unspaced and not MEAN_LENGTH[0] <= sum(n) / len(n) <= MEAN_LENGTH[1]:
         return False
     tokens = passage.split()
-    if not unspaced and sum(1 for t in tokens if _CLEAN.fullmatch(t)) < CLEAN_TOKENS * len(tokens):
+    if not unspaced and (sum(map(str.isalpha, passage.translate(_BESIDE).split())) < CLEAN_TOKENS * len(tokens) or len(_ASTRAY.findall(passage)) > ASTRAY * len(tokens)):
         return False
     short = [w.lower() for w in words if len(w) <= SHORT_WORD]
     share = len(short) / len(n)
@@ -195,8 +209,7 @@ def measures(text: str | None) -> dict[str, float]:
         prose = 0
     paragraphs = [p.strip() for p in _BLANK.split(text) if p.strip()]
     dup = sum(len(p) * (c - 1) for p, c in Counter(paragraphs).items()) / max(1, sum(map(len, paragraphs)))
-    lower = [w.lower() for w in all_words]
-    again_share, top = repeated_ngram_share(lower), top_ngram_share(lower)
+    again_share, top = repetition(" ".join(all_words).lower().split(" ") if all_words else [])
     share = prose / total if total else 0.0
     return {
         "n_words": len(all_words),
