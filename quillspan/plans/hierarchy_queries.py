@@ -90,20 +90,20 @@ loops AS (
   SELECT a.kind, a.node, min(b.up) AS cycle FROM near a JOIN near b ON b.kind = a.kind AND b.node = a.node
   JOIN near c ON c.kind = a.kind AND c.node = b.up AND c.up = a.node WHERE a.up = a.node GROUP BY a.kind, a.node),
 least AS (SELECT kind, child AS node, min(parent) AS parent FROM edge GROUP BY ALL),
-chase(kind, node, at, depth) AS (
+chase(kind, node, cur, depth) AS (
   SELECT kind, node, parent, 1 FROM least
   UNION
-  SELECT c.kind, c.node, l.parent, c.depth + 1 FROM chase c JOIN least l ON l.kind = c.kind AND l.node = c.at WHERE c.depth < (SELECT count(*) FROM edge)),
-tied AS (SELECT DISTINCT kind, node FROM chase WHERE node = at),
+  SELECT c.kind, c.node, l.parent, c.depth + 1 FROM chase c JOIN least l ON l.kind = c.kind AND l.node = c.cur WHERE c.depth < (SELECT count(*) FROM edge)),
+tied AS (SELECT DISTINCT kind, node FROM chase WHERE node = cur),
 hung AS (SELECT * FROM least ANTI JOIN tied USING (kind, node)),
 nodes AS (SELECT kind, child AS node FROM edge UNION SELECT kind, parent FROM edge),
-walk(kind, node, at, path) AS (
+walk(kind, node, cur, path) AS (
   SELECT kind, node, node, CAST([] AS BIGINT[]) FROM nodes
   UNION ALL
-  SELECT w.kind, w.node, h.parent, list_append(path, h.parent) FROM walk w JOIN hung h ON h.kind = w.kind AND h.node = w.at),
+  SELECT w.kind, w.node, h.parent, list_append(path, h.parent) FROM walk w JOIN hung h ON h.kind = w.kind AND h.node = w.cur),
 tree AS (
-  SELECT kind, node, at AS top, path, list_append(list_reverse(path), node) AS way FROM walk w
-  WHERE NOT EXISTS (SELECT 1 FROM hung h WHERE h.kind = w.kind AND h.node = w.at)),
+  SELECT kind, node, cur AS top, path, list_append(list_reverse(path), node) AS way FROM walk w
+  WHERE NOT EXISTS (SELECT 1 FROM hung h WHERE h.kind = w.kind AND h.node = w.cur)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY kind, top ORDER BY way) - 1 AS pre FROM tree),
 sized AS (SELECT a.kind, a.node, count(*) AS size FROM tree a JOIN tree b ON b.kind = a.kind AND b.top = a.top AND b.way[1:len(a.way)] = a.way GROUP BY ALL)
 SELECT kind, CAST(node AS INTEGER) AS rfc_number, CAST(top AS INTEGER) AS top_number, CAST(len(path) AS INTEGER) AS depth, coalesce(n, 0) AS n_descendants, pre AS range_start, pre + size - 1 AS range_end,

@@ -112,8 +112,8 @@ def read_errata(spark: SparkSession, path: str) -> DataFrame:
 def read_metadata_map(spark: SparkSession, path: str) -> DataFrame:
     """Index entries of a JSON object keyed by number; entries that aren't objects and keys that aren't numbers are left out."""
     entry = T.StructType([f for f in S.INDEX_ENTRY if f.name != "rfc_number"])
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), entry)).alias("m"))
-    rows = raw.select(F.explode("m").alias("k", "e")).withColumn("rfc_number", F.col("k").try_cast("int")).where("rfc_number is not null and e is not null")
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
+    rows = raw.select(F.explode("m").alias("k", "t")).where("t like '{%'").select("k", F.from_json("t", entry).alias("e")).withColumn("rfc_number", F.col("k").try_cast("int")).where("rfc_number is not null and e is not null")
     out = rows.select("rfc_number", "e.*")
     return out.withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("obsoletes", "updates", "updated_by")} | {"title": F.coalesce("title", F.concat(F.lit("RFC "), F.col("rfc_number"))), "status": F.coalesce("status", F.lit("UNKNOWN"))})
 
