@@ -133,8 +133,8 @@ def parse(content: str) -> Iterator[dict]:
 def parse_document(doc_id: int, content: str) -> Iterator[dict]:
     """:func:`parse` of a document whose number is known: a root that names another number is noted, and the known one counts."""
     root = ET.fromstring(content)
-    stated = root_number(root)
-    if stated is not None and stated != doc_id:
+    stated = root.get("number") or ""
+    if stated.isdigit() and int(stated) != doc_id:
         log.warning("document %s names itself %s", doc_id, stated)
     yield from _blocks(root)
 
@@ -151,9 +151,3 @@ def _blocks(root: ET.Element) -> Iterator[dict]:
         for kind in ("section", "references"):
             for e in kids(back, kind):
                 yield from _walk(e, ["Back"])
-
-
-def root_number(root: ET.Element) -> int | None:
-    """The number attribute of the root, if it is all digits."""
-    number = root.get("number") or ""
-    return int(number) if number.isdigit() else None

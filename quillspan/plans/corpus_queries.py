@@ -148,6 +148,13 @@ def route_semi(spark, d):
     return load(spark, d, "chunks").join(have, "table_route", "left_semi").groupBy("table_route").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def routed_scan(spark, d):
+    """Chunks stored by route, and two routes read back; only their folders are scanned."""
+    path = f"{shared_root(spark)}/routed-{uuid.uuid4().hex[:8]}"
+    sinks.write_routed(load(spark, d, "chunks").select("chunk_id", "table_route", "text_payload").distinct(), path, "overwrite")
+    return spark.read.parquet(path).where(F.col("table_route").isin("abnf", "security")).select("chunk_id", F.col("table_route").cast("string").alias("table_route"), F.length("text_payload").alias("chars"))
+
+
 def _sources(spark, d):
     c = load(spark, d, "chunks").select(F.col("rfc_number").alias("doc_id"), F.when(F.col("parsing_confidence") == 1.0, "xml").otherwise("txt").alias("source_type")).distinct()
     return c
@@ -282,7 +289,7 @@ def stream_append(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_projection, meta_left_join, chunk_split, chunk_statements, chunk_metadata, canonical_tree, canonical_order, canonical_scan, json_descent, refused_chunks, term_statistics, incremental_run, parse_txt_documents, parse_xml_documents, existing_ids_union, incremental_anti_append, route_semi, xml_over_txt, existing_state, delta_queue,
+        index_projection, meta_left_join, chunk_split, chunk_statements, chunk_metadata, canonical_tree, canonical_order, canonical_scan, json_descent, refused_chunks, term_statistics, incremental_run, parse_txt_documents, parse_xml_documents, existing_ids_union, incremental_anti_append, route_semi, routed_scan, xml_over_txt, existing_state, delta_queue,
         telemetry_patch, telemetry_doc, corpus_manifest, telemetry_report, top_documents, length_dist_p95, length_buckets, boundary_anomalies, mass_conservation, conservation_counts, table_counts, length_outliers, outlier_share, batch_parity, stream_append,
     )
 }
@@ -354,6 +361,7 @@ SELECT block_id, CASE WHEN block_type = 'paragraph' THEN 'prose' ELSE block_type
   ELSE {sql_collapse('x')} END) AS digest FROM l""",
     "existing_ids_union": "SELECT chunk_id FROM chunks UNION SELECT chunk_id FROM lance_chunks",
     "incremental_anti_append": "SELECT chunk_id, min(table_route) AS table_route FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM lance_chunks WHERE chunk_id IS NOT NULL) GROUP BY chunk_id",
+    "routed_scan": "SELECT DISTINCT chunk_id, table_route, CAST(length(text_payload) AS INTEGER) AS chars FROM chunks WHERE table_route IN ('abnf', 'security')",
     "route_semi": "SELECT table_route, count(*) AS rows FROM chunks WHERE table_route IN (SELECT table_route FROM lance_chunks) GROUP BY table_route",
     "xml_over_txt": f"WITH {_SRC} SELECT doc_id, max(source_type) AS source_type FROM src GROUP BY doc_id",
     "existing_state": f"WITH {_STATE} SELECT doc_id, source_type FROM st",

@@ -184,3 +184,11 @@ def test_errata_of_a_hot_document(spark, monkeypatch):
     raw = spark.createDataFrame([("RFC1", "Verified", "T", "1", "a  fault", "x", 1), ("RFC2", "Verified", "T", "1", "a fault", "y", 2)], "`doc-id` string, errata_status_code string, errata_type_code string, section string, orig_text string, correct_text string, ord int")
     got = {r.chunk_id: r.corrections for r in errata.matches(hits, errata.ledger(raw)).collect()}
     assert len(got) == 70 and "'x'" in got["c0"] and "'y'" in got["c69"]
+
+
+def test_a_route_is_read_from_its_folder(spark, tmp_path):
+    df = spark.createDataFrame([("a", "abnf"), ("b", "prose")], "chunk_id string, table_route string")
+    sinks.write_routed(df, str(tmp_path / "t"), "overwrite")
+    found = spark.read.parquet(str(tmp_path / "t")).where("table_route = 'abnf'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(table_route" in plan and [r.chunk_id for r in found.collect()] == ["a"]
