@@ -177,6 +177,7 @@ def parse(doc_id: int, content: str) -> Iterator[dict]:
         low = where.lower()
         refined = kind if kind != "prose" else "security" if "security considerations" in low else "references" if "references" in low else kind
         yield {
-            "hierarchy_path": where, "block_type": refined, "source_type": "txt", "normalized_text": " ".join(block.split()) if kind == "prose" else block, "source_fragment": block,
+            "hierarchy_path": where, "block_type": refined, "source_type": "txt", "normalized_text": " ".join(block.split())
+                if kind == "prose" else block, "source_fragment": block,
             "parsing_confidence": 0.8 if doc_id >= _MODERN_FROM else 0.6,
         }

@@ -65,7 +65,8 @@ def citation(e: ET.Element, low_path: str, parent_anchor: str) -> tuple[str, dic
     context = f"{low_path} {parent_anchor.lower()}"
     front = kids(e, "front")
     own = kids(front[0], "title") if front else []
-    meta = {"anchor": e.get("anchor", "UNKNOWN"), "category": "Normative" if any(w in context for w in _NORMATIVE) else "Informative", "title": flat(own[0]) if own else None, "target_url": e.get("target"), "doi": None, "series_name": None, "series_value": None}
+    meta = {"anchor": e.get("anchor", "UNKNOWN"), "category": "Normative" if any(w in context for w in _NORMATIVE)
+        else "Informative", "title": flat(own[0]) if own else None, "target_url": e.get("target"), "doi": None, "series_name": None, "series_value": None}
     for info in kids(e, "seriesInfo"):
         name = info.get("name", "")
         if name.upper() == "DOI":
@@ -96,8 +97,10 @@ def _block(e: ET.Element, path: str, number: str | None, parent_anchor: str, cap
     source = ET.tostring(e, encoding="unicode").strip()
     e.tail = tail
     return {
-        "hierarchy_path": path, "block_type": block_type, "source_type": "xml", "sourcecode_type": form if kind == "sourcecode" and form in S.SOURCECODE_FORMATS else None,
-        "normalized_text": f"[{caption}]\n{text}" if caption else text, "source_fragment": source, "parsing_confidence": 1.0, "element_id": e.get("anchor") or e.get("pn"), "section_number": number, "reference": reference,
+        "hierarchy_path": path, "block_type": block_type, "source_type": "xml", "sourcecode_type": form if kind == "sourcecode"
+            and form in S.SOURCECODE_FORMATS else None,
+        "normalized_text": f"[{caption}]\n{text}" if caption else text, "source_fragment": source, "parsing_confidence": 1.0,
+            "element_id": e.get("anchor") or e.get("pn"), "section_number": number, "reference": reference,
     }
 
 

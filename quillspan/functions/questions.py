@@ -13,7 +13,8 @@ INTENT_WORDS = {
     "normative_query": r"(?i)\b(must|should|may|required|shall|mandatory|normative|strict|comply|compliance)\b",
     "protocol_history": r"(?i)\b(history|obsolet\w*|updat\w*|older|version|previous|deprecated|superseded)\b",
 }
-INTENT_ROUTES = {"syntax_grammar": ["abnf", "sourcecode"], "visual_structure": ["artwork", "table"], "security_analysis": ["security"], "normative_query": ["abnf"], "protocol_history": ["references"]}
+INTENT_ROUTES = {"syntax_grammar": ["abnf", "sourcecode"], "visual_structure": ["artwork", "table"],
+    "security_analysis": ["security"], "normative_query": ["abnf"], "protocol_history": ["references"]}
 DEFAULT_INTENT, DEFAULT_ROUTE = "conceptual_explanation", "prose"
 NUMBER_IN_QUESTION = r"(?i)\brfc\s*(\d+)\b"
 
@@ -26,7 +27,8 @@ def intents(question: Column) -> Column:
 
 def routes(question: Column) -> Column:
     """Sorted routes to search; prose is always one of them."""
-    each = [F.when(question.rlike(INTENT_WORDS[name]), F.array(*[F.lit(r) for r in rs])).otherwise(F.array().cast("array<string>")) for name, rs in INTENT_ROUTES.items()]
+    each = [F.when(question.rlike(INTENT_WORDS[name]), F.array(*[F.lit(r) for r in rs])).otherwise(F.array().cast("array<string>"))
+        for name, rs in INTENT_ROUTES.items()]
     return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(DEFAULT_ROUTE)), *each)))
 
 

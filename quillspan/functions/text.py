@@ -19,7 +19,8 @@ NUMERIC_HEADER = r"^([0-9]+(?:\.[0-9]+)*)(?:\.|\s+)(.*)$"
 APPENDIX_HEADER = r"(?i)^(Appendix\s+[A-Z0-9]+(?:\.[0-9]+)*)(?:\.|\s+|-*)(.*)$"
 ROMAN_HEADER = r"(?i)^(?=[MDCLXVI])(M*(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3}))\.\s+(.*)$"
 ABNF_SIGNALS = [
-    (r"::=", 8), (r" =/ ", 8), (r"%[xdb][0-9a-fA-F.-]+", 6), (r"\b\d*\*+\d*[a-zA-Z]|\b\d+[a-zA-Z]", 4), (r"\b(CRLF|DIGIT|ALPHA|HEXDIG|DQUOTE|SP|WSP|OCTET|VCHAR|HTAB|BIT|CHAR|CTL)\b", 3),
+    (r"::=", 8), (r" =/ ", 8), (r"%[xdb][0-9a-fA-F.-]+", 6), (r"\b\d*\*+\d*[a-zA-Z]|\b\d+[a-zA-Z]", 4),
+        (r"\b(CRLF|DIGIT|ALPHA|HEXDIG|DQUOTE|SP|WSP|OCTET|VCHAR|HTAB|BIT|CHAR|CTL)\b", 3),
     (r"(?m)^\s*(?:if|export|set|chown|chmod)\b", -8),
 ]
 ABNF_RULE, ABNF_RULE_POINTS, ABNF_BRACKET_POINTS, ABNF_LEAST = r"(?m)^\s*[a-zA-Z0-9-]+\s*=\s*", 2, -5, 8
@@ -86,7 +87,8 @@ def statements(c: Column) -> Column:
     """One struct per requirement word of each sentence of twelve characters or more: the word's class and the sentence."""
     words = F.create_map(*[F.lit(x) for x in chain(*S.KEYWORDS.items())])
     long = F.filter(sentences(c), lambda s: F.length(strip_spaces(s)) >= STATEMENT_LEAST)
-    found = lambda s: F.transform(F.regexp_extract_all(s, F.lit(KEYWORD_PATTERN), F.lit(1)), lambda k: F.struct(words[collapse_spaces(k)].alias("keyword"), strip_spaces(s).alias("statement_text")))
+    found = lambda s: F.transform(F.regexp_extract_all(s, F.lit(KEYWORD_PATTERN), F.lit(1)),
+        lambda k: F.struct(words[collapse_spaces(k)].alias("keyword"), strip_spaces(s).alias("statement_text")))
     return F.flatten(F.transform(long, found))
 
 
@@ -107,7 +109,8 @@ def section_parts(path: Column, number: Column, doc: Column) -> Column:
     has_number = F.length(F.coalesce(number, F.lit(""))) > 0
     return F.struct(
         F.when(preface, "preface").when(has_number, given).when(numbered, head).otherwise("unknown").alias("section_id"),
-        F.when(preface, "preface").when(has_number, F.concat(F.lit("sec"), given)).when(numbered, F.concat(F.lit("sec"), F.regexp_replace(head, r"^\.+|\.+$", ""))).otherwise(hashed).alias("token"),
+        F.when(preface, "preface").when(has_number, F.concat(F.lit("sec"), given))
+            .when(numbered, F.concat(F.lit("sec"), F.regexp_replace(head, r"^\.+|\.+$", ""))).otherwise(hashed).alias("token"),
         F.when(preface, path).when(has_number, strip_spaces(last)).when(numbered, strip_spaces(rest)).otherwise(strip_spaces(last)).alias("title"),
     )
 
@@ -140,4 +143,5 @@ def statements_json(stmts: Column) -> Column:
 def required_int(c: Column, name: str) -> Column:
     """A whole number that must be there: reading a row without one fails with the column's name."""
     n = c.try_cast("int")
-    return F.when(n.isNotNull(), n).otherwise(F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("int"))
+    return F.when(n.isNotNull(), n).otherwise(F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "),
+        F.coalesce(c.cast("string"), F.lit("null")))).cast("int"))

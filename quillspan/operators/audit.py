@@ -17,7 +17,8 @@ def document_telemetry(blocks: DataFrame) -> DataFrame:
     """One row per document: blocks, statements and characters, 0 where there are none."""
     n = F.length(F.coalesce("normalized_text", F.lit("")))
     return blocks.groupBy("rfc_id").agg(
-        F.count(F.lit(1)).cast("int").alias("total_blocks"), F.sum(F.coalesce(F.size("normative_statements"), F.lit(0))).cast("int").alias("normative_rules"), F.sum(n).cast("int").alias("total_chars"),
+        F.count(F.lit(1)).cast("int").alias("total_blocks"), F.sum(F.coalesce(F.size("normative_statements"), F.lit(0))).cast("int")
+            .alias("normative_rules"), F.sum(n).cast("int").alias("total_chars"),
         F.max(n).alias("max_block_chars"), F.min(n).alias("min_block_chars"),
     )
 
@@ -26,7 +27,8 @@ def corpus_totals(telemetry: DataFrame) -> DataFrame:
     """One row: documents compiled, blocks, rules, and documents by source type."""
     ok = F.col("status") == "success"
     return telemetry.agg(
-        F.count_if(ok).alias("documents"), F.coalesce(F.sum(F.when(ok, F.col("total_blocks"))), F.lit(0)).alias("blocks"), F.coalesce(F.sum(F.when(ok, F.col("normative_rules"))), F.lit(0)).alias("rules"),
+        F.count_if(ok).alias("documents"), F.coalesce(F.sum(F.when(ok, F.col("total_blocks"))), F.lit(0)).alias("blocks"),
+            F.coalesce(F.sum(F.when(ok, F.col("normative_rules"))), F.lit(0)).alias("rules"),
         F.count_if(ok & F.col("file").endswith(".txt")).alias("txt_documents"), F.count_if(ok & F.col("file").endswith(".xml")).alias("xml_documents"),
     )
 
@@ -34,7 +36,8 @@ def corpus_totals(telemetry: DataFrame) -> DataFrame:
 def telemetry_report(telemetry: DataFrame) -> DataFrame:
     """One row: totals, whole mean of rules per document, mean block size, and the documents of the longest and the shortest block that isn't empty."""
     return telemetry.agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("total_blocks").alias("blocks"), F.sum("normative_rules").alias("rules"), F.expr("sum(normative_rules) div count(1)").alias("rules_per_document"),
+        F.count(F.lit(1)).alias("documents"), F.sum("total_blocks").alias("blocks"), F.sum("normative_rules").alias("rules"),
+            F.expr("sum(normative_rules) div count(1)").alias("rules_per_document"),
         (F.sum("total_chars") / F.sum("total_blocks")).alias("mean_block_chars"), F.max_by("rfc_id", F.struct("max_block_chars", "rfc_id")).alias("longest_in"),
         F.min_by("rfc_id", F.when(F.col("min_block_chars") > 0, F.struct("min_block_chars", "rfc_id"))).alias("shortest_in"),
     )
@@ -52,8 +55,10 @@ def exclusive_percentile(df: DataFrame, group: str, value: str, percent: int = 9
     j = F.greatest(F.lit(1), F.least(F.expr(f"({percent} * (n + 1)) div 100"), F.col("n") - 1))
     ranked = ranked.withColumn("j", j).withColumn("d", F.lit(percent) * (F.col("n") + 1) - 100 * F.col("j"))
     holds = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)
-    out = ranked.groupBy(group).agg(F.first("n").alias("n"), F.max(F.when(holds(F.col("j")), F.col(value))).alias("x"), F.max(F.when(holds(F.col("j") + 1), F.col(value))).alias("y"), F.first("d").alias("d"))
-    return out.select(group, "n", F.when(F.col("n") == 1, F.col("x")).otherwise(F.expr("cast((x * (100 - d) + y * d) / 100 as bigint)")).cast("long").alias("p"))
+    out = ranked.groupBy(group).agg(F.first("n").alias("n"), F.max(F.when(holds(F.col("j")), F.col(value))).alias("x"),
+        F.max(F.when(holds(F.col("j") + 1), F.col(value))).alias("y"), F.first("d").alias("d"))
+    return out.select(group, "n", F.when(F.col("n") == 1, F.col("x"))
+        .otherwise(F.expr("cast((x * (100 - d) + y * d) / 100 as bigint)")).cast("long").alias("p"))
 
 
 def length_distribution(df: DataFrame, kind: str, text: str) -> DataFrame:
@@ -91,7 +96,8 @@ def conservation(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     got = chunks.groupBy(F.col("rfc_number").alias("rfc_id")).agg(F.sum(F.length("text_payload")).alias("chunk_chars"))
     j = src.join(got, "rfc_id", "left").withColumn("chunk_chars", F.coalesce("chunk_chars", F.lit(0)))
     ratio = F.col("chunk_chars") / F.col("source_chars")
-    return j.withColumn("ratio", ratio).withColumn("verdict", F.when(ratio == 0, "FATAL").when(ratio < 1, "ERROR").when(ratio > MOST_RATIO, "WARN").otherwise("OK"))
+    return j.withColumn("ratio", ratio).withColumn("verdict", F.when(ratio == 0, "FATAL").when(ratio < 1, "ERROR")
+        .when(ratio > MOST_RATIO, "WARN").otherwise("OK"))
 
 
 def route_counts(chunks: DataFrame) -> DataFrame:

@@ -33,8 +33,10 @@ def canonical_blocks(raw: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "_p.token").orderBy("ord"))
     path = F.split("hierarchy_path", " > ")
     return kept.withColumn("_n", nth).select(
-        F.concat(F.lit("rfc"), F.col("doc_id"), F.lit("-"), F.col("_p.token"), F.lit("-blk"), F.col("_n")).alias("block_id"), F.col("doc_id").alias("rfc_id"), F.col("_p.section_id").alias("section_id"), F.col("_p.title").alias("title"),
-        path.alias("hierarchy_path"), F.size(path).alias("section_depth"), X.final_type(F.col("block_type")).alias("block_type"), "sourcecode_type", "source_fragment", "normalized_text", "parsing_confidence", "normative_statements",
+        F.concat(F.lit("rfc"), F.col("doc_id"), F.lit("-"), F.col("_p.token"), F.lit("-blk"), F.col("_n")).alias("block_id"),
+            F.col("doc_id").alias("rfc_id"), F.col("_p.section_id").alias("section_id"), F.col("_p.title").alias("title"),
+        path.alias("hierarchy_path"), F.size(path).alias("section_depth"), X.final_type(F.col("block_type")).alias("block_type"),
+            "sourcecode_type", "source_fragment", "normalized_text", "parsing_confidence", "normative_statements",
         (F.lower("hierarchy_path").isin("document root", "preface")).alias("is_preface"), "ord",
     )
 
@@ -62,23 +64,29 @@ def section_tree(blocks: DataFrame) -> DataFrame:
     blocks = blocks.join(maybe_broadcast(large), "rfc_id", "left_anti")
     fields = ["block_id", "block_type", "sourcecode_type", "source_fragment", "normalized_text", "parsing_confidence", "normative_statements"]
     block = F.struct("ord", *fields)
-    grouped = blocks.groupBy("rfc_id", "is_preface", "section_id", "title", "hierarchy_path", "section_depth").agg(F.min("ord").alias("first"), F.array_sort(F.collect_list(block)).alias("blocks"))
-    section = F.struct("first", "section_id", "title", "hierarchy_path", "section_depth", F.transform("blocks", lambda b: F.struct(*[b[f].alias(f) for f in fields])).alias("blocks"))
+    grouped = blocks.groupBy("rfc_id", "is_preface", "section_id", "title", "hierarchy_path", "section_depth").agg(F.min("ord")
+        .alias("first"), F.array_sort(F.collect_list(block)).alias("blocks"))
+    section = F.struct("first", "section_id", "title", "hierarchy_path", "section_depth",
+        F.transform("blocks", lambda b: F.struct(*[b[f].alias(f) for f in fields])).alias("blocks"))
     docs = grouped.groupBy("rfc_id").agg(
         F.array_sort(F.collect_list(F.when(~F.col("is_preface"), section))).alias("s"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_preface"), section))), lambda x: x["blocks"])).alias("preface_blocks"),
     )
-    return docs.select("rfc_id", F.transform("s", lambda x: F.struct(*[x[f].alias(f) for f in ("section_id", "title", "hierarchy_path", "section_depth", "blocks")])).alias("sections"), "preface_blocks")
+    return docs.select("rfc_id", F.transform("s",
+        lambda x: F.struct(*[x[f].alias(f) for f in ("section_id", "title", "hierarchy_path", "section_depth", "blocks")])).alias("sections"), "preface_blocks")
 
 
 def with_metadata(docs: DataFrame, meta: DataFrame) -> DataFrame:
     """``docs(rfc_number, ...)`` with its index entry; a document without an entry gets a placeholder, a missing field its default."""
-    m = meta.select("rfc_number", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in ("title", "status", "stream", "published_at", "obsoletes", "updates", "updated_by")])
+    m = meta.select("rfc_number", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}")
+        for c in ("title", "status", "stream", "published_at", "obsoletes", "updates", "updated_by")])
     j = docs.join(m, "rfc_number", "left")
     empty = F.array().cast("array<int>")
     return j.select(
-        *docs.columns, F.coalesce("_title", F.concat(F.lit("RFC "), F.col("rfc_number"))).alias("title"), F.coalesce("_status", F.lit("UNKNOWN")).alias("status"),
-        F.coalesce("_stream", F.when(F.col("_known"), "UNKNOWN").otherwise("IETF")).alias("stream"), F.col("_published_at.year").alias("year"), F.col("_published_at.month").alias("month"),
+        *docs.columns, F.coalesce("_title", F.concat(F.lit("RFC "), F.col("rfc_number"))).alias("title"),
+            F.coalesce("_status", F.lit("UNKNOWN")).alias("status"),
+        F.coalesce("_stream", F.when(F.col("_known"), "UNKNOWN").otherwise("IETF")).alias("stream"), F.col("_published_at.year")
+            .alias("year"), F.col("_published_at.month").alias("month"),
         *[F.coalesce(f"_{c}", empty).alias(c) for c in ("obsoletes", "updates", "updated_by")],
     )
 
@@ -103,20 +111,24 @@ def _windows(texts: pd.Series) -> pd.Series:
 
 def chunk_blocks(blocks: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """Chunks of canonical blocks: fragments of at most 2,000 characters with their route, id and the statements they hold whole; with ``meta``, the document's fields on each."""
-    shown = F.when(F.col("is_preface"), F.lit("Preface")).otherwise(F.array_join("hierarchy_path", " > ")) if "is_preface" in blocks.columns else F.array_join("hierarchy_path", " > ")
+    shown = F.when(F.col("is_preface"), F.lit("Preface")).otherwise(F.array_join("hierarchy_path",
+        " > ")) if "is_preface" in blocks.columns else F.array_join("hierarchy_path", " > ")
     b = blocks.where(~X.is_blank(F.col("normalized_text")))
     # texts within the limit stay in the JVM; only the others are sent to Python
     long = F.length("normalized_text") > S.SPLIT_LIMIT
     parts = b.where(~long).withColumn("_parts", F.array("normalized_text")).unionByName(b.where(long).withColumn("_parts", _windows("normalized_text")))
     rows = parts.select("*", F.posexplode("_parts").alias("_i", "text_payload"))
     out = rows.select(
-        F.concat(F.col("block_id"), F.lit("-chunk"), F.lpad(F.col("_i").cast("string"), 3, "0")).alias("chunk_id"), F.col("rfc_id").alias("rfc_number"), "block_type", X.route_of(F.col("block_type")).alias("table_route"), shown.alias("hierarchy_path"),
-        "text_payload", "sourcecode_type", "parsing_confidence", X.kept_statements(F.col("normative_statements"), F.col("text_payload")).alias("normative_statements"),
+        F.concat(F.col("block_id"), F.lit("-chunk"), F.lpad(F.col("_i").cast("string"), 3, "0")).alias("chunk_id"), F.col("rfc_id")
+            .alias("rfc_number"), "block_type", X.route_of(F.col("block_type")).alias("table_route"), shown.alias("hierarchy_path"),
+        "text_payload", "sourcecode_type", "parsing_confidence", X.kept_statements(F.col("normative_statements"),
+            F.col("text_payload")).alias("normative_statements"),
     )
     if meta is None:
         return out
     full = with_metadata(out, meta)
-    return full.select("chunk_id", "rfc_number", F.col("title").alias("rfc_title"), "status", F.col("year").alias("rfc_year"), F.col("month").alias("rfc_month"), "stream", "obsoletes", "updated_by", *out.columns[2:])
+    return full.select("chunk_id", "rfc_number", F.col("title").alias("rfc_title"), "status", F.col("year").alias("rfc_year"),
+        F.col("month").alias("rfc_month"), "stream", "obsoletes", "updated_by", *out.columns[2:])
 
 
 def compile_corpus(docs: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:

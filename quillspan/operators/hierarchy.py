@@ -186,7 +186,8 @@ class Hierarchy:
             f = self.up()
             src = f.where("has_links").select("kind", F.col("node").alias("child"), F.col("parent").alias("_own"))
             src = maybe_broadcast(src)
-            beside = self.edges.join(src, ["kind", "child"]).where("_own is null or parent <> _own").select("kind", F.col("child").alias("node"), F.col("parent").alias("via"), F.lit(True).alias("link"))
+            beside = self.edges.join(src, ["kind", "child"]).where("_own is null or parent <> _own").select("kind", F.col("child")
+                .alias("node"), F.col("parent").alias("via"), F.lit(True).alias("link"))
             above = f.where("has_links and parent is not null").select(*_KEY, F.col("parent").alias("via"), F.lit(False).alias("link"))
             at = f.select("kind", F.col("node").alias("via"), "top", "depth", "is_root", "near", "near_dist")
             ways = maybe_broadcast(beside.unionByName(above)).join(at, ["kind", "via"])
@@ -225,7 +226,8 @@ class Hierarchy:
             inner = self.arcs.join(maybe_broadcast(a), _KEY).join(maybe_broadcast(b), ["kind", "to"]).where("_a = _b")
             inner = inner.select("kind", "via", F.col("to").alias("near"), F.col("_a").alias("part"))
             f = self.forest
-            at = f.join(maybe_broadcast(inner.select("kind", F.col("via").alias("node")).distinct()), _KEY, "left_semi").select("kind", F.col("node").alias("via"), F.col("pre").alias("_at"), F.col("top").alias("_top"))
+            at = f.join(maybe_broadcast(inner.select("kind", F.col("via").alias("node")).distinct()), _KEY,
+                "left_semi").select("kind", F.col("node").alias("via"), F.col("pre").alias("_at"), F.col("top").alias("_top"))
             inner = inner.join(at, ["kind", "via"])
             # nodes of the forest on the way: ancestors of "via" below the next node with links
             way = f.join(maybe_broadcast(inner), ["kind", "near"]).where("top = _top and pre <= _at and _at < pre + size").select(*_KEY, "part")
@@ -237,7 +239,8 @@ class Hierarchy:
         """``kind, node, root, depth``: every root (a node without parents) that a node reaches, with the fewest steps, at least 1."""
         f = self.up()
         direct = self.arcs.where("root is not null").groupBy("kind", "node", "root").agg(F.min("root_cost").alias("far"))
-        passed = self.hops.join(direct.withColumnRenamed("node", "to"), ["kind", "to"]).select("kind", "node", "root", (F.col("cost") + F.col("far")).alias("far"))
+        passed = self.hops.join(direct.withColumnRenamed("node", "to"), ["kind", "to"]).select("kind", "node", "root",
+            (F.col("cost") + F.col("far")).alias("far"))
         through = direct.unionByName(passed).groupBy("kind", "node", "root").agg(F.min("far").alias("far"))
         own = f.where("is_root and depth > 0").select(*_KEY, F.col("top").alias("root"), "depth")
         far = f.where("near is not null").select(*_KEY, "near", "near_dist").join(through.withColumnRenamed("node", "near"), ["kind", "near"])
@@ -261,7 +264,8 @@ class Hierarchy:
         level = lambda c: F.sequence(F.lit(0), levels)
         shift = lambda c, n: F.expr(f"shiftright({c}, {n})")
         p = points.join(trees, ["kind", "top"]).withColumn("_level", F.explode(level("_most"))).withColumn("_piece", shift("at", "_level"))
-        r = f.join(trees, ["kind", "top"]).select("kind", "top", F.col("node").alias("above"), F.col("depth").alias("above_depth"), F.col("pre").alias("_lo"), (F.col("pre") + F.col("size")).alias("_hi"), F.explode(level("_most")).alias("_level"))
+        r = f.join(trees, ["kind", "top"]).select("kind", "top", F.col("node").alias("above"), F.col("depth").alias("above_depth"),
+            F.col("pre").alias("_lo"), (F.col("pre") + F.col("size")).alias("_hi"), F.explode(level("_most")).alias("_level"))
         # of each length at most two pieces belong to the cut: those within the range whose double isn't
         lo, hi = F.expr("shiftright(_lo + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_hi, _level)")
         wide_lo, wide_hi = F.expr("2 * shiftright(_lo + shiftleft(1L, _level + 1) - 1, _level + 1)"), F.expr("2 * shiftright(_hi, _level + 1)")

@@ -83,8 +83,10 @@ def run(spark: SparkSession, docs: DataFrame, meta: DataFrame, out: str, full: b
     _replace(spark, compile.chunk_blocks(blocks, meta), done, "rfc_number", f"{out}/chunks")
     told = audit.document_telemetry(blocks).withColumnRenamed("rfc_id", "doc_id")
     counts = [c for c in told.columns if c != "doc_id"]
-    good = done.join(told, "doc_id", "left").select("doc_id", "source_type", F.lit("success").alias("status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.lit(None).cast("string").alias("error"))
-    bad = failed.select("doc_id", "source_type", F.lit("failed").alias("status"), *[F.lit(0).alias(c) for c in counts], F.coalesce("error", F.lit(S.UNTOLD)).alias("error"))
+    good = done.join(told, "doc_id", "left").select("doc_id", "source_type", F.lit("success").alias("status"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.lit(None).cast("string").alias("error"))
+    bad = failed.select("doc_id", "source_type", F.lit("failed").alias("status"), *[F.lit(0).alias(c) for c in counts],
+        F.coalesce("error", F.lit(S.UNTOLD)).alias("error"))
     log = good.unionByName(bad).withColumn("file", F.concat(F.lit("rfc"), F.col("doc_id"), F.lit("."), F.col("source_type")))
     _replace(spark, stage(log, "telemetry"), queue, "doc_id", f"{out}/telemetry")
     from quillspan.sources.sinks import manifest

@@ -50,11 +50,15 @@ def warnings(edges: DataFrame, active: DataFrame | None = None) -> DataFrame:
     j = rev.join(act, "rfc_number", "left")
     n = F.col("rfc_number").cast("string")
     obsolete, updated = F.size("obsoleted_by") > 0, F.size("updated_by") > 0
-    more = F.when(F.col("active").isNotNull() & (F.col("active") != F.col("obsoleted_by")), F.concat(F.lit(" The current active standard(s) resolving this lineage are "), numbers(F.col("active")), F.lit("."))).otherwise("")
+    more = F.when(F.col("active").isNotNull() & (F.col("active") != F.col("obsoleted_by")),
+        F.concat(F.lit(" The current active standard(s) resolving this lineage are "), numbers(F.col("active")), F.lit("."))).otherwise("")
     # The wording of both notes.
-    gone = F.concat(F.lit("[TEMPORAL WARNING: This chunk is from RFC "), n, F.lit(", which is OBSOLETE. It was superseded by "), numbers(F.col("obsoleted_by")), F.lit("."), more, F.lit(" Evaluate this text with historical caution.]"))
-    changed = F.concat(F.lit("[TEMPORAL NOTICE: This chunk is from RFC "), n, F.lit(", which is active but has been UPDATED by "), numbers(F.col("updated_by")), F.lit(". Please consider these later modifications.]"))
-    return j.select("rfc_number", obsolete.alias("is_obsolete"), updated.alias("is_updated"), F.when(obsolete, gone).when(updated, changed).alias("warning")).where("warning is not null")
+    gone = F.concat(F.lit("[TEMPORAL WARNING: This chunk is from RFC "), n, F.lit(", which is OBSOLETE. It was superseded by "),
+        numbers(F.col("obsoleted_by")), F.lit("."), more, F.lit(" Evaluate this text with historical caution.]"))
+    changed = F.concat(F.lit("[TEMPORAL NOTICE: This chunk is from RFC "), n, F.lit(", which is active but has been UPDATED by "),
+        numbers(F.col("updated_by")), F.lit(". Please consider these later modifications.]"))
+    return j.select("rfc_number", obsolete.alias("is_obsolete"), updated.alias("is_updated"), F.when(obsolete, gone)
+        .when(updated, changed).alias("warning")).where("warning is not null")
 
 
 class LineageGraph:
@@ -91,6 +95,7 @@ class LineageGraph:
         known = self.nodes.select("rfc_number", "title", "status", "obsoletes", "updates")
         j = numbers.select("rfc_number").distinct().join(known.join(rev, "rfc_number", "full"), "rfc_number")
         return j.select(
-            "rfc_number", F.coalesce("title", F.concat(F.lit("RFC "), F.col("rfc_number"))).alias("title"), F.coalesce("status", F.lit("UNKNOWN")).alias("status"),
+            "rfc_number", F.coalesce("title", F.concat(F.lit("RFC "), F.col("rfc_number"))).alias("title"),
+                F.coalesce("status", F.lit("UNKNOWN")).alias("status"),
             *[F.coalesce(c, empty).alias(c) for c in ("obsoletes", "updates", "obsoleted_by", "updated_by")],
         )

@@ -29,7 +29,8 @@ def spread_positions(df: DataFrame, group: list[str], order: list[Column], out:
     amount = F.col(weight) if weight else F.lit(1)
     sums = ranged.groupBy(*group, "_pid").agg(F.sum(amount).alias("_held"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_pid").alias("_g_pid"), F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_offset"))
+    offsets = sums.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_pid").alias("_g_pid"),
+        F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*group, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.sum(amount).over(within))
     same = F.col("_pid") == F.col("_g_pid")

@@ -42,7 +42,8 @@ def _asked(queries: DataFrame) -> DataFrame:
 def keyword_list(chunks: DataFrame, queries: DataFrame, deep: Column) -> DataFrame:
     """``query_id, table_route, item, score``: of each question and route the ``deep`` best chunks by BM25 (to five decimals) that fit the document it names."""
     c = chunks.select(F.col("chunk_id").alias("item"), "rfc_number", "table_route")
-    j = search.bm25(chunks, queries).join(c, "item").join(maybe_broadcast(_asked(queries)), ["query_id", "table_route"]).where(F.col("doc").isNull() | (F.col("doc") == F.col("rfc_number")))
+    j = search.bm25(chunks, queries).join(c, "item").join(maybe_broadcast(_asked(queries)),
+        ["query_id", "table_route"]).where(F.col("doc").isNull() | (F.col("doc") == F.col("rfc_number")))
     return _cut(j.withColumn("score", F.round("score", 5)), deep)
 
 
@@ -89,7 +90,8 @@ def candidates(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
     pool = found.join(maybe_broadcast(queries.select("query_id", "top_k")), "query_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= deep)
     pool = stage(pool.select("query_id", F.col("item").alias("chunk_id"), "score", "top_k"), "pool")
-    texts = chunks.join(maybe_broadcast(pool.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", "rfc_number", "table_route", "hierarchy_path", "text_payload")
+    texts = chunks.join(maybe_broadcast(pool.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id",
+        "rfc_number", "table_route", "hierarchy_path", "text_payload")
     return pool.join(texts, "chunk_id").select("query_id", "chunk_id", "rfc_number", "table_route", "hierarchy_path", "text_payload", "score", "top_k")
 
 
@@ -110,7 +112,8 @@ def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[list[str], lis
                 except Exception:  # noqa: BLE001  degraded, not broken
                     yield old
 
-        h = h.join(queries.select("query_id", F.col("query_text").alias("_q")), "query_id").withColumn("score", run("_q", "text_payload", "hybrid_score")).drop("_q")
+        h = h.join(queries.select("query_id", F.col("query_text").alias("_q")), "query_id").withColumn("score",
+            run("_q", "text_payload", "hybrid_score")).drop("_q")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return h.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("top_k"))
 
@@ -131,12 +134,15 @@ def stitched(hits: DataFrame, chunks: DataFrame, numeric: bool = False) -> DataF
     """
     parts = lambda c: (F.regexp_extract(c, NEIGHBOUR_ID, 1), F.regexp_extract(c, NEIGHBOUR_ID, 2).try_cast("int"))
     prefix, blk = parts(F.col("chunk_id"))
-    c = chunks.select(F.col("chunk_id").alias("_cid"), F.col("text_payload").alias("_text"), prefix.alias("_prefix"), blk.alias("_blk")).where("_prefix <> ''").dropDuplicates(["_cid"])
+    c = chunks.select(F.col("chunk_id").alias("_cid"), F.col("text_payload").alias("_text"), prefix.alias("_prefix"),
+        blk.alias("_blk")).where("_prefix <> ''").dropDuplicates(["_cid"])
     wanted = hits.select("query_id", "chunk_id", prefix.alias("_prefix"), F.explode(F.array(blk - 1, blk + 1)).alias("_blk")).where("_prefix <> ''")
     near = c.join(maybe_broadcast(wanted), ["_prefix", "_blk"]).select("query_id", "chunk_id", "_cid", "_text")
     own = hits.select("query_id", "chunk_id", F.col("chunk_id").alias("_cid"), F.col("text_payload").alias("_text"))
-    key = F.struct(F.regexp_extract("_cid", r"-blk(\d+)-", 1).try_cast("int").alias("n"), F.col("_cid").alias("c"), F.col("_text").alias("t")) if numeric else F.struct(F.col("_cid").alias("c"), F.col("_text").alias("t"))
-    text = near.unionByName(own).groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(key)).alias("x")).select("query_id", "chunk_id", F.array_join(F.transform("x", lambda z: z["t"]), "\n\n").alias("_joined"))
+    key = F.struct(F.regexp_extract("_cid", r"-blk(\d+)-", 1).try_cast("int").alias("n"), F.col("_cid").alias("c"), F.col("_text")
+        .alias("t")) if numeric else F.struct(F.col("_cid").alias("c"), F.col("_text").alias("t"))
+    text = near.unionByName(own).groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(key))
+        .alias("x")).select("query_id", "chunk_id", F.array_join(F.transform("x", lambda z: z["t"]), "\n\n").alias("_joined"))
     return hits.join(text, ["query_id", "chunk_id"]).withColumn("text_payload", F.col("_joined")).drop("_joined")
 
 
@@ -148,19 +154,23 @@ def enriched(hits: DataFrame, warnings: DataFrame, errata: DataFrame) -> DataFra
     w = warnings.select("rfc_number", F.col("is_obsolete").alias("_o"), F.col("is_updated").alias("_u"), F.col("warning").alias("_w"))
     told = F.col("text_payload").contains("[TEMPORAL")
     j = base.join(maybe_broadcast(w), "rfc_number", "left")
-    j = j.withColumn("is_obsolete", F.col("is_obsolete") | (~told & flag(F.col("_o")))).withColumn("is_updated", F.col("is_updated") | (~told & flag(F.col("_u"))))
-    j = j.withColumn("text_payload", F.when(told | F.col("_w").isNull(), F.col("text_payload")).otherwise(F.concat("_w", F.lit("\n\n"), "text_payload"))).drop("_o", "_u", "_w")
+    j = j.withColumn("is_obsolete", F.col("is_obsolete") | (~told & flag(F.col("_o")))).withColumn("is_updated",
+        F.col("is_updated") | (~told & flag(F.col("_u"))))
+    j = j.withColumn("text_payload", F.when(told | F.col("_w").isNull(), F.col("text_payload"))
+        .otherwise(F.concat("_w", F.lit("\n\n"), "text_payload"))).drop("_o", "_u", "_w")
     open_ = j.where(~F.col("has_errata") & ~F.col("text_payload").contains("[IETF ERRATA"))
     keyed = open_.withColumn("_key", F.xxhash64("text_payload"))
     fixes = E.matches(keyed.select(F.col("_key").alias("chunk_id"), "rfc_number", "text_payload"), errata).withColumnRenamed("chunk_id", "_key")
     out = j.withColumn("_key", F.xxhash64("text_payload")).join(fixes, "_key", "left")
     out = out.withColumn("has_errata", F.col("has_errata") | F.col("corrections").isNotNull())
-    return out.withColumn("text_payload", F.when(F.col("corrections").isNull(), F.col("text_payload")).otherwise(F.concat("text_payload", F.lit("\n\n"), "corrections"))).drop("corrections", "_key")
+    return out.withColumn("text_payload", F.when(F.col("corrections").isNull(), F.col("text_payload"))
+        .otherwise(F.concat("text_payload", F.lit("\n\n"), "corrections"))).drop("corrections", "_key")
 
 
 def cited_block(rank: Column) -> Column:
     """One hit as a block with its citation header; headers within the text are defused."""
-    head = F.concat(F.lit("### [SOURCE "), rank.cast("string"), F.lit(": RFC "), F.col("rfc_number").cast("string"), F.lit(" | Format: "), F.upper("table_route"), F.lit(" | Path: "), F.col("hierarchy_path"), F.lit("]"))
+    head = F.concat(F.lit("### [SOURCE "), rank.cast("string"), F.lit(": RFC "), F.col("rfc_number").cast("string"),
+        F.lit(" | Format: "), F.upper("table_route"), F.lit(" | Path: "), F.col("hierarchy_path"), F.lit("]"))
     return F.concat(head, F.lit("\n"), X.strip_spaces(F.replace("text_payload", F.lit("### [SOURCE"), F.lit("--- [SOURCE"))))
 
 
@@ -170,14 +180,16 @@ def contexts(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.concat(F.lit(PREAMBLE), F.array_join(F.transform("x", lambda z: z["b"]), SEPARATOR)).alias("context"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, warnings: DataFrame, errata: DataFrame, scorer=None, encoder: search.Encoder | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, warnings: DataFrame, errata: DataFrame, scorer=None, encoder: search.Encoder
+    | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Contexts for a table of questions, in the order search, cap, rerank, stitch, enrich, format. Questions without a hit have the empty context.
 
     Search is hybrid: questions are encoded, and so are the chunks unless ``vectors(chunk_id, vector)`` are given, which
     must stem from the same encoder. Hits are staged once, since stitching and enriching read them several times.
     """
     one = chunks.dropDuplicates(["chunk_id"])
-    known = vectors if vectors is not None else stage(search.embed(one.select("chunk_id", "text_payload"), "text_payload", encoder).select("chunk_id", "vector"), "vectors")
+    known = vectors if vectors is not None else stage(search.embed(one.select("chunk_id", "text_payload"), "text_payload", encoder)
+        .select("chunk_id", "vector"), "vectors")
     asked = stage(search.embed(queries.select("query_id", "query_text"), "query_text", encoder, search.QUERY_PREFIX).select("query_id", "vector"), "asked")
     hits = rerank(candidates(one, queries, known, asked, encoder.dim if encoder else None), queries, scorer)
     joined = stage(stitched(stage(hits, "hits"), one), "stitched")
@@ -191,9 +203,11 @@ def prompt(question: Column, context: Column) -> Column:
 
 def sound_hits(rows: DataFrame) -> DataFrame:
     """Hits that have an id, a text and a document number that is a number; the others are dropped. A missing route or path is 'Unknown', a missing or NaN score 0."""
-    good = rows.where("chunk_id is not null and text_payload is not null").withColumn("rfc_number", F.col("rfc_number").try_cast("int")).where("rfc_number is not null")
+    good = rows.where("chunk_id is not null and text_payload is not null").withColumn("rfc_number", F.col("rfc_number")
+        .try_cast("int")).where("rfc_number is not null")
     score = F.col("score").try_cast("double")
-    return good.withColumns({"table_route": F.coalesce("table_route", F.lit("Unknown")), "hierarchy_path": F.coalesce("hierarchy_path", F.lit("Unknown")), "score": F.when(F.isnan(score), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))})
+    return good.withColumns({"table_route": F.coalesce("table_route", F.lit("Unknown")),
+        "hierarchy_path": F.coalesce("hierarchy_path", F.lit("Unknown")), "score": F.when(F.isnan(score), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))})
 
 
 REFUSAL = "I can't answer this from the documents at hand."

@@ -75,7 +75,8 @@ def sound(vector: str, dim: int) -> Column:
 
 
 def dense_topk(
-    rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query_id: str = "query_id", dim: int | None = None, block: int = 1024, part: str | None = None,
+    rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query_id: str = "query_id", dim: int | None = None,
+        block: int = 1024, part: str | None = None,
     questions_a_pass: int = 100_000,
 ) -> DataFrame:
     """``query_id, id, score, rank``: the k rows of greatest cosine per query, exactly; ``rows(id, vector)``, ``queries(query_id, vector)``.
@@ -138,7 +139,8 @@ def _dense_pass(place: str, blocks: range, k: int, dim: int):
         for q, own, _, heaps in asked:
             i, item, score = heaps.rows()
             if len(i):
-                yield pa.RecordBatch.from_arrays([q.combine_chunks().take(pa.array(i)), pa.array(own[i]), pa.array(item.tolist(), kind), pa.array(score)], ["query_id", "part", "id", "score"])
+                yield pa.RecordBatch.from_arrays([q.combine_chunks().take(pa.array(i)), pa.array(own[i]),
+                    pa.array(item.tolist(), kind), pa.array(score)], ["query_id", "part", "id", "score"])
 
     return run
 
@@ -154,7 +156,8 @@ def postings(chunks: DataFrame, item: str = "chunk_id", text: str = "text_payloa
     return words.select("item", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "item", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, item: str = "chunk_id", text: str = "text_payload", query_id: str = "query_id", query: str = "query_text") -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, item: str = "chunk_id", text: str = "text_payload", query_id: str = "query_id",
+    query: str = "query_text") -> DataFrame:
     """``query_id, item, score`` of every chunk that holds a word of the query. Repeated query words count once.
 
     The postings are cut to the words of the queries before anything is shuffled by word; document frequencies are
@@ -226,7 +229,8 @@ def with_cells(df: DataFrame, centres: np.ndarray, probes: int = 1, out: str = "
     return df.withColumn(out, F.explode(near(F.col("vector").cast("array<double>"))))
 
 
-def ann_topk(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query_id: str = "query_id", dim: int | None = None, cells: int | None = None, probes: int | None = None) -> DataFrame:
+def ann_topk(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query_id: str = "query_id", dim: int | None = None,
+    cells: int | None = None, probes: int | None = None) -> DataFrame:
     """``query_id, id, score, rank`` by an inverted-file index: every row lies in its nearest cell, a query is compared with the rows of its ``probes`` nearest cells.
 
     Centres are fitted on a bounded sample (:func:`fit_cells`), all rows are indexed. ``cells`` is by default what

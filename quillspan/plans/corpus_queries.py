@@ -18,7 +18,8 @@ def index_entries(spark, d):
     raw = load(spark, d, "rfc_index").where("rfc_number > 0")
     e = raw.groupBy("rfc_number").agg(F.max_by(F.struct(*[c for c in raw.columns if c != "rfc_number"]), "entry_ord").alias("e")).select("rfc_number", "e.*")
     clean = lambda c: F.filter(F.coalesce(c, F.array().cast("array<int>")), lambda n: n > 0)
-    return e.select("rfc_number", "title", "published_at", "status", "stream", "authors", *[clean(F.col(c)).alias(c) for c in ("obsoletes", "updates", "updated_by")])
+    return e.select("rfc_number", "title", "published_at", "status", "stream", "authors",
+        *[clean(F.col(c)).alias(c) for c in ("obsoletes", "updates", "updated_by")])
 
 
 def index_projection(spark, d):
@@ -28,22 +29,26 @@ def index_projection(spark, d):
     ids = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.transform(F.col(c), lambda n: F.format_string("RFC%04d", n)).alias("doc-id")))
     raw = r.select(
         F.format_string("RFC%04d", "rfc_number").alias("doc-id"), "title", F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("author"),
-        F.struct(F.try_element_at(names, F.col("published_at.month")).alias("month"), F.col("published_at.year").cast("string").alias("year")).alias("date"), F.col("status").alias("current-status"), "stream",
+        F.struct(F.try_element_at(names, F.col("published_at.month")).alias("month"), F.col("published_at.year").cast("string")
+            .alias("year")).alias("date"), F.col("status").alias("current-status"), "stream",
         ids("obsoletes").alias("obsoletes"), ids("updates").alias("updates"), ids("updated_by").alias("updated-by"), F.col("entry_ord").alias("_ord"),
     )
     e = readers.project_index(raw)
     listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return e.select("rfc_number", "title", F.col("published_at.year").alias("year"), F.col("published_at.month").alias("month"), "status", "stream", F.size("authors").alias("n_authors"), listed("obsoletes"), listed("updated_by"))
+    return e.select("rfc_number", "title", F.col("published_at.year").alias("year"), F.col("published_at.month").alias("month"),
+        "status", "stream", F.size("authors").alias("n_authors"), listed("obsoletes"), listed("updated_by"))
 
 
 def meta_left_join(spark, d):
     docs = load(spark, d, "blocks").select(F.col("rfc_id").alias("rfc_number")).unionByName(load(spark, d, "lineage_nodes").select("rfc_number")).distinct()
-    return comp.with_metadata(docs, index_entries(spark, d)).select("rfc_number", "title", "status", "stream", "year", "month", F.size("obsoletes").alias("n_obsoletes"), F.size("updated_by").alias("n_updated_by"))
+    return comp.with_metadata(docs, index_entries(spark, d)).select("rfc_number", "title", "status", "stream", "year", "month",
+        F.size("obsoletes").alias("n_obsoletes"), F.size("updated_by").alias("n_updated_by"))
 
 
 def chunk_split(spark, d):
     b = one_block(spark, d).drop("path")
-    return comp.chunk_blocks(b).select("chunk_id", "table_route", F.length("text_payload").alias("chars"), F.md5(F.col("text_payload").cast("binary")).alias("digest"))
+    return comp.chunk_blocks(b).select("chunk_id", "table_route", F.length("text_payload").alias("chars"),
+        F.md5(F.col("text_payload").cast("binary")).alias("digest"))
 
 
 def chunk_statements(spark, d):
@@ -53,7 +58,8 @@ def chunk_statements(spark, d):
 
 def chunk_metadata(spark, d):
     b = one_block(spark, d).drop("path")
-    return comp.chunk_blocks(b, index_entries(spark, d)).groupBy("rfc_number", "rfc_title", "status", "rfc_year", "stream").agg(F.count(F.lit(1)).alias("chunks"))
+    return comp.chunk_blocks(b, index_entries(spark, d)).groupBy("rfc_number", "rfc_title", "status", "rfc_year",
+        "stream").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def _canonical(spark, d):
@@ -63,7 +69,8 @@ def _canonical(spark, d):
 def canonical_tree(spark, d):
     """Sections of each document from its blocks, preface apart; one row per document."""
     blocks = lambda c: F.aggregate(c, F.lit(0), lambda a, s: a + F.size(s["blocks"]))
-    return comp.section_tree(_canonical(spark, d)).select("rfc_id", F.size("sections").alias("sections"), blocks("sections").alias("blocks"), F.size("preface_blocks").alias("preface_blocks"))
+    return comp.section_tree(_canonical(spark, d)).select("rfc_id", F.size("sections").alias("sections"), blocks("sections")
+        .alias("blocks"), F.size("preface_blocks").alias("preface_blocks"))
 
 
 def canonical_order(spark, d):
@@ -75,7 +82,8 @@ def canonical_scan(spark, d):
     """Documents written as JSON and read again, back in rows."""
     path = f"{shared_root(spark)}/documents-{uuid.uuid4().hex[:8]}"
     sinks.write_documents(comp.section_tree(_canonical(spark, d)), path)
-    return readers.read_canonical(spark, path).select("rfc_id", "block_id", (F.col("section_no")).alias("section_no"), (F.col("block_no") + 1).alias("block_no"), F.md5(F.col("normalized_text").cast("binary")).alias("digest"))
+    return readers.read_canonical(spark, path).select("rfc_id", "block_id", (F.col("section_no")).alias("section_no"),
+        (F.col("block_no") + 1).alias("block_no"), F.md5(F.col("normalized_text").cast("binary")).alias("digest"))
 
 
 def json_descent(spark, d):
@@ -88,7 +96,8 @@ def refused_chunks(spark, d):
     """Chunks that may not be stored, by reason; half of the rows are spoilt in one of four ways, told by their texts' hash."""
     h = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
     c = load(spark, d, "chunks").select(
-        F.when(h != 0, F.col("chunk_id")).alias("chunk_id"), F.when(h == 1, F.lit(-1)).otherwise(F.col("rfc_number")).alias("rfc_number"), F.when(h == 2, F.lit("poetry")).otherwise(F.col("table_route")).alias("table_route"),
+        F.when(h != 0, F.col("chunk_id")).alias("chunk_id"), F.when(h == 1, F.lit(-1)).otherwise(F.col("rfc_number"))
+            .alias("rfc_number"), F.when(h == 2, F.lit("poetry")).otherwise(F.col("table_route")).alias("table_route"),
         F.when(h == 3, F.col("parsing_confidence") + 1.01).otherwise(F.col("parsing_confidence")).alias("parsing_confidence"),
     )
     good, bad = sinks.accepted(c)
@@ -103,9 +112,11 @@ def term_statistics(spark, d):
 
 def parse_txt_documents(spark, d):
     """Texts of the documents table through the plain-text parser and the whole compilation."""
-    docs = load(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("int").alias("doc_id"), F.lit("txt").alias("source_type"), F.col("text").alias("content"))
+    docs = load(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("int").alias("doc_id"), F.lit("txt")
+        .alias("source_type"), F.col("text").alias("content"))
     blocks = comp.canonical_blocks(comp.with_statements(readers.parse_documents(docs).where("error is null")))
-    return blocks.groupBy("rfc_id").agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("section_id", "title").alias("sections"), F.sum(F.size("normative_statements")).alias("statements"))
+    return blocks.groupBy("rfc_id").agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("section_id", "title").alias("sections"),
+        F.sum(F.size("normative_statements")).alias("statements"))
 
 
 def parse_xml_documents(spark, d):
@@ -115,20 +126,25 @@ def parse_xml_documents(spark, d):
     lines = lambda fmt: F.array_join(F.transform(F.split("x", "\n"), lambda line: F.format_string(fmt, line)), "")
     element = (
         F.when(F.col("block_type") == "list", F.concat(F.lit("<ul anchor='"), "block_id", F.lit("'>"), lines("<li>%s</li>"), F.lit("</ul>")))
-        .when(F.col("block_type") == "table", F.concat(F.lit("<table anchor='"), "block_id", F.lit("'><tbody>"), lines("<tr><td>%s</td><td>1</td></tr>"), F.lit("</tbody></table>")))
+        .when(F.col("block_type") == "table", F.concat(F.lit("<table anchor='"), "block_id", F.lit("'><tbody>"),
+            lines("<tr><td>%s</td><td>1</td></tr>"), F.lit("</tbody></table>")))
         .when(F.col("block_type") == "abnf", F.concat(F.lit("<sourcecode type='abnf' anchor='"), "block_id", F.lit("'>"), "x", F.lit("</sourcecode>")))
         .when(F.col("block_type") == "sourcecode", F.concat(F.lit("<sourcecode anchor='"), "block_id", F.lit("'>"), "x", F.lit("</sourcecode>")))
-        .when(F.col("block_type") == "artwork", F.concat(F.lit("<figure><name>Fig</name><artwork anchor='"), "block_id", F.lit("'>"), "x", F.lit("</artwork></figure>")))
-        .when(F.col("block_type") == "references", F.concat(F.lit("<reference anchor='"), "block_id", F.lit("'><front><title>"), "x", F.lit("</title></front></reference>")))
+        .when(F.col("block_type") == "artwork", F.concat(F.lit("<figure><name>Fig</name><artwork anchor='"), "block_id",
+            F.lit("'>"), "x", F.lit("</artwork></figure>")))
+        .when(F.col("block_type") == "references", F.concat(F.lit("<reference anchor='"), "block_id", F.lit("'><front><title>"),
+            "x", F.lit("</title></front></reference>")))
         .otherwise(F.concat(F.lit("<t anchor='"), "block_id", F.lit("'>"), "x", F.lit("</t>")))
     )
     name = F.when(F.col("block_type") == "security", "Security Considerations").otherwise("Body")
-    content = F.when(F.col("block_type") == "references", F.concat(F.lit("<rfc><back><references><name>Sources</name>"), element, F.lit("</references></back></rfc>"))).otherwise(
+    content = F.when(F.col("block_type") == "references", F.concat(F.lit("<rfc><back><references><name>Sources</name>"), element,
+        F.lit("</references></back></rfc>"))).otherwise(
         F.concat(F.lit("<rfc><middle><section><name>"), name, F.lit("</name>"), element, F.lit("</section></middle></rfc>"))
     )
     docs = b.select(F.col("rfc_id").alias("doc_id"), F.lit("xml").alias("source_type"), content.alias("content"))
     out = readers.parse_documents(docs)
-    return out.select(F.coalesce("element_id", "reference.anchor").alias("block_id"), "block_type", F.col("error").isNotNull().alias("failed"), F.md5(F.col("normalized_text").cast("binary")).alias("digest"))
+    return out.select(F.coalesce("element_id", "reference.anchor").alias("block_id"), "block_type", F.col("error").isNotNull()
+        .alias("failed"), F.md5(F.col("normalized_text").cast("binary")).alias("digest"))
 
 
 # incremental
@@ -152,11 +168,13 @@ def routed_scan(spark, d):
     """Chunks stored by route, and two routes read back; only their folders are scanned."""
     path = f"{shared_root(spark)}/routed-{uuid.uuid4().hex[:8]}"
     sinks.write_routed(load(spark, d, "chunks").select("chunk_id", "table_route", "text_payload").distinct(), path, "overwrite")
-    return spark.read.parquet(path).where(F.col("table_route").isin("abnf", "security")).select("chunk_id", F.col("table_route").cast("string").alias("table_route"), F.length("text_payload").alias("chars"))
+    return spark.read.parquet(path).where(F.col("table_route").isin("abnf", "security")).select("chunk_id", F.col("table_route")
+        .cast("string").alias("table_route"), F.length("text_payload").alias("chars"))
 
 
 def _sources(spark, d):
-    c = load(spark, d, "chunks").select(F.col("rfc_number").alias("doc_id"), F.when(F.col("parsing_confidence") == 1.0, "xml").otherwise("txt").alias("source_type")).distinct()
+    c = load(spark, d, "chunks").select(F.col("rfc_number").alias("doc_id"), F.when(F.col("parsing_confidence") == 1.0, "xml")
+        .otherwise("txt").alias("source_type")).distinct()
     return c
 
 
@@ -165,7 +183,8 @@ def xml_over_txt(spark, d):
 
 
 def _state(spark, d):
-    n = load(spark, d, "lineage_nodes").select(F.col("rfc_number").alias("doc_id"), "title", "status", F.when(F.size("obsoletes") > 0, "txt").otherwise("xml").alias("source_type"))
+    n = load(spark, d, "lineage_nodes").select(F.col("rfc_number").alias("doc_id"), "title", "status",
+        F.when(F.size("obsoletes") > 0, "txt").otherwise("xml").alias("source_type"))
     return incremental.document_state(n)
 
 
@@ -184,7 +203,8 @@ def incremental_run(spark, d):
     t = load(spark, d, "documents").where("text is not null")
     text = t.select(F.col("doc_id").cast("int").alias("doc_id"), F.lit("txt").alias("source_type"), F.col("text").alias("content"), "source")
     esc = F.regexp_replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
-    xml = t.where("lang = 'de'").select(F.col("doc_id").cast("int").alias("doc_id"), F.lit("xml").alias("source_type"), F.concat(F.lit("<rfc><middle><section><name>Text</name><t>"), esc, F.lit("</t></section></middle></rfc>")).alias("content"))
+    xml = t.where("lang = 'de'").select(F.col("doc_id").cast("int").alias("doc_id"), F.lit("xml").alias("source_type"),
+        F.concat(F.lit("<rfc><middle><section><name>Text</name><t>"), esc, F.lit("</t></section></middle></rfc>")).alias("content"))
     meta = index_entries(spark, d)
     incremental.run(spark, text.where("source is not null").drop("source"), meta, out)
     incremental.run(spark, text.drop("source").unionByName(xml), meta, out)
@@ -192,13 +212,15 @@ def incremental_run(spark, d):
     assert small_enough(again, 0)
     told = spark.read.parquet(f"{out}/telemetry")
     types = spark.read.parquet(f"{out}/blocks").groupBy(F.col("rfc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("stored"))
-    return told.join(types, "doc_id", "left").select("doc_id", "source_type", "status", (F.coalesce("stored", F.lit(0)) == F.col("total_blocks")).alias("complete"))
+    return told.join(types, "doc_id", "left").select("doc_id", "source_type", "status",
+        (F.coalesce("stored", F.lit(0)) == F.col("total_blocks")).alias("complete"))
 
 
 def telemetry_patch(spark, d):
     cols = ["rfc_id", "total_blocks", "total_chars"]
     old = audit.document_telemetry(one_block(spark, d)).select(*cols)
-    c = load(spark, d, "lance_chunks").dropDuplicates(["chunk_id"]).select(F.col("rfc_number").alias("rfc_id"), F.col("text_payload").alias("normalized_text"), F.lit(None).cast("array<int>").alias("normative_statements"))
+    c = load(spark, d, "lance_chunks").dropDuplicates(["chunk_id"]).select(F.col("rfc_number").alias("rfc_id"),
+        F.col("text_payload").alias("normalized_text"), F.lit(None).cast("array<int>").alias("normative_statements"))
     return incremental.patched(old, audit.document_telemetry(c).select(*cols), "rfc_id")
 
 
@@ -212,7 +234,8 @@ def telemetry_doc(spark, d):
 def _telemetry(spark, d):
     kind = F.when(F.col("rfc_id") >= 8650, ".xml").otherwise(".txt")
     t = audit.document_telemetry(one_block(spark, d))
-    return t.withColumn("status", F.when(F.col("total_chars") > 0, "success").otherwise("failed")).withColumn("file", F.concat(F.lit("rfc"), F.col("rfc_id"), kind))
+    return t.withColumn("status", F.when(F.col("total_chars") > 0, "success").otherwise("failed")).withColumn("file",
+        F.concat(F.lit("rfc"), F.col("rfc_id"), kind))
 
 
 def corpus_manifest(spark, d):
@@ -289,8 +312,11 @@ def stream_append(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_projection, meta_left_join, chunk_split, chunk_statements, chunk_metadata, canonical_tree, canonical_order, canonical_scan, json_descent, refused_chunks, term_statistics, incremental_run, parse_txt_documents, parse_xml_documents, existing_ids_union, incremental_anti_append, route_semi, routed_scan, xml_over_txt, existing_state, delta_queue,
-        telemetry_patch, telemetry_doc, corpus_manifest, telemetry_report, top_documents, length_dist_p95, length_buckets, boundary_anomalies, mass_conservation, conservation_counts, table_counts, length_outliers, outlier_share, batch_parity, stream_append,
+        index_projection, meta_left_join, chunk_split, chunk_statements, chunk_metadata, canonical_tree, canonical_order,
+            canonical_scan, json_descent, refused_chunks, term_statistics, incremental_run, parse_txt_documents,
+                parse_xml_documents, existing_ids_union, incremental_anti_append, route_semi, routed_scan, xml_over_txt, existing_state, delta_queue,
+        telemetry_patch, telemetry_doc, corpus_manifest, telemetry_report, top_documents, length_dist_p95, length_buckets,
+            boundary_anomalies, mass_conservation, conservation_counts, table_counts, length_outliers, outlier_share, batch_parity, stream_append,
     )
 }
 

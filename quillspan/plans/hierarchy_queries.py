@@ -11,7 +11,9 @@ from quillspan.runtime import load
 
 def valid_entries(spark: SparkSession, d: str) -> DataFrame:
     """The entry of greatest ``entry_ord`` of each document."""
-    return load(spark, d, "rfc_index").where(F.col("rfc_number").isNotNull()).groupBy("rfc_number").agg(F.max_by(F.struct("obsoletes", "updated_by"), F.coalesce("entry_ord", F.lit(-1))).alias("e")).select("rfc_number", "e.*")
+    return load(spark, d, "rfc_index").where(F.col("rfc_number")
+        .isNotNull()).groupBy("rfc_number").agg(F.max_by(F.struct("obsoletes", "updated_by"), F.coalesce("entry_ord", F.lit(-1)))
+            .alias("e")).select("rfc_number", "e.*")
 
 
 def succession(spark: SparkSession, d: str) -> DataFrame:
@@ -26,14 +28,17 @@ def succession(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     h = Hierarchy(succession(spark, d))
     h.forest  # noqa: B018  with sizes at once, since cycles want ranges
-    rows = h.roots().select("kind", "node", "root", "depth").unionByName(h.cycles.select("kind", "node", F.col("cycle").alias("root"), F.lit(-1).cast("long").alias("depth")))
-    return rows.select("kind", F.col("node").cast("int").alias("rfc_number"), F.col("root").cast("int").alias("root_number"), F.col("depth").cast("int").alias("depth"))
+    rows = h.roots().select("kind", "node", "root", "depth").unionByName(h.cycles.select("kind", "node", F.col("cycle")
+        .alias("root"), F.lit(-1).cast("long").alias("depth")))
+    return rows.select("kind", F.col("node").cast("int").alias("rfc_number"), F.col("root").cast("int").alias("root_number"),
+        F.col("depth").cast("int").alias("depth"))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All documents that each document has replaced or updated, over any of several successors and over cycles."""
     out = Hierarchy(succession(spark, d)).descendants()
-    return out.select("kind", F.col("node").cast("int").alias("rfc_number"), F.col("descendant").cast("int").alias("descendant_number"), F.col("depth").cast("int").alias("depth"))
+    return out.select("kind", F.col("node").cast("int").alias("rfc_number"), F.col("descendant").cast("int")
+        .alias("descendant_number"), F.col("depth").cast("int").alias("depth"))
 
 
 def p2_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +47,10 @@ def p2_tree(spark: SparkSession, d: str) -> DataFrame:
     below = h.descendants().groupBy("kind", "node").agg(F.count(F.lit(1)).alias("below"))
     out = h.forest.join(h.paths(), ["kind", "node"]).join(h.cycles, ["kind", "node"], "left").join(below, ["kind", "node"], "left")
     return out.select(
-        "kind", F.col("node").cast("int").alias("rfc_number"), F.col("top").cast("int").alias("top_number"), F.col("depth").cast("int").alias("depth"), F.coalesce("below", F.lit(0)).cast("long").alias("n_descendants"),
-        F.col("pre").cast("long").alias("range_start"), (F.col("pre") + F.col("size") - 1).cast("long").alias("range_end"), F.array_join(F.col("path").cast("array<string>"), " > ").alias("path"), F.col("cycle").cast("int").alias("cycle"),
+        "kind", F.col("node").cast("int").alias("rfc_number"), F.col("top").cast("int").alias("top_number"), F.col("depth")
+            .cast("int").alias("depth"), F.coalesce("below", F.lit(0)).cast("long").alias("n_descendants"),
+        F.col("pre").cast("long").alias("range_start"), (F.col("pre") + F.col("size") - 1).cast("long").alias("range_end"),
+            F.array_join(F.col("path").cast("array<string>"), " > ").alias("path"), F.col("cycle").cast("int").alias("cycle"),
     )
 
 

@@ -19,7 +19,8 @@ def host_sessions(spark, d):
 
 
 def host_rollup(spark, d):
-    g = load(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+    g = load(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("items"),
+        F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
     return g.na.fill("ALL", ["l_returnflag", "l_linestatus"])
 
 
@@ -27,9 +28,12 @@ def host_asof(spark, d):
     """Last event of each user at or before each hour's first event of that user: an as-of join by a union and a running value, without a range join."""
     e = load(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     left = e.groupBy("user_id", F.date_trunc("day", "ts").alias("day")).agg(F.min("ts").alias("ts"))
-    both = e.where("event_type = 'click'").select("user_id", "ts", F.lit(0).alias("side"), F.col("event_id").alias("v"), F.lit(None).cast("timestamp_ntz").alias("day")).unionByName(left.select("user_id", "ts", F.lit(1).alias("side"), F.lit(None).cast("long").alias("v"), F.col("day").cast("timestamp_ntz").alias("day")))
+    both = e.where("event_type = 'click'").select("user_id", "ts", F.lit(0).alias("side"), F.col("event_id").alias("v"), F.lit(None)
+        .cast("timestamp_ntz").alias("day")).unionByName(left.select("user_id", "ts", F.lit(1).alias("side"), F.lit(None)
+            .cast("long").alias("v"), F.col("day").cast("timestamp_ntz").alias("day")))
     w = Window.partitionBy("user_id").orderBy("ts", "side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("click", F.last("v", ignorenulls=True).over(w)).where("side = 1").select("user_id", F.col("day").cast("date").cast("string").alias("day"), "click")
+    return both.withColumn("click", F.last("v", ignorenulls=True).over(w)).where("side = 1").select("user_id", F.col("day")
+        .cast("date").cast("string").alias("day"), "click")
 
 
 def host_json_props(spark, d):

@@ -33,8 +33,12 @@ def lineage_warning(spark, d):
 def ledger(spark, d):
     """Errata stand-ins: each requirement statement of a block is an erratum of its document, whose status follows its keyword."""
     rows = one_block(spark, d).select("rfc_id", "block_id", F.posexplode("normative_statements").alias("i", "s"))
-    status = F.when(F.col("s.keyword") == "MUST", "Verified").when(F.col("s.keyword") == "SHOULD", "Reported").when(F.col("s.keyword") == "MAY", "Held for Document Update").otherwise("Rejected")
-    return errata.ledger(rows.select(F.concat(F.lit("RFC"), F.col("rfc_id")).alias("doc-id"), status.alias("errata_status_code"), F.lit("Technical").alias("errata_type_code"), F.col("block_id").alias("section"), F.col("s.statement_text").alias("orig_text"), F.concat(F.col("s.keyword"), F.lit(" [corrected]")).alias("correct_text"), F.concat("block_id", F.lit("/"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("ord")))
+    status = F.when(F.col("s.keyword") == "MUST", "Verified").when(F.col("s.keyword") == "SHOULD",
+        "Reported").when(F.col("s.keyword") == "MAY", "Held for Document Update").otherwise("Rejected")
+    return errata.ledger(rows.select(F.concat(F.lit("RFC"), F.col("rfc_id")).alias("doc-id"), status.alias("errata_status_code"),
+        F.lit("Technical").alias("errata_type_code"), F.col("block_id").alias("section"), F.col("s.statement_text")
+            .alias("orig_text"), F.concat(F.col("s.keyword"), F.lit(" [corrected]")).alias("correct_text"),
+                F.concat("block_id", F.lit("/"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("ord")))
 
 
 def errata_ledger(spark, d):
@@ -60,7 +64,8 @@ def enrich_hits(spark, d):
 
 
 def enrich_counters(spark, d):
-    return enrich_hits(spark, d).agg(F.count_if("is_obsolete").alias("obsolete"), F.count_if("is_updated").alias("updated"), F.count_if("has_errata").alias("with_errata"))
+    return enrich_hits(spark, d).agg(F.count_if("is_obsolete").alias("obsolete"), F.count_if("is_updated").alias("updated"),
+        F.count_if("has_errata").alias("with_errata"))
 
 
 def neighbor_stitch(spark, d):
@@ -69,7 +74,9 @@ def neighbor_stitch(spark, d):
 
 
 def context_format(spark, d):
-    h = load(spark, d, "retrieval_hits").groupBy("query_id", "chunk_id").agg(F.max(F.when(~F.isnan("score"), F.col("score"))).alias("score"), F.min(F.struct("rfc_number", "table_route", "hierarchy_path", "text_payload")).alias("x")).select("query_id", "chunk_id", "score", "x.*")
+    h = load(spark, d, "retrieval_hits").groupBy("query_id", "chunk_id").agg(F.max(F.when(~F.isnan("score"), F.col("score")))
+        .alias("score"), F.min(F.struct("rfc_number", "table_route", "hierarchy_path", "text_payload"))
+            .alias("x")).select("query_id", "chunk_id", "score", "x.*")
     asked = load(spark, d, "queries").select("query_id", "top_k")
     ranked = retrieval.rerank(h.withColumn("score", F.coalesce("score", F.lit(0.0))).join(asked, "query_id"), asked)
     return retrieval.contexts(ranked).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").alias("chars"))
@@ -101,7 +108,8 @@ def dense_topk(spark, d):
 
 
 def _one_chunk(spark, d):
-    return load(spark, d, "chunks").groupBy("chunk_id").agg(F.min(F.struct("rfc_number", "table_route", "hierarchy_path", "text_payload")).alias("x")).select("chunk_id", "x.*")
+    return load(spark, d, "chunks").groupBy("chunk_id").agg(F.min(F.struct("rfc_number", "table_route", "hierarchy_path",
+        "text_payload")).alias("x")).select("chunk_id", "x.*")
 
 
 def _ranked(df, k):
@@ -118,7 +126,8 @@ def bm25_topk(spark, d):
 
 def per_route_topk(spark, d):
     c = _one_chunk(spark, d)
-    s = search.bm25(c, load(spark, d, "queries")).select("query_id", F.col("item").alias("chunk_id"), F.round("score", 5).alias("score")).join(c.select("chunk_id", "table_route"), "chunk_id")
+    s = search.bm25(c, load(spark, d, "queries")).select("query_id", F.col("item").alias("chunk_id"), F.round("score", 5)
+        .alias("score")).join(c.select("chunk_id", "table_route"), "chunk_id")
     return search.per_route(s, 5, [F.desc("score"), F.col("chunk_id").asc()]).select("query_id", "table_route", "chunk_id", "score")
 
 
@@ -179,12 +188,15 @@ def retrieve_contexts(spark, d):
 
 def sound_hits(spark, d):
     """Hits as they come from search, without the malformed ones; scores that are missing count as 0."""
-    return retrieval.sound_hits(load(spark, d, "retrieval_hits")).groupBy("table_route").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score") == 0).alias("zero"))
+    return retrieval.sound_hits(load(spark, d, "retrieval_hits")).groupBy("table_route").agg(F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("score") == 0).alias("zero"))
 
 
 def context_audit(spark, d):
     """Contexts of all questions, cited or empty."""
-    h = retrieval.sound_hits(load(spark, d, "retrieval_hits")).groupBy("query_id", "chunk_id").agg(F.max(F.struct("score", "rfc_number", "table_route", "hierarchy_path", "text_payload")).alias("x")).select("query_id", "chunk_id", "x.*")
+    h = retrieval.sound_hits(load(spark, d, "retrieval_hits")).groupBy("query_id",
+        "chunk_id").agg(F.max(F.struct("score", "rfc_number", "table_route", "hierarchy_path", "text_payload"))
+            .alias("x")).select("query_id", "chunk_id", "x.*")
     asked = load(spark, d, "queries").select("query_id", "top_k")
     made = retrieval.contexts(retrieval.rerank(h.join(asked, "query_id"), asked))
     return retrieval.audit_contexts(asked.join(made, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(retrieval.EMPTY_CONTEXT))))
@@ -193,7 +205,8 @@ def context_audit(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        lineage_reverse_edges, lineage_active, lineage_warning, errata_ledger, errata_digest, errata_theta_join, enrich_hits, enrich_counters, neighbor_stitch, context_format, rerank_fallback, last_user_message, vec_normalize, dense_topk,
+        lineage_reverse_edges, lineage_active, lineage_warning, errata_ledger, errata_digest, errata_theta_join, enrich_hits,
+            enrich_counters, neighbor_stitch, context_format, rerank_fallback, last_user_message, vec_normalize, dense_topk,
         bm25_topk, per_route_topk, hybrid_rrf, ann_topk, embed_chunks, dense_route_topk, retrieve_bm25_topk, retrieve_hybrid_topk,
         retrieve_contexts, sound_hits, context_audit,
     )

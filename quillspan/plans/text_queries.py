@@ -37,15 +37,18 @@ def fuzzy_month(spark, d):
 
 def block_refine(spark, d):
     raw = F.when(F.col("block_type") == "paragraph", "prose").otherwise(F.col("block_type"))
-    return one_block(spark, d).select("block_id", X.refined_type(raw, F.col("path")).alias("refined_type"), X.final_type(X.refined_type(raw, F.col("path"))).alias("final_type"))
+    return one_block(spark, d).select("block_id", X.refined_type(raw, F.col("path")).alias("refined_type"),
+        X.final_type(X.refined_type(raw, F.col("path"))).alias("final_type"))
 
 
 def section_exempt(spark, d):
-    return load(spark, d, "chunks").groupBy("hierarchy_path").agg(F.count(F.lit(1)).alias("rows")).select("hierarchy_path", "rows", F.coalesce(X.is_exempt(F.col("hierarchy_path")), F.lit(False)).alias("exempt"))
+    return load(spark, d, "chunks").groupBy("hierarchy_path").agg(F.count(F.lit(1)).alias("rows")).select("hierarchy_path", "rows",
+        F.coalesce(X.is_exempt(F.col("hierarchy_path")), F.lit(False)).alias("exempt"))
 
 
 def sentence_split(spark, d):
-    return one_block(spark, d).select("block_id", F.posexplode(X.sentences(F.col("normalized_text"))).alias("i", "s")).select("block_id", "i", F.md5(F.col("s").cast("binary")).alias("digest"))
+    return one_block(spark, d).select("block_id", F.posexplode(X.sentences(F.col("normalized_text")))
+        .alias("i", "s")).select("block_id", "i", F.md5(F.col("s").cast("binary")).alias("digest"))
 
 
 def _stated(spark, d):
@@ -67,14 +70,16 @@ def statements_kept(spark, d):
 
 
 def section_token(spark, d):
-    return one_block(spark, d).select("block_id", X.section_parts(F.col("path"), F.lit(None).cast("string"), F.col("rfc_id")).alias("p")).select("block_id", "p.section_id", "p.token", "p.title")
+    return one_block(spark, d).select("block_id", X.section_parts(F.col("path"), F.lit(None).cast("string"), F.col("rfc_id"))
+        .alias("p")).select("block_id", "p.section_id", "p.token", "p.title")
 
 
 def raw_blocks(spark, d):
     """Blocks as a parser gives them."""
     b = one_block(spark, d)
     return b.select(
-        F.col("rfc_id").alias("doc_id"), "ord", F.col("path").alias("hierarchy_path"), F.when(F.col("block_type") == "paragraph", "prose").otherwise(F.col("block_type")).alias("block_type"), "sourcecode_type",
+        F.col("rfc_id").alias("doc_id"), "ord", F.col("path").alias("hierarchy_path"),
+            F.when(F.col("block_type") == "paragraph", "prose").otherwise(F.col("block_type")).alias("block_type"), "sourcecode_type",
         "source_fragment", "normalized_text", "parsing_confidence", F.lit(None).cast("string").alias("section_number"), F.col("block_id").alias("given_id"),
     )
 
@@ -113,7 +118,9 @@ def indent_groups(spark, d):
 
 
 def statement_json(spark, d):
-    return load(spark, d, "lance_chunks").dropDuplicates(["chunk_id"]).select("chunk_id", F.md5(X.statements_json(F.from_json("normative_statements_json", "array<struct<keyword:string,statement_text:string>>")).cast("binary")).alias("digest"))
+    return load(spark, d, "lance_chunks").dropDuplicates(["chunk_id"]).select("chunk_id",
+        F.md5(X.statements_json(F.from_json("normative_statements_json", "array<struct<keyword:string,statement_text:string>>"))
+            .cast("binary")).alias("digest"))
 
 
 def text_previews(spark, d):
@@ -131,10 +138,13 @@ def intent_routes(spark, d):
 
 def rfc_filter_search(spark, d):
     q = load(spark, d, "queries").select("query_id", Q.named_document(F.col("query_text")).alias("rfc_number")).where("rfc_number is not null")
-    return q.join(load(spark, d, "chunks").groupBy("rfc_number").agg(F.count(F.lit(1)).alias("rows")), "rfc_number", "left").select("query_id", "rfc_number", F.coalesce("rows", F.lit(0)).alias("rows"))
+    return q.join(load(spark, d, "chunks").groupBy("rfc_number").agg(F.count(F.lit(1)).alias("rows")), "rfc_number",
+        "left").select("query_id", "rfc_number", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (ws_collapse, doc_id_clean, fuzzy_month, block_refine, section_exempt, sentence_split, normative_statements, normative_counts, statements_kept, section_token, block_ids, abnf_score, header_score, indent_groups, statement_json, text_previews, route_map, intent_routes, rfc_filter_search)}
+QUERIES = {f.__name__: f for f in (ws_collapse, doc_id_clean, fuzzy_month, block_refine, section_exempt, sentence_split,
+    normative_statements, normative_counts, statements_kept, section_token, block_ids, abnf_score, header_score, indent_groups,
+        statement_json, text_previews, route_map, intent_routes, rfc_filter_search)}
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

@@ -9,7 +9,8 @@ BLOCK_TYPES = ["paragraph", "sourcecode", "artwork", "table", "list", "abnf", "s
 # (Routes are used as a set; the router gives them sorted.)
 ROUTES = ["abnf", "artwork", "prose", "references", "security", "sourcecode", "table"]
 SOURCECODE_FORMATS = ["yang", "asn.1", "mib", "json", "pseudocode", "c", "go", "python", "xml", "bash", "sh"]
-TAG_TYPES = {"t": "prose", "ul": "list", "ol": "list", "dl": "list", "reference": "references", "sourcecode": "sourcecode", "artwork": "artwork", "table": "table"}
+TAG_TYPES = {"t": "prose", "ul": "list", "ol": "list", "dl": "list", "reference": "references", "sourcecode": "sourcecode",
+    "artwork": "artwork", "table": "table"}
 KEYWORDS = {
     "MUST": "MUST", "REQUIRED": "MUST", "SHALL": "MUST", "MUST NOT": "MUST NOT", "SHALL NOT": "MUST NOT", "SHOULD": "SHOULD", "RECOMMENDED": "SHOULD",
     "SHOULD NOT": "SHOULD NOT", "NOT RECOMMENDED": "SHOULD NOT", "MAY": "MAY", "OPTIONAL": "MAY",
@@ -18,7 +19,8 @@ MONTHS = {
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
     "spring": 4, "summer": 7, "fall": 10, "autumn": 10, "winter": 1,
 }
-EXEMPT_SECTIONS = ["abstract", "acknowledgments", "acknowledgements", "status of this memo", "table of contents", "author's address", "authors' addresses", "copyright notice", "references"]
+EXEMPT_SECTIONS = ["abstract", "acknowledgments", "acknowledgements", "status of this memo", "table of contents",
+    "author's address", "authors' addresses", "copyright notice", "references"]
 BACK_MATTER = ["references", "author's address", "authors' addresses", "acknowledgments", "acknowledgements"]
 ERRATA_STATUSES = ["Verified", "Reported", "Held for Document Update"]
 CHAT_ROLES = ["user", "assistant", "system", "model"]
@@ -31,7 +33,8 @@ _ints, _texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
 
 INDEX_XML = "`doc-id` string, title string, author array<struct<name:string>>, date struct<month:string, year:string>, `current-status` string, stream string, obsoletes struct<`doc-id`:array<string>>, updates struct<`doc-id`:array<string>>, `updated-by` struct<`doc-id`:array<string>>"
 INDEX_ENTRY = T.StructType(
-    [T.StructField("rfc_number", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("published_at", DATE), T.StructField("status", T.StringType()), T.StructField("stream", T.StringType()), T.StructField("authors", _texts)]
+    [T.StructField("rfc_number", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("published_at", DATE),
+        T.StructField("status", T.StringType()), T.StructField("stream", T.StringType()), T.StructField("authors", _texts)]
     + [T.StructField(c, _ints) for c in ("obsoletes", "updates", "updated_by")]
     + [T.StructField("protocol_family", T.StringType())]
 )

@@ -37,7 +37,8 @@ def project_index(raw: DataFrame) -> DataFrame:
         F.when(year.rlike(r"^\d+$"), F.struct(year.try_cast("int").alias("year"), X.month_number(F.col("date.month")).alias("month"))).alias("published_at"),
         F.coalesce("current-status", F.lit("UNKNOWN")).alias("status"),
         F.coalesce("stream", F.lit("UNKNOWN")).alias("stream"),
-        F.filter(F.transform(F.coalesce("author", F.array().cast("array<struct<name:string>>")), lambda a: a["name"]), lambda n: n.isNotNull()).alias("authors"),
+        F.filter(F.transform(F.coalesce("author", F.array().cast("array<struct<name:string>>")), lambda a: a["name"]),
+            lambda n: n.isNotNull()).alias("authors"),
         ids("obsoletes").alias("obsoletes"), ids("updates").alias("updates"), ids("updated-by").alias("updated_by"),
         F.lit(None).cast("string").alias("protocol_family"), "_ord",
     ).where("rfc_number > 0")
@@ -54,7 +55,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, source_type, content, path`` of every rfc<number>.txt or .xml below a folder; files of other names are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,xml,TXT,XML}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    out = raw.select(F.regexp_extract(name, r"(?i)^rfc(\d+)\.(?:txt|xml)$", 1).try_cast("int").alias("doc_id"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("source_type"), _decoded("content").alias("content"), "path")
+    out = raw.select(F.regexp_extract(name, r"(?i)^rfc(\d+)\.(?:txt|xml)$", 1).try_cast("int").alias("doc_id"),
+        F.lower(F.element_at(F.split(name, r"\."), -1)).alias("source_type"), _decoded("content").alias("content"), "path")
     return out.where("doc_id > 0")
 
 
@@ -113,9 +115,11 @@ def read_metadata_map(spark: SparkSession, path: str) -> DataFrame:
     """Index entries of a JSON object keyed by number; entries that aren't objects and keys that aren't numbers are left out."""
     entry = T.StructType([f for f in S.INDEX_ENTRY if f.name != "rfc_number"])
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
-    rows = raw.select(F.explode("m").alias("k", "t")).where("t like '{%'").select("k", F.from_json("t", entry).alias("e")).withColumn("rfc_number", F.col("k").try_cast("int")).where("rfc_number is not null and e is not null")
+    rows = raw.select(F.explode("m").alias("k", "t")).where("t like '{%'").select("k", F.from_json("t", entry)
+        .alias("e")).withColumn("rfc_number", F.col("k").try_cast("int")).where("rfc_number is not null and e is not null")
     out = rows.select("rfc_number", "e.*")
-    return out.withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("obsoletes", "updates", "updated_by")} | {"title": F.coalesce("title", F.concat(F.lit("RFC "), F.col("rfc_number"))), "status": F.coalesce("status", F.lit("UNKNOWN"))})
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("obsoletes", "updates", "updated_by")}
+        | {"title": F.coalesce("title", F.concat(F.lit("RFC "), F.col("rfc_number"))), "status": F.coalesce("status", F.lit("UNKNOWN"))})
 
 
 def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -126,10 +130,13 @@ def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     """Canonical blocks of documents written as JSON by :func:`quillspan.sources.sinks.write_documents`, in the shape that chunking wants; documents that aren't JSON are left out."""
     raw = spark.read.schema(S.CANONICAL).option("mode", "DROPMALFORMED").json(path).where("rfc_id is not null")
-    preface = F.struct(F.lit("preface").alias("section_id"), F.lit("Preface").alias("title"), F.array(F.lit("Preface")).alias("hierarchy_path"), F.lit(1).alias("section_depth"), F.col("preface_blocks").alias("blocks"))
+    preface = F.struct(F.lit("preface").alias("section_id"), F.lit("Preface").alias("title"), F.array(F.lit("Preface"))
+        .alias("hierarchy_path"), F.lit(1).alias("section_depth"), F.col("preface_blocks").alias("blocks"))
     parts = raw.select("rfc_id", F.posexplode(F.concat(F.array(preface), F.coalesce("sections", F.array().cast(S.SECTIONS)))).alias("section_no", "s"))
-    rows = parts.select("rfc_id", "section_no", "s.section_id", "s.title", "s.hierarchy_path", "s.section_depth", F.posexplode("s.blocks").alias("block_no", "b"))
-    return rows.select("rfc_id", "section_no", "block_no", "section_id", "title", "hierarchy_path", "section_depth", "b.*", (F.col("section_no") == 0).alias("is_preface"))
+    rows = parts.select("rfc_id", "section_no", "s.section_id", "s.title", "s.hierarchy_path", "s.section_depth",
+        F.posexplode("s.blocks").alias("block_no", "b"))
+    return rows.select("rfc_id", "section_no", "block_no", "section_id", "title", "hierarchy_path", "section_depth", "b.*",
+        (F.col("section_no") == 0).alias("is_preface"))
 
 
 def json_blocks(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
@@ -149,7 +156,8 @@ def json_blocks(docs: DataFrame, doc_id: str = "doc_id", content: str = "content
                         for column, value in zip(out, (doc, str(node["block_type"]), len(str(node["normalized_text"] or "")))):
                             column.append(value)
                     todo += reversed(list(node.values() if isinstance(node, dict) else node)) if isinstance(node, (dict, list)) else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (b.column(0).type, pa.string(), pa.int32()))], ["doc_id", "block_type", "chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (b.column(0).type, pa.string(), pa.int32()))],
+                ["doc_id", "block_type", "chars"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, content).mapInArrow(run, f"doc_id {kind}, block_type string, chars int")

@@ -71,7 +71,8 @@ def accepted(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     number = F.col("rfc_number").try_cast("int")
     reason = (
-        F.when(F.col("chunk_id").isNull(), "no id").when(number.isNull() | (number <= 0), "no document").when(~F.coalesce(F.col("table_route").isin(S.ROUTES), F.lit(False)), "unknown route")
+        F.when(F.col("chunk_id").isNull(), "no id").when(number.isNull() | (number <= 0), "no document")
+            .when(~F.coalesce(F.col("table_route").isin(S.ROUTES), F.lit(False)), "unknown route")
         .when(F.col("parsing_confidence").isNotNull() & (F.isnan("parsing_confidence") | ~F.col("parsing_confidence").between(0, 1)), "confidence")
     )
     judged = chunks.withColumn("reason", reason)

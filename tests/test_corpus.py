@@ -75,7 +75,8 @@ def test_a_document_becomes_this_tree(spark):
     assert "goes on over the next page." in intro and "Page 1" not in intro and "March 2024" not in intro
     assert len(tree.preface_blocks) == 2 and all(b.block_id.startswith("rfc9999-preface-blk") for b in tree.preface_blocks)
     rows = {r.block_id: (r.section_no, r.block_no) for r in comp.canonical_rows(blocks).collect()}
-    want = {b.block_id: (0, n) for n, b in enumerate(tree.preface_blocks, 1)} | {b.block_id: (i, n) for i, s in enumerate(tree.sections, 1) for n, b in enumerate(s.blocks, 1)}
+    want = {b.block_id: (0, n) for n, b in enumerate(tree.preface_blocks, 1)} | {b.block_id: (i, n) for i,
+        s in enumerate(tree.sections, 1) for n, b in enumerate(s.blocks, 1)}
     assert rows == want
     one = chunks.where("table_route = 'abnf'").first()
     assert (one.rfc_title, one.rfc_year, one.obsoletes, one.hierarchy_path) == ("A Small Test", 2024, [1], "Syntax")
@@ -96,7 +97,9 @@ def test_trees_are_read_back_and_descended(spark, tmp_path):
     back = readers.read_canonical(spark, path)
     key = lambda df: sorted((r.rfc_id, r.block_id, r.normalized_text, r.is_preface) for r in df.collect())
     assert key(back) == key(blocks)
-    docs = spark.createDataFrame([(1, json.dumps({"a": [{"block_type": "x", "normalized_text": "abc", "in": {"block_type": "y", "normalized_text": None}}]})), (2, "no json"), (3, None)], "doc_id int, content string")
+    docs = spark.createDataFrame([(1,
+        json.dumps({"a": [{"block_type": "x", "normalized_text": "abc", "in": {"block_type": "y", "normalized_text": None}}]})),
+            (2, "no json"), (3, None)], "doc_id int, content string")
     assert [(r.doc_id, r.block_type, r.chars) for r in readers.json_blocks(docs).collect()] == [(1, "x", 3), (1, "y", 0)]
 
 
@@ -123,10 +126,12 @@ def test_incremental_runs(spark, tmp_path):
 
 
 def test_rows_that_may_be_stored(spark):
-    rows = [("a", 1, "prose", 0.5), (None, 1, "prose", 0.5), ("b", None, "prose", 0.5), ("c", 0, "prose", 0.5), ("d", 1, "poetry", 0.5), ("e", 1, None, 0.5), ("f", 1, "abnf", 1.5), ("g", 1, "abnf", None), ("h", 1, "abnf", float("nan"))]
+    rows = [("a", 1, "prose", 0.5), (None, 1, "prose", 0.5), ("b", None, "prose", 0.5), ("c", 0, "prose", 0.5),
+        ("d", 1, "poetry", 0.5), ("e", 1, None, 0.5), ("f", 1, "abnf", 1.5), ("g", 1, "abnf", None), ("h", 1, "abnf", float("nan"))]
     good, bad = sinks.accepted(spark.createDataFrame(rows, "chunk_id string, rfc_number int, table_route string, parsing_confidence double"))
     assert {r.chunk_id for r in good.collect()} == {"a", "g"}
-    assert sorted((r.chunk_id or "", r.reason) for r in bad.collect()) == [("", "no id"), ("b", "no document"), ("c", "no document"), ("d", "unknown route"), ("e", "unknown route"), ("f", "confidence"), ("h", "confidence")]
+    assert sorted((r.chunk_id or "", r.reason) for r in bad.collect()) == [("", "no id"), ("b", "no document"),
+        ("c", "no document"), ("d", "unknown route"), ("e", "unknown route"), ("f", "confidence"), ("h", "confidence")]
     df = spark.createDataFrame([("7",), ("x",)], "n string")
     assert df.where("n = '7'").select(X.required_int(F.col("n"), "number").alias("n")).first().n == 7
     with pytest.raises(Exception, match="number: not a whole number: x"):
@@ -162,7 +167,8 @@ def test_reports(spark, tmp_path):
     assert lines == [f"r{i},{i}" for i in range(49, -1, -1)]
     sinks.write_report(df.limit(1), str(tmp_path / "txt"))
     assert spark.read.text(str(tmp_path / "txt")).first()[0] == "name: r0 | chars: 0"
-    sinks.term_statistics(spark.createDataFrame([("abnf", "a b a"), ("abnf", "a"), ("prose", None)], "table_route string, text_payload string"), str(tmp_path / "terms"))
+    sinks.term_statistics(spark.createDataFrame([("abnf", "a b a"), ("abnf", "a"), ("prose", None)],
+        "table_route string, text_payload string"), str(tmp_path / "terms"))
     assert {(r.table_route, r.term, r.df) for r in spark.read.parquet(str(tmp_path / "terms" / "terms")).collect()} == {("abnf", "a", 2), ("abnf", "b", 1)}
 
 
@@ -174,14 +180,20 @@ def test_answers_and_audits(spark):
     assert tuple(retrieval.audit_contexts(df).first()) == (1, 1, 1)
     said = spark.createDataFrame([("see [Source 1]",), (retrieval.REFUSAL,), ("no",)], "t string").select(retrieval.complies(F.col("t")).alias("ok")).collect()
     assert [r.ok for r in said] == [True, True, False]
-    hits = spark.createDataFrame([("a", "1", None, None, "t", None), ("b", "x", "prose", "P", "t", 1.0), (None, "1", "prose", "P", "t", 1.0), ("c", "2", "prose", "P", "t", float("nan"))], "chunk_id string, rfc_number string, table_route string, hierarchy_path string, text_payload string, score double")
-    assert sorted((r.chunk_id, r.rfc_number, r.table_route, r.score) for r in retrieval.sound_hits(hits).collect()) == [("a", 1, "Unknown", 0.0), ("c", 2, "prose", 0.0)]
+    hits = spark.createDataFrame([("a", "1", None, None, "t", None), ("b", "x", "prose", "P", "t", 1.0),
+        (None, "1", "prose", "P", "t", 1.0), ("c", "2", "prose", "P", "t", float("nan"))],
+            "chunk_id string, rfc_number string, table_route string, hierarchy_path string, text_payload string, score double")
+    assert sorted((r.chunk_id, r.rfc_number, r.table_route, r.score) for r in retrieval.sound_hits(hits)
+        .collect()) == [("a", 1, "Unknown", 0.0), ("c", 2, "prose", 0.0)]
 
 
 def test_errata_of_a_hot_document(spark, monkeypatch):
     monkeypatch.setattr(errata, "HOT_DOCUMENT", 30)
-    hits = spark.createDataFrame([(f"c{i}", 1 if i < 60 else 2, f"text {i} has a fault here") for i in range(70)], "chunk_id string, rfc_number int, text_payload string")
-    raw = spark.createDataFrame([("RFC1", "Verified", "T", "1", "a  fault", "x", 1), ("RFC2", "Verified", "T", "1", "a fault", "y", 2)], "`doc-id` string, errata_status_code string, errata_type_code string, section string, orig_text string, correct_text string, ord int")
+    hits = spark.createDataFrame([(f"c{i}", 1 if i < 60 else 2, f"text {i} has a fault here") for i in range(70)],
+        "chunk_id string, rfc_number int, text_payload string")
+    raw = spark.createDataFrame([("RFC1", "Verified", "T", "1", "a  fault", "x", 1),
+        ("RFC2", "Verified", "T", "1", "a fault", "y", 2)],
+            "`doc-id` string, errata_status_code string, errata_type_code string, section string, orig_text string, correct_text string, ord int")
     got = {r.chunk_id: r.corrections for r in errata.matches(hits, errata.ledger(raw)).collect()}
     assert len(got) == 70 and "'x'" in got["c0"] and "'y'" in got["c69"]
 

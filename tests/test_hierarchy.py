@@ -45,7 +45,8 @@ def test_random_graphs(spark, seed):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_descendants_over_several_parents_and_cycles(spark, seed):
     r = random.Random(seed)
-    edges = {(r.randrange(40), r.randrange(40)) for _ in range(50)} | {(101, 100), (101, 102), (103, 101), (200, 201), (201, 202), (202, 200), (300, 300)} | {(400 + i, 401 + i) for i in range(11)}
+    edges = {(r.randrange(40), r.randrange(40)) for _ in range(50)} | {(101, 100), (101, 102), (103, 101), (200, 201), (201, 202),
+        (202, 200), (300, 300)} | {(400 + i, 401 + i) for i in range(11)}
     up = defaultdict(set)
     for c, p in edges:
         up[c].add(p)
@@ -81,7 +82,8 @@ def test_tree_ranges_and_paths(spark):
     #   4 5     6 - 7
     h = build(spark, [(2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 6), (2, 1)])
     f = {x.node: x for x in h.forest.collect()}
-    assert {n: (x.depth, x.size, x.top) for n, x in f.items()} == {1: (0, 7, 1), 2: (1, 3, 1), 3: (1, 3, 1), 4: (2, 1, 1), 5: (2, 1, 1), 6: (2, 2, 1), 7: (3, 1, 1)}
+    assert {n: (x.depth, x.size, x.top) for n, x in f.items()} == {1: (0, 7, 1), 2: (1, 3, 1), 3: (1, 3, 1), 4: (2, 1, 1),
+        5: (2, 1, 1), 6: (2, 2, 1), 7: (3, 1, 1)}
     inside = lambda a, b: f[a].pre <= f[b].pre < f[a].pre + f[a].size
     assert [n for n in f if inside(2, n)] and {n for n in f if inside(3, n)} == {3, 6, 7}
     assert {x.node: x.path for x in h.paths().collect()}[7] == [6, 3, 1]

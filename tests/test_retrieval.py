@@ -13,7 +13,8 @@ HIT = "query_id long, chunk_id string, rfc_number int, table_route string, hiera
 
 
 def edges(spark):
-    rows = [(2000, 1000, "obsoletes"), (3000, 2000, "obsoletes"), (3001, 2000, "obsoletes"), (5000, 5001, "obsoletes"), (5001, 5000, "obsoletes"), (3000, 4000, "updates")]
+    rows = [(2000, 1000, "obsoletes"), (3000, 2000, "obsoletes"), (3001, 2000, "obsoletes"), (5000, 5001, "obsoletes"),
+        (5001, 5000, "obsoletes"), (3000, 4000, "updates")]
     return spark.createDataFrame(rows, "src int, dst int, kind string")
 
 
@@ -27,8 +28,10 @@ def test_lineage(spark):
 
 
 def ledger(spark):
-    rows = [("RFC1000", "Verified", "Technical", "1", "bad  text", "good text"), ("RFC1000", "Rejected", "T", "1", "x", "y"), ("RFCBOGUS", "Verified", "T", "1", "x", "y"), ("rfc2000", "Held for Document Update", None, None, "", "n")]
-    raw = spark.createDataFrame(rows, "`doc-id` string, errata_status_code string, errata_type_code string, section string, orig_text string, correct_text string")
+    rows = [("RFC1000", "Verified", "Technical", "1", "bad  text", "good text"), ("RFC1000", "Rejected", "T", "1", "x", "y"),
+        ("RFCBOGUS", "Verified", "T", "1", "x", "y"), ("rfc2000", "Held for Document Update", None, None, "", "n")]
+    raw = spark.createDataFrame(rows,
+        "`doc-id` string, errata_status_code string, errata_type_code string, section string, orig_text string, correct_text string")
     return errata.ledger(raw.withColumn("ord", F.monotonically_increasing_id()))
 
 
@@ -63,8 +66,10 @@ def test_rerank_and_degrading(spark):
 
 
 def test_stitching(spark):
-    chunks = spark.createDataFrame([(f"rfc1-sec2-blk{n}-chunk000", f"t{n}") for n in (1, 8, 9, 10, 11)] + [("rfc1-preface-blk1-chunk000", "p")], "chunk_id string, text_payload string")
-    h = spark.createDataFrame([(1, "rfc1-sec2-blk9-chunk000", 1, "prose", "P", "t9", 1.0, 5), (1, "rfc1-preface-blk1-chunk000", 1, "prose", "P", "p", 1.0, 5)], HIT)
+    chunks = spark.createDataFrame([(f"rfc1-sec2-blk{n}-chunk000", f"t{n}")
+        for n in (1, 8, 9, 10, 11)] + [("rfc1-preface-blk1-chunk000", "p")], "chunk_id string, text_payload string")
+    h = spark.createDataFrame([(1, "rfc1-sec2-blk9-chunk000", 1, "prose", "P", "t9", 1.0, 5),
+        (1, "rfc1-preface-blk1-chunk000", 1, "prose", "P", "p", 1.0, 5)], HIT)
     got = {r.chunk_id: r.text_payload for r in retrieval.stitched(h, chunks).collect()}
     assert got["rfc1-sec2-blk9-chunk000"] == "t10\n\nt8\n\nt9" and got["rfc1-preface-blk1-chunk000"] == "p"
     assert {r.chunk_id: r.text_payload for r in retrieval.stitched(h, chunks, numeric=True).collect()}["rfc1-sec2-blk9-chunk000"] == "t8\n\nt9\n\nt10"
@@ -97,7 +102,8 @@ def test_dense_matches_brute_force(spark):
         want = sorted((i for i in range(90) if i != 7), key=lambda i: (-(u[q] @ u[i]), i))[:5]
         assert [i for _, i in sorted(got[q])] == want
     unit = spark.createDataFrame([([3.0, 4.0, 9.0],), ([0.0, 0.0, 1.0],)], "v array<float>").select(search.unit(F.col("v"), 2).alias("u")).collect()
-    assert [round(x, 6) for x in unit[0].u] == [0.6, 0.8] and unit[1].u == [0.0, 0.0] and search.ann_partitions(60_000) == 16 and search.ann_partitions(50_000) == 0
+    assert [round(x, 6) for x in unit[0].u] == [0.6, 0.8] and unit[1].u == [0.0,
+        0.0] and search.ann_partitions(60_000) == 16 and search.ann_partitions(50_000) == 0
 
 
 def test_dense_by_parts_and_passes(spark):
@@ -177,4 +183,5 @@ def test_sinks_and_stream(spark, tmp_path):
     (tmp_path / "sh").mkdir()
     (tmp_path / "sh" / "bad.parquet").write_bytes(b"nope")
     sinks.write_shards(spark.createDataFrame([("c1",)], "chunk_id string"), str(tmp_path / "sh"))
-    assert [r.chunk_id for r in readers.existing_ids(spark, str(tmp_path / "sh")).collect()] == ["c1"] and readers.existing_ids(spark, str(tmp_path / "none")).count() == 0
+    assert [r.chunk_id for r in readers.existing_ids(spark, str(tmp_path / "sh"))
+        .collect()] == ["c1"] and readers.existing_ids(spark, str(tmp_path / "none")).count() == 0

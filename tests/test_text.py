@@ -74,7 +74,8 @@ def test_xml_document():
     assert "[Fig]\na = b" in texts and "| h |\n| 1 | 2 |" in texts and "* one\n* two" in texts and "See this [http://a], which MUST hold." in texts
     ref = b[-1]
     assert ref["reference"]["category"] == "Normative" and ref["reference"]["doi"] == "10.1/x" and ref["normalized_text"] == "Citations Target [R1]: T by A B."
-    assert [x["section_number"] for x in b if "Inner" in x["hierarchy_path"]] == ["1.1", "1.1"] and [x["normalized_text"] for x in parse_xml.parse_document(1, XML)] == texts
+    assert [x["section_number"] for x in b if "Inner" in x["hierarchy_path"]] == ["1.1", "1.1"] and [x["normalized_text"]
+        for x in parse_xml.parse_document(1, XML)] == texts
 
 
 def test_compilation_from_files(spark, tmp_path):
@@ -106,7 +107,8 @@ def test_index_xml(spark, tmp_path):
     assert sorted(got) == [12, 13] and got[12].published_at.month == 1 and got[13].published_at.month == 4 and got[12].obsoletes == [1000] and got[12].stream == "UNKNOWN"
 
 
-@pytest.mark.parametrize("path,exempt", [("Introduction", False), ("Back > Appendix A", True), ("Appendix A.1 References", True), ("Abstract", True), ("1 > Status of This Memo", True), ("Abstract > Body", False)])
+@pytest.mark.parametrize("path,exempt", [("Introduction", False), ("Back > Appendix A", True), ("Appendix A.1 References", True),
+    ("Abstract", True), ("1 > Status of This Memo", True), ("Abstract > Body", False)])
 def test_exempt(spark, path, exempt):
     assert spark.range(1).select(X.is_exempt(F.lit(path))).first()[0] is exempt
 
@@ -121,7 +123,8 @@ def test_statements(spark):
 def test_section_parts(spark):
     one = lambda p, n: tuple(spark.range(1).select(X.section_parts(F.lit(p), F.lit(n).cast("string"), F.lit(9999))).first()[0])
     assert one("Abstract", None) == ("unknown", "secunknown-d985927a", "Abstract")
-    assert one("1. Intro > 1.2. Deep", None) == ("1.2.", "sec1.2", "Deep") and one("A > B", "1.1.") == ("1.1", "sec1.1", "B") and one("Preface", None)[0] == "preface"
+    assert one("1. Intro > 1.2. Deep", None) == ("1.2.", "sec1.2", "Deep") and one("A > B", "1.1.") == ("1.1", "sec1.1",
+        "B") and one("Preface", None)[0] == "preface"
 
 
 def test_window_split():
@@ -132,7 +135,9 @@ def test_window_split():
 
 
 def test_questions(spark):
-    rows = [("abnf of the header", ["syntax_grammar"], ["abnf", "prose", "sourcecode"]), ("What is it?", ["conceptual_explanation"], ["prose"]), ("TLS threats and history", ["protocol_history", "security_analysis"], ["prose", "references", "security"])]
+    rows = [("abnf of the header", ["syntax_grammar"], ["abnf", "prose", "sourcecode"]),
+        ("What is it?", ["conceptual_explanation"], ["prose"]), ("TLS threats and history",
+            ["protocol_history", "security_analysis"], ["prose", "references", "security"])]
     df = spark.createDataFrame([(r[0],) for r in rows], "q string").select("q", Q.intents(F.col("q")).alias("i"), Q.routes(F.col("q")).alias("r"))
     got = {r.q: (r.i, r.r) for r in df.collect()}
     for q, i, r in rows:
