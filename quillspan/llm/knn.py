@@ -212,7 +212,8 @@ def nearest_vectors(
     far = near.join(maybe_broadcast(first.select(F.col("head").alias("b"), "items")), "b", "left")
     far = far.select("a", "cosine", F.explode(F.coalesce("items", F.array("b"))).alias("neighbor"))
     own = first.select(F.col("head").alias("a"), F.lit(1.0).alias("cosine"), F.explode("items").alias("neighbor"))
-    lists = far.unionByName(own).withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("cosine", DECIMALS)), "neighbor"))).where(F.col("n") <= k + 1)
+    lists = far.unionByName(own).withColumn("n", F.row_number().over(Window.partitionBy("a")
+        .orderBy(F.desc(F.round("cosine", DECIMALS)), "neighbor"))).where(F.col("n") <= k + 1)
     lists = stage(lists.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "neighbor", "cosine"))).alias("list")), "lists")
     more = copies.where("item <> head").select("item", F.col("head").alias("a"), "n")
     hot = lists.join(more.where(F.col("n") > HOT_CLASS).select("a").distinct(), "a", "left_semi")

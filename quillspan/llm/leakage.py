@@ -39,7 +39,8 @@ def _postings(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray,
     return value[order], owner[order], place[order]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, shared: int = 80, inline_chars: int = INLINE_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, shared: int = 80,
+    inline_chars: int = INLINE_CHARS) -> DataFrame:
     """Documents and test items that have ``shared`` consecutive letters and digits in common.
 
     Returns ``doc_id, item_id, doc_start, item_start, length``, the longest common run of each pair, in characters of
@@ -52,11 +53,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     """
     k = max(1, shared // 2)
     w = shared - k + 1
-    items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).distinct()
-    docs = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("doc_text"))
+    items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long")
+        .alias("item_id"), F.col(item_text).alias("item_text")).distinct()
+    docs = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(doc_text).alias("doc_text"))
     size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     hits = _inline(docs, items, k, w, shared) if size <= inline_chars else _joined(docs, items, k, w, shared)
-    return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("length", -F.col("doc_start"), -F.col("item_start"))).alias("x")).select("doc_id", "item_id", (-F.col("x.col2")).alias("doc_start"), (-F.col("x.col3")).alias("item_start"), F.col("x.length").alias("length"))
+    return hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("length", -F.col("doc_start"), -F.col("item_start")))
+        .alias("x")).select("doc_id", "item_id", (-F.col("x.col2")).alias("doc_start"), (-F.col("x.col3")).alias("item_start"),
+            F.col("x.length").alias("length"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

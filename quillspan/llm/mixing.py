@@ -82,7 +82,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     nothing and is below. Null or negative shares and repeats count as 0; a repeated target counts once (greatest share).
     """
     spark = targets.sparkSession
-    names = targets.select(F.lower(F.trim("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("s"), F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0)).alias("m"))
+    names = targets.select(F.lower(F.trim("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))
+        .alias("s"), F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0)).alias("m"))
     names = names.where(F.length("source") > 0).groupBy("source").agg(F.max(F.struct("s", "m")).alias("x")).select("source", "x.*")
     if not small_enough(names, MAX_SOURCES):
         raise ValueError(f"more than {MAX_SOURCES} sources with a target")
@@ -94,8 +95,10 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     have = {r["source"]: int(r["n"] or 0) for r in rows}
     share, cap = {r["source"]: float(r["s"]) for r in rows}, {r["source"]: int(r["m"]) for r in rows}
     mix = water_fill(have, share, cap, total)
-    out = [(s, share[s], cap[s], have[s], share[s] * total, mix[s], mix[s] / have[s] if have[s] else 0.0, mix[s] < share[s] * total * (1 - 1e-12)) for s in sorted(have)]
-    return spark.createDataFrame(out, "source string, target_share double, max_repeat int, have_tokens long, target_tokens double, mix_tokens double, repeats double, below_target boolean")
+    out = [(s, share[s], cap[s], have[s], share[s] * total, mix[s], mix[s] / have[s] if have[s] else 0.0,
+        mix[s] < share[s] * total * (1 - 1e-12)) for s in sorted(have)]
+    return spark.createDataFrame(out,
+        "source string, target_share double, max_repeat int, have_tokens long, target_tokens double, mix_tokens double, repeats double, below_target boolean")
 
 
 def draw_mix(docs: DataFrame, plan: DataFrame, doc_id: str, seed: int = 17) -> DataFrame:

@@ -124,7 +124,8 @@ def _signed(df: DataFrame, item: str, text: str, min_words: int) -> DataFrame:
                 long = lambda x: pa.array(x.view(np.int64))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * BANDS + 1, BANDS, dtype=np.int32)), long(s["keys"].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(kept)), long(s["c1"]), long(s["c2"]), pa.array(same, pa.int64()), pa.array([len(t) for t in texts], pa.int32()), *(long(x) for x in s["bits"]), keys],
+                    [b.column(0).take(pa.array(kept)), long(s["c1"]), long(s["c2"]), pa.array(same, pa.int64()),
+                        pa.array([len(t) for t in texts], pa.int32()), *(long(x) for x in s["bits"]), keys],
                     ["item", "c1", "c2", "same", "n", *_SKETCH, "keys"],
                 )
 
@@ -285,7 +286,8 @@ class NearDuplicates:
         sizes = units.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"), F.count_distinct("same").alias("texts"))
         sizes = stage(sizes, "sizes")
         member = F.struct("item", "same")
-        blocks = units.join(sizes, "rep").groupBy("rep", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(member).alias("items"))
+        blocks = units.join(sizes, "rep").groupBy("rep", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+            .alias("block")).agg(F.collect_list(member).alias("items"))
         size = lambda c: sizes.select(F.col("rep").alias(c), F.sequence(F.lit(0), F.col("blocks") - 1).alias(f"{c}_blocks"))
         own = sizes.where("texts > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
         met = links.unionByName(own).join(size("a"), "a").join(size("b"), "b").withColumn("i", F.explode("a_blocks")).withColumn("j", F.explode("b_blocks"))
@@ -304,4 +306,5 @@ class NearDuplicates:
         part = connected_components(links).select(F.col("node").alias("rep"), "component")
         about = maybe_broadcast(part.join(degree, "rep"))
         out = self.members.join(about, "rep", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
-        return out.select("item", F.coalesce("component", "rep").alias("group_id"), (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))
+        return out.select("item", F.coalesce("component", "rep").alias("group_id"),
+            (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"))

@@ -125,7 +125,8 @@ def is_prose(passage: str, words: list[str], listed: bool = False) -> bool:
     if len(n) < LEAST_WORDS or not unspaced and not MEAN_LENGTH[0] <= sum(n) / len(n) <= MEAN_LENGTH[1]:
         return False
     tokens = passage.split()
-    if not unspaced and (sum(map(str.isalpha, passage.translate(_BESIDE).split())) < CLEAN_TOKENS * len(tokens) or len(_ASTRAY.findall(passage)) > ASTRAY * len(tokens)):
+    if not unspaced and (sum(map(str.isalpha, passage.translate(_BESIDE).split())) < CLEAN_TOKENS * len(tokens)
+        or len(_ASTRAY.findall(passage)) > ASTRAY * len(tokens)):
         return False
     short = [w.lower() for w in words if len(w) <= SHORT_WORD]
     share = len(short) / len(n)

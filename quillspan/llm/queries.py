@@ -18,14 +18,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
     near = knn.nearest_vectors(load(spark, d, "lance_chunks"), "chunk_id", "vector", k=10, dim=256)
-    return near.select(F.col("item").alias("chunk_id"), F.col("neighbor").alias("neighbor_id"), F.round("cosine", 4).alias("cosine"), F.col("rank").cast("int").alias("rank"))
+    return near.select(F.col("item").alias("chunk_id"), F.col("neighbor").alias("neighbor_id"), F.round("cosine", 4)
+        .alias("cosine"), F.col("rank").cast("int").alias("rank"))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     c, b = load(spark, d, "chunks"), load(spark, d, "blocks")
     items = c.select(F.lit("chunk_text").alias("field"), F.col("chunk_id").alias("record_id"), F.col("text_payload").alias("body"), "hierarchy_path")
-    items = items.unionByName(c.select(F.lit("chunk_path").alias("field"), F.col("chunk_id").alias("record_id"), F.col("hierarchy_path").alias("body"), "hierarchy_path"))
-    items = items.unionByName(b.select(F.lit("block_text").alias("field"), F.col("block_id").alias("record_id"), F.col("normalized_text").alias("body"), F.array_join("hierarchy_path", " > ").alias("hierarchy_path")))
+    items = items.unionByName(c.select(F.lit("chunk_path").alias("field"), F.col("chunk_id").alias("record_id"),
+        F.col("hierarchy_path").alias("body"), "hierarchy_path"))
+    items = items.unionByName(b.select(F.lit("block_text").alias("field"), F.col("block_id").alias("record_id"),
+        F.col("normalized_text").alias("body"), F.array_join("hierarchy_path", " > ").alias("hierarchy_path")))
     return split.split_oversized(items, {"chunk_text": (TEXT_LIMIT, TEXT_OVERLAP), "block_text": (TEXT_LIMIT, TEXT_OVERLAP), "chunk_path": (PATH_LIMIT, 0)})
 
 
@@ -44,7 +47,8 @@ def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     ok = (F.length("piece") <= most) & (F.col("stop") > F.col("_before")) & (F.col("start") <= F.col("_before")) & (F.col("_before") - F.col("start") <= lap)
     ok = ok & (F.length("piece") == F.col("stop") - F.col("start"))
     out = p.select("field", "record_id", "n_pieces", ok.alias("ok"), F.struct("piece_no", fresh.alias("t")).alias("x"))
-    out = out.groupBy("field", "record_id").agg(F.min("ok").alias("ok"), (F.count(F.lit(1)) == F.max("n_pieces")).alias("all"), F.array_sort(F.collect_list("x")).alias("x"))
+    out = out.groupBy("field", "record_id").agg(F.min("ok").alias("ok"), (F.count(F.lit(1)) == F.max("n_pieces")).alias("all"),
+        F.array_sort(F.collect_list("x")).alias("x"))
     text = F.array_join(F.transform("x", lambda z: z["t"]), "")
     return out.select("field", "record_id", F.md5(text.cast("binary")).alias("digest"), (F.col("ok") & F.col("all")).alias("in_bounds"))
 
@@ -106,7 +110,8 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_shared(spark: SparkSession, d: str) -> DataFrame:
-    return _spans(spark, d).coverage().select(F.col("kind").alias("record_kind"), "record_id", "n_chars", "shared_chars", F.round("shared_share", 6).alias("shared_share"))
+    return _spans(spark, d).coverage().select(F.col("kind").alias("record_kind"), "record_id", "n_chars", "shared_chars",
+        F.round("shared_share", 6).alias("shared_share"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +162,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_neighbors, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_ranking, p4_weighted, p5_found, p5_groups, p6_found, p6_shared, p6_spans, p6_passages,
+        p1_found, p1_neighbors, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_ranking, p4_weighted, p5_found, p5_groups, p6_found,
+            p6_shared, p6_spans, p6_passages,
         p7_found, p8_found, p8_plan_chars, p8_shares, p8_selection, p9_found, p9_measures, p9_counts,
     )
 }

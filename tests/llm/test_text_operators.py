@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import kernels, leakage, mixing, near_dup, quality, shared_spans, split
 
-WORDS = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me", "no", "pi", "ra", "su", "te") for b in ("den", "fol", "gan", "her", "jin", "kor", "lim", "mas", "nor", "pel")]
+WORDS = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me", "no", "pi", "ra", "su", "te")
+    for b in ("den", "fol", "gan", "her", "jin", "kor", "lim", "mas", "nor", "pel")]
 
 
 def prose(r, n):
@@ -36,7 +37,8 @@ def test_minimizers_guarantee(monkeypatch, limit):
     r = random.Random(5)
     k, w = 8, 13
     common = "".join(r.choice("abcdef") for _ in range(k + w - 1))
-    texts = ["".join(r.choice("abcdef") for _ in range(r.randrange(60))) + common + "".join(r.choice("abcdef") for _ in range(r.randrange(60))) for _ in range(30)] + ["", "abc"]
+    texts = ["".join(r.choice("abcdef") for _ in range(r.randrange(60))) + common + "".join(r.choice("abcdef")
+        for _ in range(r.randrange(60))) for _ in range(30)] + ["", "abc"]
     own, at, val = kernels.minimizers(texts, k, w)
     seeds = {}
     for o, p, v in zip(own, at, val):
@@ -76,7 +78,8 @@ def test_split_cuts_at_headings_and_paragraphs():
 
 
 def test_split_oversized_rows(spark):
-    rows = [("t", "a", "x" * 120, "P", 1), ("t", "a", "x" * 120, "P", 2), ("t", "b", "w " * 80, "Q", 1), ("t", "c", "short", "Q", 1), ("t", "d", " " * 200, "Q", 1), ("t", None, "y" * 200, "Q", 1), ("t", "e", None, "Q", 1)]
+    rows = [("t", "a", "x" * 120, "P", 1), ("t", "a", "x" * 120, "P", 2), ("t", "b", "w " * 80, "Q", 1),
+        ("t", "c", "short", "Q", 1), ("t", "d", " " * 200, "Q", 1), ("t", None, "y" * 200, "Q", 1), ("t", "e", None, "Q", 1)]
     df = spark.createDataFrame(rows, "field string, record_id string, body string, hierarchy_path string, piece int")
     got = split.split_oversized(df, {"t": (50, 10)}).collect()
     assert {(r.record_id, r.unbreakable) for r in got} == {("a", 1), ("b", 0)} and all(len(r.piece) <= 50 for r in got)
@@ -144,7 +147,9 @@ def test_shared_spans_match_brute_force(spark, hot):
     passage = [prose(r, 20)[:n] for n in (60, 59, 80, 61)]
     rows = [("chunk", f"c{i}", prose(r, 15) + passage[i % 4] + prose(r, 12)) for i in range(24)]
     rows += [("block", f"b{i}", prose(r, 15) + passage[2]) for i in range(2)] + [("block", "b9", rows[0][2])]
-    rows += [("chunk", "copy1", rows[3][2]), ("chunk", "copy1", rows[3][2]), ("chunk", "long", "=" * 300), ("chunk", "run", "ab" + "=" * 90 + "cd"), ("chunk", None, rows[0][2]), ("chunk", "e", None), ("chunk", "blank", " " * 100), ("chunk", "blank2", " " * 100)]
+    rows += [("chunk", "copy1", rows[3][2]), ("chunk", "copy1", rows[3][2]), ("chunk", "long", "=" * 300),
+        ("chunk", "run", "ab" + "=" * 90 + "cd"), ("chunk", None, rows[0][2]), ("chunk", "e", None), ("chunk", "blank", " " * 100),
+            ("chunk", "blank2", " " * 100)]
     df = spark.createDataFrame(rows, "kind string, record_id string, body string").withColumn("rid", F.lit("clash"))
     s = shared_spans.SharedSpans(df, span=60, k=16, w=30, hot_seed=hot)
     got = {(x.kind, x.record_id): x.shared_chars for x in s.coverage().collect()}
