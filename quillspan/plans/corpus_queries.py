@@ -93,8 +93,8 @@ def json_descent(spark, d):
 
 
 def refused_chunks(spark, d):
-    """Chunks that may not be stored, by reason; half of the rows are spoilt in one of four ways, told by their texts' hash."""
-    h = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
+    """Chunks that may not be stored, by reason; half of the rows are spoilt in one of four ways, told by the length of their texts."""
+    h = F.pmod(F.coalesce(F.length("text_payload"), F.lit(0)), F.lit(8))
     c = load(spark, d, "chunks").select(
         F.when(h != 0, F.col("chunk_id")).alias("chunk_id"), F.when(h == 1, F.lit(-1)).otherwise(F.col("rfc_number"))
             .alias("rfc_number"), F.when(h == 2, F.lit("poetry")).otherwise(F.col("table_route")).alias("table_route"),
@@ -387,6 +387,12 @@ SELECT block_id, CASE WHEN block_type = 'paragraph' THEN 'prose' ELSE block_type
   ELSE {sql_collapse('x')} END) AS digest FROM l""",
     "existing_ids_union": "SELECT chunk_id FROM chunks UNION SELECT chunk_id FROM lance_chunks",
     "incremental_anti_append": "SELECT chunk_id, min(table_route) AS table_route FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM lance_chunks WHERE chunk_id IS NOT NULL) GROUP BY chunk_id",
+    "refused_chunks": """WITH h AS (SELECT coalesce(length(text_payload), 0) % 8 AS h, * FROM chunks),
+c AS (SELECT CASE WHEN h <> 0 THEN chunk_id END AS i, CASE WHEN h = 1 THEN -1 ELSE rfc_number END AS n, CASE WHEN h = 2 THEN 'poetry' ELSE table_route END AS r,
+  CASE WHEN h = 3 THEN parsing_confidence + 1.01 ELSE parsing_confidence END AS p FROM h)
+SELECT CASE WHEN i IS NULL THEN 'no id' WHEN n IS NULL OR n <= 0 THEN 'no document'
+  WHEN NOT coalesce(r IN ('abnf', 'artwork', 'prose', 'references', 'security', 'sourcecode', 'table'), false) THEN 'unknown route'
+  WHEN p IS NOT NULL AND (isnan(p) OR p NOT BETWEEN 0 AND 1) THEN 'confidence' ELSE 'accepted' END AS reason, count(*) AS rows FROM c GROUP BY 1""",
     "routed_scan": "SELECT DISTINCT chunk_id, table_route, CAST(length(text_payload) AS INTEGER) AS chars FROM chunks WHERE table_route IN ('abnf', 'security')",
     "route_semi": "SELECT table_route, count(*) AS rows FROM chunks WHERE table_route IN (SELECT table_route FROM lance_chunks) GROUP BY table_route",
     "xml_over_txt": f"WITH {_SRC} SELECT doc_id, max(source_type) AS source_type FROM src GROUP BY doc_id",

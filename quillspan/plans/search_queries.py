@@ -296,6 +296,16 @@ SELECT vec_id, round(v[1] / l, 6) AS first, round(v[32] / l, 6) AS last, CAST(le
 r AS (SELECT query_id, id, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
     "bm25_topk": f"WITH {_CHUNK1}, {_bm25('text_payload', 's')}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10",
     "per_route_topk": f"WITH {_CHUNK1}, {_bm25('text_payload', 's')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, table_route ORDER BY score DESC, chunk_id) AS k FROM s JOIN c1 USING (chunk_id)) SELECT query_id, table_route, chunk_id, score FROM r WHERE k <= 5",
+    "embed_chunks": "SELECT DISTINCT chunk_id, CAST(256 AS INTEGER) AS dim FROM chunks",
+    "retrieve_bm25_topk": f"""WITH {_CHUNK1}, {_bm25('text_payload', 's')},
+asked AS (SELECT query_id, top_k, try_cast(regexp_extract(query_text, '{Q.NUMBER_IN_QUESTION}', 1) AS INTEGER) AS doc FROM queries),
+want AS (SELECT a.query_id, top_k, doc, unnest(string_split(routes, ',')) AS table_route FROM asked a JOIN ({_ROUTES}) r USING (query_id)),
+words AS (
+  SELECT query_id, top_k, c1.*, s.score, row_number() OVER (PARTITION BY query_id, table_route ORDER BY s.score DESC, chunk_id) AS r
+  FROM s JOIN c1 USING (chunk_id) JOIN want USING (query_id, table_route) WHERE doc IS NULL OR doc = rfc_number),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM words WHERE r <= 5 * top_k)
+SELECT query_id, CAST(k AS INTEGER) AS rank, '### [SOURCE ' || k || ': RFC ' || rfc_number || ' | Format: ' || upper(table_route) || ' | Path: ' || hierarchy_path || ']' || chr(10)
+  || {sql_strip("replace(text_payload, '### [SOURCE', '--- [SOURCE')")} AS block FROM pool WHERE k <= top_k""",
     "sound_hits": """SELECT coalesce(table_route, 'Unknown') AS table_route, count(*) AS rows, count(*) FILTER (coalesce(score, 0) = 0 OR isnan(score)) AS zero FROM retrieval_hits
 WHERE chunk_id IS NOT NULL AND text_payload IS NOT NULL AND rfc_number IS NOT NULL GROUP BY 1""",
     "context_audit": """WITH h AS (SELECT DISTINCT query_id FROM retrieval_hits WHERE chunk_id IS NOT NULL AND text_payload IS NOT NULL AND rfc_number IS NOT NULL)
