@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,49 +65,55 @@ def _is_table(line: str, n_words: int) -> bool:
     return cells >= 2 and cells + 1 >= n_words / 2 or n_words <= 12 and "  " in line and len(_GAPS.findall(line)) >= 2
 
 
-def _grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``n`` word hashes."""
+def _runs(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all runs of ``n`` words within one text, ordered so that equal runs of a text stand together by place, and where each group of equal ones begins."""
+    count = max(0, len(hashes) - n + 1)
     with np.errstate(over="ignore"):
-        h = np.zeros(len(ids) - n + 1, np.uint64)
-        mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        key = owner[:count].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for i in range(n):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + mixed[i : i + len(h)]
-        return h
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[i : i + count]
+    place = np.flatnonzero(owner[:count] == owner[n - 1 : n - 1 + count])
+    order = np.argsort(key[place], kind="stable")
+    key, place = key[place][order], place[order]
+    return place, np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
 
 
-def _covered(starts: np.ndarray, n: int, sizes: np.ndarray) -> int:
-    """Characters of the words that runs of ``n`` words from ``starts`` cover, each counted once."""
+def _covered(starts: np.ndarray, n: int, sizes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Characters, text by text, of the words that runs of ``n`` words from ``starts`` cover, each counted once."""
     marks = np.zeros(len(sizes) + 1, np.int64)
     np.add.at(marks, starts, 1)
     np.add.at(marks, starts + n, -1)
-    return int(sizes[np.cumsum(marks[:-1]) > 0].sum())
+    return np.bincount(owner, weights=sizes * (np.cumsum(marks[:-1]) > 0), minlength=texts)
 
 
-def repetition(words: list[str], repeat: int = REPEAT_GRAM, top: int = TOP_GRAM) -> tuple[float, float]:
-    """Share of the characters that stand in n-grams which the text has had before, and share that the most frequent n-gram covers if it occurs twice or more."""
-    if len(words) <= top:
-        return 0.0, 0.0
-    ids = np.fromiter(map(hash, words), np.int64, len(words))  # compared within one text only
+def repetition(texts: list[list[str]], repeat: int = REPEAT_GRAM, top: int = TOP_GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text, given as its words: share of its words that are short, share of the characters that stand in n-grams which the
+    text has had before, and share that its most frequent n-gram covers, if it occurs twice or more (of several the one that comes first)."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    words = list(chain.from_iterable(texts))
+    owner = np.repeat(np.arange(len(texts)), length)
+    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)  # compared within one text only
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    total, again, most = int(sizes.sum()), 0, 0
-    if len(words) > repeat:
-        h = _grams(ids, repeat)
-        first = np.unique(h, return_index=True)[1]
-        if len(first) < len(h):
-            later = np.ones(len(h), bool)
-            later[first] = False
-            again = _covered(np.flatnonzero(later), repeat, sizes)
-    h = _grams(ids, top)
-    value, times = np.unique(h, return_counts=True)
-    if times.max() > 1:
-        most = max(_covered(np.flatnonzero(h == v), top, sizes) for v in value[times == times.max()][:4])
-    return again / max(1, total), most / max(1, total)
+    total = np.maximum(1, np.bincount(owner, weights=sizes, minlength=len(texts)))
+    place, first = _runs(hashes, owner, repeat)
+    again = _covered(place[~first], repeat, sizes, owner, len(texts))
+    place, first = _runs(hashes, owner, top)
+    begin = np.flatnonzero(first)
+    times = np.diff(np.append(begin, len(place)))
+    several = times > 1
+    begin, times = begin[several], times[several]
+    best = np.lexsort((place[begin], -times, owner[place[begin]]))
+    mine = owner[place[begin[best]]]
+    best = best[np.concatenate((np.ones(min(1, len(best)), bool), mine[1:] != mine[:-1]))]
+    chosen = np.repeat(begin[best], times[best]) + np.arange(times[best].sum()) - np.repeat(np.cumsum(times[best]) - times[best], times[best])
+    short = np.bincount(owner, weights=sizes <= SHORT_WORD, minlength=len(texts)) / np.maximum(1, length)
+    return short, again / total, _covered(place[chosen], top, sizes, owner, len(texts)) / total
 
 
 def _lengths(passage: str, words: list[str]) -> list[int]:
     """Word lengths; in scripts without spaces a word stands for every few letters."""
     if passage.isascii() or not _UNSPACED.search(passage):
-        return [len(w) for w in words]
+        return list(map(len, words))
     out = []
     for w in words:
         out += [LETTERS_A_WORD] * -(-len(w) // LETTERS_A_WORD) if _UNSPACED.search(w) else [len(w)]
@@ -128,9 +135,10 @@ def is_prose(passage: str, words: list[str], listed: bool = False) -> bool:
     if not unspaced and (sum(map(str.isalpha, passage.translate(_BESIDE).split())) < CLEAN_TOKENS * len(tokens)
         or len(_ASTRAY.findall(passage)) > ASTRAY * len(tokens)):
         return False
-    short = [w.lower() for w in words if len(w) <= SHORT_WORD]
+    short = [w for w in words if len(w) <= SHORT_WORD]
     share = len(short) / len(n)
     if len(n) >= LONG_PASSAGE and not unspaced:
+        short = " ".join(short).lower().split(" ")
         times = Counter(short)
         if sum(1 for w in short if times[w] == 1) > FRESH_SHORT * len(short):
             return False
@@ -145,6 +153,20 @@ def is_prose(passage: str, words: list[str], listed: bool = False) -> bool:
 
 def measures(text: str | None) -> dict[str, float]:
     """Statistics of one text; every share is 0 for a blank or null text."""
+    return measures_of([text])[0]
+
+
+def measures_of(texts: list[str | None]) -> list[dict[str, float]]:
+    """:func:`measures` of several texts; repetition is counted over all of them at once."""
+    both = [_measures(t) for t in texts]
+    for (m, _), short, again, top in zip(both, *(x.tolist() for x in repetition([w for _, w in both]))):
+        m |= {"short_word_share": short, "repeated_ngram_share": again, "top_ngram_share": top}
+        m["prose_share"] = min(m["prose_share"], 1 - m["dup_paragraph_share"], 1 - again, 1 - top) if m["n_lines"] else 0.0
+    return [m for m, _ in both]
+
+
+def _measures(text: str | None) -> tuple[dict[str, float], list[str]]:
+    """What lines and passages say, and the words in lower case."""
     raw = text or ""
     text = plain(raw).replace("\r", "\n").replace("\f", "\n\n").replace("\u2028", "\n")
     digits = len(text.encode("ascii", "ignore").translate(None, _NOT_DIGITS))
@@ -210,7 +232,6 @@ def measures(text: str | None) -> dict[str, float]:
         prose = 0
     paragraphs = [p.strip() for p in _BLANK.split(text) if p.strip()]
     dup = sum(len(p) * (c - 1) for p, c in Counter(paragraphs).items()) / max(1, sum(map(len, paragraphs)))
-    again_share, top = repetition(" ".join(all_words).lower().split(" ") if all_words else [])
     share = prose / total if total else 0.0
     return {
         "n_words": len(all_words),
@@ -218,15 +239,12 @@ def measures(text: str | None) -> dict[str, float]:
         "mean_word_length": letters_all / len(all_words) if all_words else 0.0,
         "symbol_ratio": max(0.0, 1 - (letters_all + digits) / total) if total else 0.0,
         "punct_line_share": punct / n_lines if n_lines else 0.0,
-        "short_word_share": sum(1 for w in all_words if len(w) <= SHORT_WORD) / len(all_words) if all_words else 0.0,
         "list_line_share": marked / n_lines if n_lines else 0.0,
         "table_line_share": tabled / n_lines if n_lines else 0.0,
         "dup_line_share": repeated / n_lines if n_lines else 0.0,
         "dup_paragraph_share": dup,
-        "repeated_ngram_share": again_share,
-        "top_ngram_share": top,
-        "prose_share": min(share, 1 - dup, 1 - again_share, 1 - top),
-    }
+        "prose_share": share,
+    }, " ".join(all_words).lower().split(" ") if all_words else []
 
 
 def text_quality(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -244,7 +262,7 @@ def text_quality(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measures(t) for t in b.column(1).to_pylist()]
+            rows = [m for at in range(0, b.num_rows, 500) for m in measures_of(b.column(1).slice(at, 500).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[c] for r in rows], t) for c, t in zip(names[1:], types[1:]))], names)
 
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -95,7 +95,9 @@ def test_letters_and_digits():
 
 
 @pytest.mark.parametrize("inline", [10_000_000, 0])
-def test_leaks_match_brute_force(spark, inline):
+def test_leaks_match_brute_force(spark, monkeypatch, inline):
+    from quillspan.operators import skew
+
     r = random.Random(11)
     items = [(i, prose(r, 40)) for i in range(8)] + [(8, "short"), (9, None), (None, prose(r, 40))]
     docs = []
@@ -121,6 +123,10 @@ def test_leaks_match_brute_force(spark, inline):
     got = leakage.find_leaks(D, E, "doc_id", "text", "item_id", "text", shared=40, inline_chars=inline).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and all(r.length >= 40 for r in got) and len(got) == len(want)
     assert leakage.find_leaks(D, E.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+    if not inline:
+        monkeypatch.setattr(skew, "LOCAL", 1)
+        split = leakage._joined(D.select("doc_id", F.col("text").alias("doc_text")), E.select("item_id", F.col("text").alias("item_text")), 20, 21, 40, heavy=2)
+        assert {(r.doc_id, r.item_id) for r in split.collect()} >= want
 
 
 # shared spans
@@ -141,8 +147,11 @@ def brute_spans(rows, span):
     return {k: len(v) for k, v in cover.items()}
 
 
-@pytest.mark.parametrize("hot", [64, 2, 1])
-def test_shared_spans_match_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,heavy", [(64, 4096), (2, 4096), (1, 3), (64, 3)])
+def test_shared_spans_match_brute_force(spark, monkeypatch, hot, heavy):
+    from quillspan.operators import skew
+
+    monkeypatch.setattr(skew, "LOCAL", 1)
     r = random.Random(7)
     passage = [prose(r, 20)[:n] for n in (60, 59, 80, 61)]
     rows = [("chunk", f"c{i}", prose(r, 15) + passage[i % 4] + prose(r, 12)) for i in range(24)]
@@ -151,9 +160,13 @@ def test_shared_spans_match_brute_force(spark, hot):
         ("chunk", "run", "ab" + "=" * 90 + "cd"), ("chunk", None, rows[0][2]), ("chunk", "e", None), ("chunk", "blank", " " * 100),
             ("chunk", "blank2", " " * 100)]
     df = spark.createDataFrame(rows, "kind string, record_id string, body string").withColumn("rid", F.lit("clash"))
-    s = shared_spans.SharedSpans(df, span=60, k=16, w=30, hot_seed=hot)
+    s = shared_spans.SharedSpans(df, span=60, k=16, w=30, hot_seed=hot, heavy=heavy)
     got = {(x.kind, x.record_id): x.shared_chars for x in s.coverage().collect()}
     assert got == brute_spans(rows, 60)
+    held = {}
+    for x in s.spans().collect():
+        held[x.kind, x.record_id] = held.get((x.kind, x.record_id), 0) + x.stop - x.start
+    assert held == got
 
 
 def test_chains_are_collinear_and_best():
