@@ -125,7 +125,8 @@ def test_leaks_match_brute_force(spark, monkeypatch, inline):
     assert leakage.find_leaks(D, E.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     if not inline:
         monkeypatch.setattr(skew, "LOCAL", 1)
-        split = leakage._joined(D.select("doc_id", F.col("text").alias("doc_text")), E.select("item_id", F.col("text").alias("item_text")), 20, 21, 40, heavy=2)
+        given = [df.where(f"{k} is not null and text is not null").select(k, F.col("text").alias(t)) for df, k, t in ((D, "doc_id", "doc_text"), (E, "item_id", "item_text"))]
+        split = leakage._joined(*given, 20, 21, 40, heavy=2)
         assert {(r.doc_id, r.item_id) for r in split.collect()} >= want
 
 
