@@ -109,14 +109,17 @@ def _head(block: str) -> _Head:
 
 def header_points(block: str) -> int:
     """Points of a block's first line as a section header: its pattern, then its form; a blank first line has none."""
-    h = _head(block)
+    return _points(_head(block))
+
+
+def _points(h: _Head) -> int:
     return _KIND_POINTS[h.kind] + sum(n for n, holds in _FORM_POINTS if holds(h)) if h.first else 0
 
 
 def header(block: str, doc_id: int) -> tuple[str, int, str, str] | None:
     """(first line, depth, title, what follows) of a block that starts with a section header, else None. A title that runs into its paragraph ends where a sentence or a wide gap does, unless it would have more than six words."""
     h = _head(block)
-    if not h.first or header_points(block) < (10 if doc_id >= _MODERN_FROM else 8):
+    if not h.first or _points(h) < (10 if doc_id >= _MODERN_FROM else 8):
         return None
     rest = block.split("\n")[1 + h.ruled :]
     title, prose, depth = h.first, "", 1
