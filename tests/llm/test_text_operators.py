@@ -193,6 +193,39 @@ def test_fuzzy_passages(spark):
     assert len(p) == 1 and p[0].identity > 0.98 and p[0].a_stop - p[0].a_start > 700
 
 
+@pytest.mark.parametrize("hot,heavy,block", [(64, 4096, 1024), (1, 4096, 4), (1, 3, 4)])
+def test_fuzzy_passages_of_seeds_that_many_texts_have(spark, monkeypatch, hot, heavy, block):
+    from quillspan.operators import skew
+
+    monkeypatch.setattr(skew, "LOCAL", 1)
+    monkeypatch.setattr(shared_spans, "BLOCK", block)
+    r = random.Random(6)
+    licence, rows = prose(r, 60), []
+    for i in range(14):
+        at = 20 * (i + 1)
+        rows.append(("k", f"r{i:02d}", prose(r, 30) + licence[:at] + f"<{i}>" + licence[at:] + prose(r, 30)))
+    rows += [("k", "z1", "+-" * 90 + prose(r, 30)), ("k", "z2", prose(r, 30) + "+-" * 80), ("other", "r00", rows[0][2]), ("k", "alone", prose(r, 90))]
+    df = spark.createDataFrame(rows, "kind string, record_id string, body string")
+    rows = [tuple(x) for x in shared_spans.SharedSpans(df, span=100, k=20, w=30, hot_seed=hot, heavy=heavy).passages().collect()]
+    want = [tuple(x) for x in shared_spans.SharedSpans(df, span=100, k=20, w=30, hot_seed=10**9).passages().collect()]
+    assert sorted(rows) == sorted(want)
+    names = [f"r{i:02d}" for i in range(14)]
+    assert {(x[1], x[2]) for x in rows} == {(a, b) for a in names for b in names if a < b} | {("z1", "z2")}
+    assert all(x[8] > 0.95 for x in rows if x[1] != "z1" and x[7] > 400)
+
+
+def test_chains_of_repeated_seeds_in_arrays(monkeypatch):
+    r = random.Random(8)
+    for n in (1, 2, 9, 40):
+        for _ in range(20):
+            places = [(r.randrange(n), r.randrange(n)) for _ in range(n * n // 2 + 1)] + [(p, q) for p in range(100, 100 + 2 * n, 2) for q in range(50, 50 + n, 2)]
+            monkeypatch.setattr(shared_spans, "MANY", 10**9)
+            want = shared_spans.chains(places, 5, 0.5)
+            monkeypatch.setattr(shared_spans, "MANY", 1)
+            monkeypatch.setattr(shared_spans, "FILL", 10**9)
+            assert shared_spans.chains(places, 5, 0.5) == want
+
+
 # near-duplicates
 
 
