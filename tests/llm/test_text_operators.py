@@ -170,6 +170,17 @@ def test_shared_spans_match_brute_force(spark, monkeypatch, hot, heavy):
     assert held == got
 
 
+def test_shared_spans_that_leave_runs_of_unequal_length(spark):
+    r, rows = random.Random(3), []
+    for i in range(120):
+        tail = "".join(r.choice("abcdefghijklmnop") for _ in range(4 + i % 12))
+        run, kind = r.choice("-=. *_#~") * (60 - len(tail)), f"k{i}"
+        rows += [(kind, "a", prose(r, 15) + "|" + run + run[:4] + tail + "!" + prose(r, 12)), (kind, "b", prose(r, 15) + ":" + run + tail + "?" + prose(r, 12))]
+    df = spark.createDataFrame(rows, "kind string, record_id string, body string")
+    got = {(x.kind, x.record_id): x.shared_chars for x in shared_spans.SharedSpans(df, span=60, k=16, w=30).coverage().collect()}
+    assert got == brute_spans(rows, 60)
+
+
 def test_chains_are_collinear_and_best():
     anchors = [(0, 100), (20, 120), (40, 140), (41, 10), (60, 170), (80, 5)]
     best = shared_spans.chains(anchors, 16)[0][1]
