@@ -147,6 +147,43 @@ def test_hybrid_candidates(spark):
     assert {(x.query_id, x.chunk_id) for x in retrieval.candidates(chunks, q).collect()} == {(1, "a"), (1, "c"), (2, "a")}
 
 
+def brute_bm25(docs, text):
+    """Of each document the score of a question's words, to five decimals."""
+    import math
+    import re
+
+    words = {i: [w for w in re.split("[^a-z0-9]+", t.lower()) if w] for i, t in docs.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    out = {}
+    for w in {w for w in re.split("[^a-z0-9]+", text.lower()) if w}:
+        df = sum(w in t for t in words.values())
+        for i, t in words.items():
+            if tf := t.count(w):
+                idf = math.log(1 + (len(words) - df + 0.5) / (df + 0.5))
+                out[i] = out.get(i, 0) + idf * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * len(t) / mean))
+    return {i: round(x, 5) for i, x in out.items()}
+
+
+def test_bm25_makes_no_pairs(spark):
+    r = np.random.default_rng(5)
+    docs = {f"c{i:03}": " ".join(["the", *(f"w{x}" for x in r.zipf(1.6, r.integers(0, 9)) if x < 40)]) for i in range(200)}
+    asked = {i: " ".join(["The", *(f"w{x}" for x in r.integers(1, 40, 3))]) for i in range(40)} | {98: "nowhere", 99: "  "}
+    c = spark.createDataFrame([*docs.items(), ("none", None)], "chunk_id string, text_payload string")
+    q = spark.createDataFrame([*asked.items(), (100, None)], "query_id long, query_text string")
+    found = {}
+    for block, at_once in ((16_384, 512), (7, 3), (200, 1)):
+        best = search.bm25_topk(c.where("text_payload is not null"), q, 5, block=block, questions_a_block=at_once)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan  # every question holds "the", every chunk too
+        got = {}
+        for x in best.collect():
+            got.setdefault(x.query_id, []).append((-x.score, x.item))
+        found[block] = {i: sorted(v) for i, v in got.items()}
+        want = {i: sorted((-s, d) for d, s in brute_bm25(docs, t).items())[:5] for i, t in asked.items()}
+        assert found[block] == {i: v for i, v in want.items() if v}
+    assert search.bm25_topk(c.limit(0), q, 5).count() == 0 and search.bm25_topk(c, q.limit(0), 5).count() == 0
+
+
 def test_percentile(spark):
     import statistics
 
