@@ -184,6 +184,23 @@ def test_bm25_makes_no_pairs(spark):
     assert search.bm25_topk(c.limit(0), q, 5).count() == 0 and search.bm25_topk(c, q.limit(0), 5).count() == 0
 
 
+def test_bm25_by_group(spark):
+    texts = {f"c{i:02}": "the " + " ".join(["alpha"] * (i % 4) + ["pad"] * (i % 3)) for i in range(40)}
+    route = {c: [None, "prose", "table"][i % 3] for i, c in enumerate(texts)}
+    c = spark.createDataFrame([(i, route[i], t) for i, t in texts.items()], "chunk_id string, table_route string, text_payload string")
+    q = spark.createDataFrame([(1, "the alpha"), (2, "alpha")], "query_id long, query_text string")
+    best = search.bm25_topk(c, q, 3, group="table_route", block=9)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {}
+    for x in best.collect():
+        got.setdefault((x.query_id, x.table_route), []).append((-x.score, x.item))
+    for i, text in ((1, "the alpha"), (2, "alpha")):
+        for r in (None, "prose", "table"):
+            want = sorted((-s, d) for d, s in brute_bm25(texts, text).items() if route[d] == r)[:3]
+            assert sorted(got[i, r]) == want
+
+
 def test_percentile(spark):
     import statistics
 
