@@ -201,6 +201,28 @@ def test_bm25_by_group(spark):
             assert sorted(got[i, r]) == want
 
 
+def test_keyword_list_makes_no_pairs(spark):
+    rows = [(f"c{i:02}", [1, 2, 3, None][i % 4], ["prose", "references", "table"][i % 3], "alpha " * (i % 5) + "rfc beta") for i in range(60)]
+    c = spark.createDataFrame(rows, "chunk_id string, rfc_number int, table_route string, text_payload string")
+    q = spark.createDataFrame([(1, "alpha", 1), (2, "alpha of RFC 2", 1), (3, "history of alpha beta", 2), (4, "beta in RFC 9", 1)],
+        "query_id long, query_text string, top_k int")
+    best = retrieval.keyword_list(c, q, 2 * F.col("top_k"))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    got = {}
+    for x in best.collect():
+        got.setdefault((x.query_id, x.table_route), []).append((-x.score, x.item))
+    texts = {r[0]: r[3] for r in rows}
+    want = {}
+    for i, text, doc, routes, n in ((1, "alpha", None, ["prose"], 2), (2, "alpha of RFC 2", 2, ["prose"], 2), (3, "history of alpha beta", None, ["prose",
+        "references"], 4)):
+        scores = brute_bm25(texts, text)
+        for route in routes:
+            fit = [(-scores[r[0]], r[0]) for r in rows if r[2] == route and r[0] in scores and (doc is None or r[1] == doc)]
+            want[i, route] = sorted(fit)[:n]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_percentile(spark):
     import statistics
 
