@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -223,6 +224,16 @@ def test_keyword_list_makes_no_pairs(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_hybrid_rrf_makes_no_pairs(spark):
+    from quillspan.plans import registry
+
+    folder = os.environ.get("QUILLSPAN_TEST_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    plan = registry.QUERIES["hybrid_rrf"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_percentile(spark):
     import statistics
 
