@@ -234,6 +234,14 @@ def test_hybrid_rrf_makes_no_pairs(spark):
     assert "Join" not in plan and "Generate" not in plan
 
 
+def test_dense_shuffles_no_more_for_more_files(spark):
+    df = spark.createDataFrame([(i, [float(i % 7 - 3), 1.0]) for i in range(400)], "id long, vector array<float>").repartition(64)
+    best = search.dense_topk(df, df.where("id < 2").withColumnRenamed("id", "query_id"), 3, dim=2)
+    assert best.count() == 6
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert f"Coalesce {spark.sparkContext.defaultParallelism}" in plan  # each task gives k rows per query
+
+
 def test_percentile(spark):
     import statistics
 
