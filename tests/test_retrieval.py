@@ -66,6 +66,27 @@ def test_rerank_and_degrading(spark):
     assert order(retrieval.rerank(h, q, broken)) == ["a", "b"] and order(retrieval.rerank(h, q, lambda qs, ts: [1.0] * (len(ts) + 1))) == ["a", "b"]
 
 
+def test_failed_reranking_is_marked(spark):
+    rows = [(i, f"{i}{c}", 1, "prose", "P", t, s, 3) for i in (1, 2) for c, t, s in (("a", "x", 0.9), ("b", "y", 0.5), ("c", "z", 0.1))]
+    h = spark.createDataFrame(rows, HIT)
+    q = spark.createDataFrame([(1, "q"), (2, "p")], "query_id long, query_text string")
+
+    def partly(qs, ts):  # batches of one row
+        if (qs[0], ts[0]) == ("q", "x"):
+            raise RuntimeError
+        return [{"x": -1.5, "y": 0.0, "z": 5.5}[t] for t in ts]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = retrieval.rerank(h, q, partly).orderBy("query_id", "rank").collect()
+        nan = retrieval.rerank(h, q, lambda qs, ts: [float("nan")] * len(ts)).orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.chunk_id, r.degraded) for r in got] == [("1a", True), ("1b", True), ("1c", True), ("2c", False), ("2b", False), ("2a", False)]
+    assert [(r.chunk_id, r.degraded) for r in nan] == [(f"{i}{c}", True) for i in (1, 2) for c in "abc"]
+    assert not any(r.degraded for r in retrieval.rerank(h, q).collect())
+
+
 def test_stitching(spark):
     chunks = spark.createDataFrame([(f"rfc1-sec2-blk{n}-chunk000", f"t{n}")
         for n in (1, 8, 9, 10, 11)] + [("rfc1-preface-blk1-chunk000", "p")], "chunk_id string, text_payload string")
