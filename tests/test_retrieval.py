@@ -263,6 +263,22 @@ def test_dense_shuffles_no_more_for_more_files(spark):
     assert f"Coalesce {spark.sparkContext.defaultParallelism}" in plan  # each task gives k rows per query
 
 
+def test_retrieve_computes_chunks_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        seen.add(1)
+        return t
+
+    rows = [("a", 1, "prose", "P", "alpha beta"), ("b", 1, "prose", "P", "gamma"), ("c", 2, "prose", "P", "alpha")]
+    c = spark.createDataFrame(rows, "chunk_id string, rfc_number int, table_route string, hierarchy_path string, text_payload string").coalesce(1)
+    q = spark.createDataFrame([(1, "alpha", 5)], "query_id long, query_text string, top_k int")
+    out = retrieval.retrieve(c.withColumn("text_payload", text("text_payload")), q, lineage.warnings(edges(spark)), ledger(spark), retrieval.overlap_scorer)
+    got = out.collect()
+    assert "[SOURCE 1: RFC" in got[0].context and not got[0].degraded and seen.value == 3
+
+
 def test_percentile(spark):
     import statistics
 
